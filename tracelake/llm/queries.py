@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import common, line_crf, quality_qda, simhash, url_reputation
+from tracelake.llm import (
+    chat_format,
+    common,
+    decontamination,
+    line_crf,
+    line_dedup,
+    packing,
+    quality_qda,
+    simhash,
+    url_reputation,
+)
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +36,36 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.label_lines(documents, field)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """The packing of ``documents``, with a checksum in place of the ids."""
+    pieces = packing.token_pieces(documents, tokenizer_path())
+    rows = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "place")
+    return packing.pack(rows, documents.count())
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(common.table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    hit = decontamination.covered(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
     model = quality_qda.fit(documents, common.table(spark, sf_dir, "labels"))
@@ -38,16 +78,30 @@ def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(chat_format.probe(spark))))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(common.table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "deleted_spans", "copied_from")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_reputation": op1_url_reputation,
         "op2_simhash": op2_simhash,
         "op3_line_crf": op3_line_crf,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op7_decontamination": op7_decontamination,
         "op8_quality_qda": op8_quality_qda,
+        "op9_chat_format": op9_chat_format,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from tracelake.llm import oracles
 
-    return {"op1_url_reputation": oracles.OP1}
+    return {"op1_url_reputation": oracles.OP1, "op7_decontamination": oracles.OP7, "op9_chat_format": oracles.OP9}

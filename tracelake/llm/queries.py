@@ -14,8 +14,10 @@ from tracelake.llm import (
     line_crf,
     line_dedup,
     packing,
+    pseudonyms,
     quality_qda,
     simhash,
+    toxicity,
     url_reputation,
 )
 
@@ -53,6 +55,26 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(common.table(spark, sf_dir, "documents"))
 
 
+#: The query's key is public; a real run passes its own.
+DEMONSTRATION_KEY = b"demonstration key"
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.replace_personal_data(common.table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.fit(documents, common.table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (common.fold(F.col("doc_id")) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "evidence",
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     hit = decontamination.covered(F.col("spans"))
@@ -94,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_line_crf": op3_line_crf,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_pseudonyms": op5_pseudonyms,
+        "op6_toxicity": op6_toxicity,
         "op7_decontamination": op7_decontamination,
         "op8_quality_qda": op8_quality_qda,
         "op9_chat_format": op9_chat_format,

@@ -27,7 +27,7 @@ MIN_BLOCK_WORDS = 30
 #: Shared words (in lines that first occur in the same document) from which a pair is aligned.
 MIN_SHARED_WORDS = 12
 #: Documents are aligned in parts of so many lines, each with a margin on both sides.
-PART_LINES, MARGIN_LINES = 1024, 128
+PART_LINES, MARGIN_LINES = 128, 32
 
 
 def _anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

@@ -10,6 +10,8 @@ squared fills, until the emptiest bins run empty or nothing improves.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -25,14 +27,18 @@ END_ID = 1
 #: Rows that a group holds on average; its loss against perfect packing is a bin or so.
 GROUP_ROWS = 16_384
 #: Words whose ids a worker remembers before it starts afresh (a memory bound, not a cap on texts).
-REMEMBERED = 250_000
+REMEMBERED = 900_000
+#: A word that ends in a letter and signs: the signs are always tokens of their own.
+_TAIL = re.compile(rb"(.*[A-Za-z])([^A-Za-z0-9'\x80-\xff]+)", re.DOTALL)
 
 
 class WordCoder:
     """Ids of texts, word by word.
 
-    The vocabulary's tokenizer never joins anything across white space, so a text's ids
-    are those of its white-space separated parts in order; parts that recur are encoded once.
+    The vocabulary's tokenizer lower-cases and never joins anything across white space,
+    so a text's ids are those of its white-space separated parts in order; parts that
+    recur are encoded once.  Special tokens are matched before lower-casing, so a text
+    with their opening signs is not lower-cased here.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,17 +48,23 @@ class WordCoder:
         self._coder = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            for w, e in zip(some, self._coder.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self._known[w] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without an end id."""
-        parts = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
+        parts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         known = self._known
-        new = list({w for p in parts for w in p if w not in known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self._coder.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = set().union(*parts).difference(known)
+        cut = {w: m.groups() for w in new if b"<|" not in w and (m := _TAIL.fullmatch(w))}
+        self._learn(list((new - cut.keys()).union(*cut.values()).difference(known)))
+        for w, (core, tail) in cut.items():
+            known[w] = known[core] + known[tail]
         return [b"".join([known[w] for w in p]) for p in parts]
 
 
@@ -78,7 +90,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 ids = rows.column(0)
-                texts = coder.encode(rows.column(1).to_pylist())
+                texts = coder.encode(rows.column(1).to_pylist())  # as bytes
                 who, piece, start, length, data = [], [], [], [], []
                 for i, x in enumerate(texts):
                     x += end
@@ -94,7 +106,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
                 columns = [ids.take(pa.array(who, pa.int64())), piece, start, length, data, places]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, out, strict=True)], schema=out)
 
-    return documents.select("doc_id", "text").mapInArrow(run, target)
+    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, target)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import common
+from tracelake.plans.session import ship
 
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -108,6 +109,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     empty table; columns other than conv_id, turn, role and text are ignored.
     A conversation is one output value, so it is put together in one task.
     """
+    ship(turns.sparkSession)
     kind = dict(turns.dtypes)["conv_id"]
     rows = (
         turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))

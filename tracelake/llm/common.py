@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.plans.session import ship
+
 ROWS_PER_SLICE = 512
 
 
@@ -85,6 +87,7 @@ def map_batches(
     df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Apply ``work`` to slices of columns, a bounded number of rows at a time."""
+    ship(df.sparkSession)
     names = df.columns
     target = df.sparkSession.createDataFrame([], schema).schema
 

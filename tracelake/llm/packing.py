@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.plans.session import ship
+
 CAPACITY = 4096
 END_ID = 1
 #: Rows that a group holds on average; its loss against perfect packing is a bin or so.
@@ -74,6 +76,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
     ``ids`` are little-endian unsigned 32-bit ids.  A null or empty text has the end
     id only.  ``place`` numbers the pieces of a partition, for dealing them out evenly.
     """
+    ship(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, place bigint"
@@ -206,6 +209,7 @@ def pack(pieces: DataFrame, expected: int, capacity: int = CAPACITY, group_rows:
     Places are dealt out in turn, so no key can make a group large.  An empty
     table gives an empty table.
     """
+    ship(pieces.sparkSession)
     groups = max(1, round(expected / group_rows))
     kept = [f for f in pieces.schema.fields if f.name not in ("place", "sequence_id", "offset")]
     names = [f.name for f in kept]

@@ -10,14 +10,13 @@ squared fills, until the emptiest bins run empty or nothing improves.
 from __future__ import annotations
 
 import os
-import re
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +28,11 @@ END_ID = 1
 #: Rows that a group holds on average; its loss against perfect packing is a bin or so.
 GROUP_ROWS = 16_384
 #: Words whose ids a worker remembers before it starts afresh (a memory bound, not a cap on texts).
-REMEMBERED = 900_000
-#: A word that ends in a letter and signs: the signs are always tokens of their own.
-_TAIL = re.compile(rb"(.*[A-Za-z])([^A-Za-z0-9'\x80-\xff]+)", re.DOTALL)
+REMEMBERED = 1_200_000
+#: Text that is encoded at once.
+SLICE_BYTES = 6 << 20
+#: Signs between a letter and white space: they are always tokens of their own, so a space before them changes nothing.
+SIGNS = r"([a-z])([^a-z0-9'\s\x80-\x{10FFFF}]+)(\s|$)"
 
 
 class WordCoder:
@@ -49,25 +50,81 @@ class WordCoder:
 
         self._coder = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
+        vocabulary = self._coder.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self._coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            for w, e in zip(some, self._coder.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self._known[w] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without an end id."""
-        parts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        """Words of letters alone are one token group each, so many are encoded as one text and cut at the groups' ends."""
+        known = self._known
+        texts = [w.decode() for w in words]
+        odd = [(w, t) for w, t in zip(words, texts, strict=True) if not t.isalpha()]
+        plain = [(w, t) for w, t in zip(words, texts, strict=True) if t.isalpha()]
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = self._ids(" ".join([t for _, t in some]))
+            ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(ends) != len(some):  # a letter that lower-cases into more than letters
+                odd += some
+                continue
+            data, start = ids.tobytes(), 0
+            for (w, _), end in zip(some, ends.tolist(), strict=True):
+                known[w] = data[start:end]
+                start = end
+        for at in range(0, len(odd), 4096):
+            some = odd[at : at + 4096]
+            for (w, _), e in zip(some, self._coder.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _recall(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, in order."""
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
-        new = set().union(*parts).difference(known)
-        cut = {w: m.groups() for w in new if b"<|" not in w and (m := _TAIL.fullmatch(w))}
-        self._learn(list((new - cut.keys()).union(*cut.values()).difference(known)))
-        for w, (core, tail) in cut.items():
-            known[w] = known[core] + known[tail]
-        return [b"".join([known[w] for w in p]) for p in parts]
+        got = list(map(known.get, words))
+        if None in got:
+            holes = [i for i, g in enumerate(got) if g is None]
+            self._learn([words[i] for i in holes])
+            for i in holes:
+                got[i] = known[words[i]]
+        return got
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text of a string array, without an end id; none for null.
+
+        Arrow splits the texts and numbers their distinct words; those are looked up, and
+        numpy gathers every word's ids from one buffer.
+        """
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), SIGNS, r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(texts)
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        ids = self._recall(words.dictionary.cast(pa.binary()).to_pylist())
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        length = size[at] if len(ids) else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(length)))
+        shift = ((np.cumsum(size) - size)[at] if len(ids) else length) - ends[:-1]
+        narrow = np.int32 if max(int(ends[-1]), len(pool)) < 2**31 else np.int64
+        flat = pool[np.repeat(shift.astype(narrow), length) + np.arange(ends[-1], dtype=narrow)]
+        bounds = ends[edges - edges[0]]
+        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+_CODERS: dict[str, WordCoder] = {}
+
+
+def word_coder(path: str) -> WordCoder:
+    """A worker's coder for a vocabulary, kept from task to task with what it remembers."""
+    if path not in _CODERS:
+        _CODERS[path] = WordCoder(path)
+    return _CODERS[path]
 
 
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -78,7 +135,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
     """
     ship(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, place bigint"
     target = documents.sparkSession.createDataFrame([], schema).schema
 
@@ -87,29 +144,37 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(target)
-        coder = WordCoder(tokenizer_path)
+        coder = word_coder(tokenizer_path)
         place = (TaskContext.get().partitionId() * 7919) if TaskContext.get() else 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                ids = rows.column(0)
-                texts = coder.encode(rows.column(1).to_pylist())  # as bytes
+            for rows in _bounded_slices(batch):
                 who, piece, start, length, data = [], [], [], [], []
-                for i, x in enumerate(texts):
-                    x += end
-                    for k, a in enumerate(range(0, len(x), 4 * capacity)):
-                        part = x[a : a + 4 * capacity]
+                for i, x in enumerate(coder.encode(rows.column(1))):
+                    x = np.append(x, end)
+                    for k, a in enumerate(range(0, len(x), capacity)):
+                        part = x[a : a + capacity]
                         who.append(i)
                         piece.append(k)
-                        start.append(a // 4)
-                        length.append(len(part) // 4)
-                        data.append(part)
+                        start.append(a)
+                        length.append(len(part))
+                        data.append(part.tobytes())
                 places = np.arange(place, place + len(who), dtype=np.int64)
                 place += len(who)
-                columns = [ids.take(pa.array(who, pa.int64())), piece, start, length, data, places]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, out, strict=True)], schema=out)
+                columns = [rows.column(0).take(pa.array(who, pa.int64())), piece, start, length, data, places]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return documents.select("doc_id", "text").mapInArrow(run, target)
+
 
-    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, target)
+def _bounded_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with some megabytes of text each, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

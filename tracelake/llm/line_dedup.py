@@ -131,11 +131,13 @@ def overlaps(parts: DataFrame) -> DataFrame:
         .where((F.col("x.words") >= MIN_LINE_WORDS))
         .select(F.col("x.lines").alias("line"), F.col("x.words").alias("words"), "doc_id", "part")
     )
-    first = lines.groupBy("line").agg(
+    # Grouped by words as well (a line has one count), so that the join deals both sides out anew
+    # by line alone, as plain exchanges, and a line that very many documents hold can be split.
+    first = lines.groupBy("line", "words").agg(
         F.min(F.struct("doc_id", "part")).alias("earlier"), F.max("doc_id").alias("last")
     ).where("last > earlier.doc_id").select(F.col("line").alias("shared"), F.col("earlier.doc_id").alias("earlier"), F.col("earlier.part").alias("earlier_part"))
     return (
-        lines.join(first.hint("shuffle_merge"), F.col("line") == F.col("shared"))
+        lines.join(first, F.col("line") == F.col("shared"))
         .where("doc_id > earlier")
         .groupBy("doc_id", "part", "earlier", "earlier_part")
         .agg(F.sum("words").alias("shared_words"))

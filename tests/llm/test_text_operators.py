@@ -1,0 +1,368 @@
+"""Quality classifier, line field, chat formatting, packing, pseudonyms and toxicity against plain versions."""
+
+import datetime
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tracelake.llm import chat_format, common, line_crf, packing, pseudonyms, quality_qda, toxicity
+
+SF = "/root/testdata/sf0.01"
+ODD = [None, "", " \n\t ", "a", "x" * 300_000, "é \x1c ß " * 3, "a\n\na\n", "# $ %", "😀 " * 50]
+DOCS = "doc_id long, text string, label string, score double, quality_score double"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "clash", 1.0, 2.0) for i, t in enumerate(texts)], DOCS)
+
+
+def tables(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+
+
+def heldout(spark, scored, column, name="score", threshold=0.5):
+    labels = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [(r[name] >= threshold, labels[r["doc_id"]]) for r in scored.collect() if r["doc_id"] in labels and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    return np.array(rows, dtype=int)
+
+
+# Quality.
+
+
+def test_quality_held_out(spark):
+    d, labels = tables(spark)
+    model = quality_qda.fit(d, labels)
+    got = heldout(spark, quality_qda.score(d, model), "quality", "quality_score")
+    assert (got[:, 0] == got[:, 1]).mean() > 0.98
+    kept = quality_qda.keep_good(d, labels)
+    assert kept.columns == d.columns and 0 < kept.count() < d.count()
+
+
+def test_quality_score_is_the_density_difference():
+    r = np.random.default_rng(1)
+    x = np.vstack([r.normal(0, 1, (200, 13)), r.normal(1, 2, (100, 13))])
+    y = np.array([0] * 200 + [1] * 100)
+    shrink, ridge, scale = 0.2, 0.1, 0.7
+    m = quality_qda.fit_matrix(x, y, shrink, ridge, scale)
+    pooled = sum(len(x[y == k]) * np.cov(x[y == k].T, bias=True) for k in (0, 1)) / 300
+
+    def log_density(z, k):
+        c = (1 - ridge) * ((1 - shrink) * np.cov(x[y == k].T, bias=True) + shrink * pooled) + ridge * np.trace(pooled) / 13 * np.eye(13)
+        d = z - x[y == k].mean(axis=0)
+        return -0.5 * d @ np.linalg.inv(c) @ d - 0.5 * np.linalg.slogdet(c)[1]
+
+    for z in x[:5]:
+        margin = np.log(101 / 201) + scale * (log_density(z, 1) - log_density(z, 0))
+        assert m.score(z[None])[0] == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -60, 60))), rel=1e-6)
+
+
+def test_quality_odd_inputs(spark):
+    d, labels = tables(spark)
+    one = quality_qda.fit(d, labels.where("quality = 1"))
+    assert {round(r["quality_score"], 6) for r in quality_qda.score(docs(spark, ODD), one).collect()} != set()
+    rows = quality_qda.score(docs(spark, ODD + ODD[:2]), quality_qda.fit(d, labels)).collect()
+    assert len(rows) == len(ODD) + 2 and all(0 <= r["quality_score"] <= 1 for r in rows)
+    assert rows[0]["quality_score"] == rows[1]["quality_score"]
+    assert quality_qda.score(docs(spark, []), one).count() == 0
+    kept = quality_qda.keep_good(docs(spark, ODD), labels.limit(0))
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+
+
+# Lines.
+
+
+def brute_repeated(words, k=5):
+    at = {}
+    for i in range(len(words) - k + 1):
+        at.setdefault(tuple(words[i : i + k]), []).append(i)
+    return len({j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + k)})
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_repeated_words(seed):
+    r = random.Random(seed)
+    words = [b"%d" % r.randrange(r.choice([1, 2, 3, 30])) for _ in range(r.randrange(60))]
+    assert line_crf.repeated_words(words) == brute_repeated(words)
+
+
+def brute_path(field, x):
+    best = None
+    gain = x @ field.weights
+    for n in range(1 << len(x)):
+        path = [n >> (len(x) - 1 - i) & 1 for i in range(len(x))]
+        total = sum(g for g, p in zip(gain, path, strict=True) if p) + sum(field.transitions[a, b] for a, b in zip(path, path[1:], strict=False))
+        if best is None or total > best[0] + 1e-12:
+            best = (total, path)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_viterbi(seed):
+    r = np.random.default_rng(seed)
+    field = line_crf.LineField(r.normal(size=10), r.normal(size=(2, 2)))
+    x = r.normal(size=(r.integers(1, 9), 10))
+    path = field.viterbi(x).tolist()
+    total = sum(g for g, p in zip(x @ field.weights, path, strict=True) if p) + sum(field.transitions[a, b] for a, b in zip(path, path[1:], strict=False))
+    assert total == pytest.approx(brute_path(field, x)[0])
+
+
+def test_lines_counts_and_odd_inputs(spark):
+    d, labels = tables(spark)
+    field = line_crf.fit(d, labels)
+    rows = {r["doc_id"]: r for r in line_crf.label_lines(docs(spark, ODD), field).collect()}
+    for i, t in enumerate(ODD):
+        t = t or ""
+        words = t.encode().split()
+        lines = [x for x in t.split("\n") if x.encode().split()]
+        got = rows[i]
+        assert got["n_words"] == len(words) and got["word_chars"] == sum(len(w.decode()) for w in words)
+        assert got["n_symbols"] == sum(c in "#*$%&|<>" for c in t) and got["n_dup_lines"] == len(lines) - len(set(lines))
+        assert got["base_failed"] == (len(words) < 10 or 100 * got["n_repeat_words"] > 20 * len(words))
+        assert not (got["kept"] and got["base_failed"]) and len(got["line_labels"]) == t.count("\n") + 1
+    assert line_crf.label_lines(docs(spark, []), field).count() == 0
+    found = line_crf.label_lines(d, field).join(labels.select("doc_id", "quality"), "doc_id").where("NOT base_failed").collect()
+    assert np.mean([r["kept"] == (r["quality"] == 1) for r in found]) > 0.97
+    blank = line_crf.fit(d, labels.limit(0))
+    assert line_crf.label_lines(docs(spark, ["word " * 5 + "other things are here now too"]), blank).first()["kept"]
+
+
+# Chat.
+
+
+def test_chat_round_trip(spark):
+    r = random.Random(2)
+    parts = ["<|im_end|>", "<|", "\\", "\\\\", "|", "<", "\n", "assistant", "é", "😀", "", "<\\|"]
+    said = [(c, t, r.choice(["user", "assistant", "system", "we\\ird\n", None]), r.choice([None, "".join(r.choice(parts) for _ in range(r.randrange(8)))])) for c in range(40) for t in range(r.randrange(1, 6))]
+    said += [(None, 0, "user", "x"), (7, None, "user", "first"), (7, 0, "user", "dup"), (7, 0, "user", "dup")]
+    rows = spark.createDataFrame(said, "conv_id long, turn int, role string, text string").withColumnRenamed("x", "x")
+    made = chat_format.format_conversations(rows)
+    got = {x["conv_id"]: x for x in chat_format.read_back(made).collect()}
+    assert len(got) == len({c for c, *_ in said})
+    for c, x in got.items():
+        mine = sorted((s for s in said if s[0] == c), key=lambda s: (-1 if s[1] is None else s[1], s[2] is not None, s[2] or "", s[3] is not None, s[3] or ""))
+        text = "".join(f"{s[2] or ''}\n{s[3] or ''}\n" for s in mine)
+        loss = "".join(s[3] or "" for s in mine if s[2] == "assistant")
+        assert (x["n_turns"], x["turns_sha256"]) == (len(mine), hashlib.sha256(text.encode()).hexdigest())
+        assert (x["loss_chars"], x["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat_format.format_conversations(rows.limit(0)).count() == 0
+
+
+def test_chat_conversations_over_batches(spark):
+    """Conversations that begin and end anywhere in Arrow batches, and one that spans several."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        said = [(c, t, "assistant", f"{c}:{t}") for c in range(20) for t in range(40 if c == 3 else c % 5 + 1)]
+        rows = spark.createDataFrame(said, "conv_id long, turn int, role string, text string").coalesce(1)
+        got = {x["conv_id"]: x["n_turns"] for x in chat_format.read_back(chat_format.format_conversations(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == dict(Counter(c for c, *_ in said))
+
+
+# Packing.
+
+
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_word_coder_equals_tokenizer():
+    path, plain = tokenizer()
+    r = random.Random(4)
+    signs = list("aB'.,!<|>#é́ Éß12\t\x1cσΣ-_İ ’—")
+    texts = ["".join(r.choice(signs) for _ in range(40)) for _ in range(1500)]
+    texts += ["a<|endoftext|>b <|ENDOFTEXT|> x", "", " \n", "don't can't. it's,, x!!'s 12.5", "İstanbul, ŚŚ."]
+    for slice_ in (texts, texts[:3], [t for t in texts if "<|" not in t]):
+        got = packing.WordCoder(path).encode(pa.array([*slice_, None]))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in slice_] + [[]]
+        assert [x.tolist() for x in got] == want
+
+
+def test_pieces_and_packing(spark):
+    path, plain = tokenizer()
+    texts = ["one two three. " * n for n in (1, 3, 50, 400, 2000)] + [None, "", "x"]
+    pieces = packing.token_pieces(docs(spark, texts), path, capacity=64)
+    rows = pieces.collect()
+    for i, t in enumerate(texts):
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [1]
+        mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert np.concatenate([np.frombuffer(r["ids"], "<u4") for r in mine]).tolist() == ids
+        assert [r["start"] for r in mine] == list(range(0, len(ids), 64)) and all(r["length"] == 64 for r in mine[:-1])
+    done = packing.pack(pieces.drop("ids"), len(rows), capacity=64, group_rows=20).collect()
+    check_packing(done, 64)
+    assert packing.pack(pieces.limit(0), 0).count() == 0
+
+
+def check_packing(rows, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for v in by.values():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+def brute_bins(sizes, capacity):
+    """The least number of bins, by search."""
+    sizes = sorted(sizes, reverse=True)
+    for n in range(-(-sum(sizes) // capacity), len(sizes) + 1):
+        bins = [0] * n
+
+        def place(i):
+            if i == len(sizes):
+                return True
+            tried = set()
+            for b in range(n):
+                if bins[b] + sizes[i] <= capacity and bins[b] not in tried:
+                    tried.add(bins[b])
+                    bins[b] += sizes[i]
+                    if place(i + 1):
+                        return True
+                    bins[b] -= sizes[i]
+            return False
+
+        if place(0):
+            return n
+    return len(sizes)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_bins_near_the_least(seed):
+    r = random.Random(seed)
+    sizes = np.array([r.randrange(1, 60) for _ in range(11)])
+    packed = packing.pack_lengths(sizes, 100)
+    assert sorted(i for b in packed for i in b) == list(range(11)) and all(sizes[b].sum() <= 100 for b in packed)
+    assert len(packed) <= brute_bins(sizes.tolist(), 100) + 1
+    assert len(packed) <= len(packing.best_fit(sizes, 100))
+
+
+def test_local_search_swaps():
+    """Best fit in decreasing order needs four bins; a swap between two others makes room for the last item."""
+    sizes = np.array([44, 24, 24, 22, 21, 17, 8, 8, 6, 6])
+    first = packing.best_fit(sizes, 60)
+    after = packing.local_search([list(b) for b in first], sizes, 60)
+    assert (len(first), len(after)) == (4, 3) and all(sizes[b].sum() == 60 for b in after)
+    for seed in range(300):
+        r = random.Random(seed)
+        sizes = np.array([r.randrange(20, 60) for _ in range(12)])
+        first = packing.best_fit(sizes, 100)
+        after = packing.local_search([list(b) for b in first], sizes, 100)
+        assert sorted(i for b in after for i in b) == list(range(12)) and all(sizes[b].sum() <= 100 for b in after)
+        assert len(after) <= len(first)
+
+
+# Pseudonyms.
+
+KEY = b"test"
+
+
+@pytest.mark.parametrize("size", [2, 10, 97, 1000])
+def test_permutation(size):
+    assert sorted(pseudonyms.permute(i, size, KEY, "k") for i in range(size)) == list(range(size))
+    assert [pseudonyms.permute(i, size, b"other", "k") for i in range(size)] != [pseudonyms.permute(i, size, KEY, "k") for i in range(size)] or size == 2
+
+
+def valid_card(rng, n=16):
+    body = "".join(str(rng.randrange(10)) for _ in range(n - 1))
+    return body + str(pseudonyms.luhn_digit(body))
+
+
+def test_formats_survive():
+    r = random.Random(3)
+    for n in (13, 16, 19):
+        c = valid_card(r, n)
+        new = pseudonyms.card(c, KEY)
+        assert len(new) == n and new != c and pseudonyms.luhn_digit(new[:-1]) == int(new[-1])
+    assert pseudonyms.card("1234567812345678", KEY) is None
+    assert pseudonyms.iban("DE89370400440532013000", KEY)[:2] == "DE"
+    assert pseudonyms.iban(pseudonyms.iban("DE89 3704 0044 0532 0130 00", KEY), KEY) is not None
+    assert pseudonyms.iban("DE00370400440532013000", KEY) is None
+    assert pseudonyms.ssn("000-12-3456", KEY) is None and pseudonyms.ssn(pseudonyms.ssn("665-12-3456", KEY), KEY)
+    for t in ("2024-02-29", "31/12/1999", "12/31/1999", "01.02.2003"):
+        new = pseudonyms.date(t, KEY)
+        assert len(new) == len(t) and [c for c in new if not c.isdigit()] == [c for c in t if not c.isdigit()]
+        year = int(new[:4] if t[4] == "-" else new[-4:])
+        assert 1900 <= year < 2100
+    assert pseudonyms.date("2023-02-29", KEY) is None
+    days = {pseudonyms.date((datetime.date(1990, 1, 1) + datetime.timedelta(d)).isoformat(), KEY) for d in range(2000)}
+    assert len(days) == 2000
+    octets = pseudonyms.ipv4("10.0.0.1", KEY).split(".")
+    assert len(octets) == 4 and all(0 <= int(o) < 256 for o in octets)
+    assert pseudonyms.ipv4("10.0.0.256", KEY) is None
+    assert pseudonyms.phone("+1 (427) 555-5262", KEY).startswith("+1 (")
+    assert pseudonyms.email("jo.81@mail7.example.com", KEY).endswith("@mail7.example.com")
+    assert pseudonyms.email("JO.81@MAIL7.EXAMPLE.COM", KEY).lower() == pseudonyms.email("jo.81@mail7.example.com", KEY)
+    secret = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    assert pseudonyms.secret(secret.upper(), KEY) == pseudonyms.secret(secret, KEY).upper()
+
+
+def test_texts(spark):
+    r = random.Random(5)
+    c = valid_card(r)
+    text = f"Pay {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} or {c}### from jo.81@mail7.example.com, 97.51.17.173. Call +1 (427) 555-5262%%%\non 2024-02-29 1234567812345678 v2.0.1.3.4 x"
+    new, spans = pseudonyms.pseudonymise(text, KEY)
+    assert [s["kind"] for s in spans] == ["card", "card", "email", "ipv4", "phone", "date"]
+    assert "1234567812345678" in new and c not in new and len(new) == len(text) + len(pseudonyms.ipv4("97.51.17.173", KEY)) - 12
+    assert pseudonyms._digits(new[4:23]) == new[27:43]  # one card, two formats, one pseudonym
+    kept = "".join(text[a["stop"] : b["start"]] for a, b in zip(spans, spans[1:], strict=False))
+    assert kept.startswith(" or ###"[:4]) and text[spans[-1]["stop"] :] == new[-len(text) + spans[-1]["stop"] :]
+    rows = pseudonyms.replace_personal_data(docs(spark, [*ODD, text, text]), KEY).orderBy("doc_id").collect()
+    assert [x["text"] for x in rows[: len(ODD)]] == ODD and rows[-1]["text"] == rows[-2]["text"] == new and rows[-1]["n_found"] == 6
+    assert pseudonyms.replace_personal_data(docs(spark, []), KEY).count() == 0
+    long = ("a@b.cc " * 20_000).strip()
+    assert len(pseudonyms.pseudonymise(long, KEY)[1]) == 20_000
+
+
+# Toxicity.
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_block_index_is_exact(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 400))
+    x = np.maximum(r.normal(-1, 1, (n, 30)), 0).astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    q = x[r.integers(0, n, 20)] + np.maximum(r.normal(-2, 1, (20, 30)), 0).astype(np.float32)
+    who, near = toxicity.BlockIndex.build(x).nearest(q, 9)
+    full = np.round((q @ x.T).astype(np.float64), 6)
+    for i in range(20):
+        want = np.sort(full[i])[::-1][:9]
+        assert np.allclose(near[i][: len(want)], want, atol=2e-6)
+        for j, s in zip(who[i], near[i], strict=True):
+            assert j < 0 or abs(full[i][j] - s) < 2e-6
+
+
+def test_toxicity_held_out(spark):
+    d, labels = tables(spark)
+    model = toxicity.fit(d, labels)
+    scored = toxicity.score(d, model)
+    got = heldout(spark, scored, "toxic", threshold=0.7)
+    assert (got[got[:, 1] == 0, 0]).mean() < 0.03 and (got[:, 0] == got[:, 1]).mean() > 0.9
+    held = {r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
+    assert not held & set(model.ids.tolist())
+    rows = toxicity.score(docs(spark, ODD), model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] < 0.7 for r in rows) and rows[0]["evidence"] == []
+    assert toxicity.score(docs(spark, []), model).count() == 0
+    one = toxicity.fit(d, labels.where("toxic = 0"))
+    assert all(r["score"] < 0.5 for r in toxicity.score(docs(spark, ODD), one).collect())
+    none = toxicity.fit(d, labels.limit(0))
+    assert len(toxicity.score(docs(spark, ODD), none).collect()) == len(ODD)
+
+
+def test_training_labels_are_bounded(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(3000)] + [(None, 1), (5, None), (7, 1)], "doc_id long, quality int")
+    got = common.training_labels(rows, "quality", 100).collect()
+    assert 50 < len(got) < 150 and all(zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 for r in got)

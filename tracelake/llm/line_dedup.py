@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import common
@@ -180,6 +180,16 @@ def deletions(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     )
 
 
+def _without_deleted(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame, Column]:
+    """(rows joined to their deletions, the deletions, the text that stays)."""
+    cut = deletions(documents, least).select(F.col("doc_id").alias("cut_id"), F.col("spans").alias("deleted_spans"), F.col("sources").alias("copied_from"))
+    joined = documents.join(cut, documents["doc_id"] == cut["cut_id"], "left")
+    spans = cut["deleted_spans"]
+    lines = F.split(documents["text"], "\n", -1)
+    stays = F.filter(lines, lambda _, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["stop"])))
+    return joined, cut, F.when(spans.isNull(), documents["text"]).otherwise(F.array_join(stays, "\n"))
+
+
 def dedup(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``documents`` with ``text`` less its deleted lines, and columns ``deleted_spans`` and ``copied_from``.
 
@@ -188,19 +198,14 @@ def dedup(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     that share a doc_id are not compared with one another.  An empty table gives
     an empty table.  Columns named deleted_spans or copied_from are replaced.
     """
-    cut = deletions(documents, least).select(F.col("doc_id").alias("cut_id"), F.col("spans").alias("deleted_spans"), F.col("sources").alias("copied_from"))
+    joined, cut, text = _without_deleted(documents, least)
     keep = [c for c in documents.columns if c not in ("deleted_spans", "copied_from")]
-    rows = documents.select(*keep)
-    joined = rows.join(cut, rows["doc_id"] == cut["cut_id"], "left")
-    spans = cut["deleted_spans"]
-    lines = F.split(rows["text"], "\n", -1)
-    stays = F.filter(lines, lambda _, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["stop"])))
-    text = F.when(spans.isNull(), rows["text"]).otherwise(F.array_join(stays, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else rows[c] for c in keep], spans, cut["copied_from"])
+    return joined.select(*[text.alias(c) if c == "text" else documents[c] for c in keep], cut["deleted_spans"], cut["copied_from"])
 
 
-def clean(documents: DataFrame) -> DataFrame:
+def clean(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``documents`` after ``dedup``, with n_chars brought up to date and without texts that lost every word."""
-    done = dedup(documents).where(F.col("deleted_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in documents.dtypes]
-    return done.select(*columns)
+    joined, cut, text = _without_deleted(documents, least)
+    joined = joined.where(cut["deleted_spans"].isNull() | text.rlike(r"[^\x20\x09-\x0D]"))
+    fresh = {"text": text, "n_chars": F.length(text)}
+    return joined.select(*[fresh[c].cast(t).alias(c) if c in fresh else documents[c] for c, t in documents.dtypes])

@@ -27,6 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Rows that a group holds on average; its loss against perfect packing is a bin or so.
 GROUP_ROWS = 16_384
+#: Exchanges for each bin of a group after which the local search stops.
+EFFORT = 20
 #: Words whose ids a worker remembers before it starts afresh (a memory bound, not a cap on texts).
 REMEMBERED = 1_200_000
 #: Text that is encoded at once.
@@ -198,19 +200,26 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty the least full bins by moves and swaps; never more bins than given.
 
-    An exchange takes from the least full bin and fills a fuller one, so the sum of
-    squared fills only rises and the search ends.
+    An exchange takes from a bin and fills a fuller one, so the sum of squared fills
+    only rises.  Underfull bins give in order of their fill; after any exchange the
+    emptiest is tried again.  The search ends at the least possible number of bins,
+    when no exchange is left, or after ``EFFORT`` exchanges a bin.
     """
     least = -(-int(lengths.sum()) // capacity)
     fill = [int(lengths[b].sum()) for b in bins]
     size = lengths.tolist()
     alive = set(range(len(bins)))
     stuck: set[int] = set()
-    while len(alive) > least and len(stuck) < len(alive):
-        low = min((b for b in alive if b not in stuck), key=lambda b: (fill[b], b))
+    left = EFFORT * len(bins)
+    while len(alive) > least and left > 0:
+        givers = [b for b in alive if b not in stuck and fill[b] < capacity]
+        if not givers:
+            break
+        low = min(givers, key=lambda b: (fill[b], b))
+        before = left
         others = sorted((b for b in alive if b != low and fill[b] < capacity and fill[b] >= fill[low]), key=lambda b: -fill[b])
         improved = True
-        while improved and bins[low]:
+        while improved and bins[low] and left > 0:
             improved = False
             for item in sorted(bins[low], key=lambda i: -size[i]):
                 done = False
@@ -248,14 +257,16 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
                     fill[b] += gain
                     fill[low] -= gain
                     done = improved = True
+                    left -= 1
                     break
                 if done:
                     break
-        if bins[low]:
-            stuck.add(low)
-        else:
+        if not bins[low]:
             alive.discard(low)
+        if left < before:
             stuck.clear()
+        else:
+            stuck.add(low)
     return [bins[b] for b in sorted(alive)]
 
 

@@ -131,8 +131,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_RO
     return fit_matrix(x, found["label"].to_numpy(dtype=np.int64))
 
 
-def score(documents: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1, higher: better) for each row.
+def score(documents: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), name: str = "quality_score") -> DataFrame:
+    """``keep`` columns and the score (0 to 1, higher: better) as ``name`` for each row.
 
     Null and empty texts are scored as empty texts, repeated rows each get their
     row, an empty table gives an empty table; other columns are ignored.
@@ -141,14 +141,17 @@ def score(documents: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("d
     kinds = dict(rows.dtypes)
 
     def work(c: dict[str, list]) -> dict[str, list]:
-        return {k: c[k] for k in keep} | {"quality_score": model.score(matrix(c["text"])).tolist()}
+        return {k: c[k] for k in keep} | {name: model.score(matrix(c["text"])).tolist()}
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
-    return common.map_batches(rows, work, f"{schema}, quality_score double")
+    return common.map_batches(rows, work, f"{schema}, {name} double")
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``documents`` that score at least ``threshold``."""
     model = fit(documents, labels)
     columns = tuple(documents.columns)
-    return score(documents, model, columns).where(F.col("quality_score") >= threshold).select(*columns)
+    name = "quality_score"
+    while name in columns:
+        name += "_"
+    return score(documents, model, columns, name).where(F.col(name) >= threshold).select(*columns)

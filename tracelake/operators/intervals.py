@@ -41,6 +41,37 @@ def innermost(points: DataFrame, spans: DataFrame, on: Sequence[str], width: int
     return found.groupBy(*key).agg(F.max(F.struct(F.col(span[0]).alias("entry"), F.col(value).alias("value"))).alias("best")).select(*key, F.col("best.value").alias(value))
 
 
+def carry_forward(points: DataFrame, marks: DataFrame, keys: Sequence[str], values: Sequence[str], width: int = 1 << 16) -> DataFrame:
+    """``points`` (keys.., at, sub, ..) with each of ``values``: the last that isn't null among marks at or before the point.
+
+    ``marks`` has keys.., at, sub and the values.  ``sub`` orders rows of one ``at``; of
+    equals the point comes last.  Rows are put in order within buckets of ``width``
+    places, and each bucket's last values are then carried over the buckets, so a
+    key's rows need not meet in one task.  The plan holds ``points`` twice: carry
+    several values at once rather than one after the other.
+    """
+    own = F.struct(*points.columns).alias("__point")
+    empty = [F.lit(None).cast(marks.schema[v].dataType).alias(v) for v in values]
+    rows = (
+        points.select(*keys, "at", "sub", *empty, own)
+        .unionByName(marks.select(*keys, "at", "sub", *values), allowMissingColumns=True)
+        .withColumn("__b", F.floor(F.col("at") / width))
+        .withColumn("__is", F.col("__point").isNotNull())
+    )
+    order = Window.partitionBy(*keys, "__b").orderBy("at", "sub", "__is").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({f"__near_{v}": F.last(v, ignorenulls=True).over(order) for v in values}).where("__is")
+    when = F.struct("at", "sub")
+    ends = marks.withColumn("__b", F.floor(F.col("at") / width)).groupBy(*keys, "__b").agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), when)).alias(f"__end_{v}") for v in values]
+    )
+    asked = points.select(*keys, F.floor(F.col("at") / width).alias("__b")).distinct()
+    across = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    far = [F.last(f"__end_{v}", ignorenulls=True).over(across).alias(f"__far_{v}") for v in values]
+    carried = ends.join(asked, [*keys, "__b"], "full_outer").select(*keys, "__b", *far)
+    found = seen.join(carried, [*keys, "__b"], "left")
+    return found.select("__point.*", *[F.coalesce(f"__near_{v}", f"__far_{v}").alias(v) for v in values])
+
+
 def stabbing(spans: DataFrame, at: int, n: int, span: tuple[str, str], tid: int | None = None) -> DataFrame:
     """The ``n`` spans that hold ``at``, innermost (greatest entry) first, with ``has_more``."""
     entry, last = span

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.intervals import overlap_join, points_in_intervals
+from tracelake.operators.intervals import carry_forward, overlap_join
+from tracelake.operators.ranges import coalesce_ranges
 
 MAX_RANGE, MAX_ROWS = 1 << 20, 10_000
 WIDTH = 4096
@@ -49,30 +50,42 @@ def state_at(targets: DataFrame, memory: DataFrame, discontinuities: DataFrame,
     unavailable ones damage; damage after the last write hides it.  Without a global
     order other threads' writes, whenever they were, damage the bytes they touch.
     """
+    no_thread = F.lit(-1).cast("bigint")  # thread ids are unsigned 32-bit, so this is none of them
     targets = check_targets(targets)
-    cells = targets.where("lo < hi").select("artifact", "timeline", "target", F.col("row").alias("t_row"), F.col("tid").alias("t_tid"), F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("byte_at"))
-    touching = _touching(targets, memory)
-    writes = touching.where(F.col("direction").isin("write", "read_write"))
-    mine = writes.where("row < t_row AND after.state <> 'not_captured'")
-    if not global_ordering:
-        mine = mine.where(F.col("tid").eqNullSafe(F.col("t_tid")))
+    bytes_ = F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("byte_at")
+    place = ["artifact", "timeline", "byte_at"]
+    cells = targets.where("lo < hi").select("artifact", "timeline", "target", F.col("row").alias("t_row"), F.col("tid").alias("t_tid"), bytes_)
+    # Each write is cut into bytes once, however many targets ask for them.
+    asked = coalesce_ranges(targets.where("lo < hi").select("artifact", "timeline", "lo", "hi").distinct(), ["artifact", "timeline"], inclusive=False)
+    writes = overlap_join(asked, memory.where("direction IN ('write', 'read_write')"), ["artifact", "timeline"], WIDTH, ("lo", "hi"), ("address", "end_exclusive"))
     damaged = F.col("after.state") == "unavailable"
     length = F.when(damaged, F.col("size")).otherwise(F.least(F.octet_length("after.bytes").cast("bigint"), F.col("size")))
-    last = _bytes_of(mine, length).groupBy("target", "byte_at").agg(
-        F.max(F.struct("row", F.when(~damaged, _byte(F.col("after.bytes"), F.col("i"))).alias("value"), damaged.alias("damaged"), "tid")).alias("w")
+    effective = _bytes_of(writes.where("after.state <> 'not_captured'"), length).select(
+        *place, F.coalesce("tid", no_thread).alias("tid"), F.col("row").alias("at"), F.lit(1).alias("sub"), F.struct("row", F.when(~damaged, _byte(F.col("after.bytes"), F.col("i"))).alias("value"), damaged.alias("damaged"), "tid").alias("w")
     )
-
     # Discontinuities: the latest that covers a byte, for all threads and for the target's own.
-    scoped = targets.select("artifact", "timeline", "target", F.col("row").alias("t_row"), F.col("tid").alias("t_tid")).join(
-        discontinuities.select("artifact", "timeline", F.col("row").alias("d_row"), F.col("tid").alias("d_tid"), "domain", F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi")),
-        ["artifact", "timeline"],
-    ).where("d_row <= t_row AND (d_tid IS NULL OR d_tid = t_tid)")
-    all_threads, own = F.max(F.when(F.col("d_tid").isNull(), F.col("d_row"))), F.max(F.when(F.col("d_tid").isNotNull(), F.col("d_row")))
-    whole = scoped.where("domain <> 'memory'").groupBy("target").agg(all_threads.alias("da"), own.alias("do"))
-    ranged = scoped.where("domain = 'memory' AND d_lo < d_hi").select("target", "d_row", "d_tid", "d_lo", (F.col("d_hi") - 1).alias("d_last"))
-    local = points_in_intervals(cells.select("target", "byte_at"), ranged, ["target"], WIDTH, "byte_at", ("d_lo", "d_last"))
-    local = local.groupBy("target", "byte_at").agg(all_threads.alias("la"), own.alias("lo_"))
-    cells = cells.join(last, ["target", "byte_at"], "left").join(whole, "target", "left").join(local, ["target", "byte_at"], "left")
+    gone = discontinuities.select("artifact", "timeline", "tid", "domain", "lo", "hi", F.col("row").alias("at"), F.lit(1).alias("sub"), F.col("row").alias("mark"))
+    spans = gone.where("domain = 'memory' AND lo < hi").select("artifact", "timeline", "tid", "at", "sub", "mark", F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi"))
+    local = overlap_join(asked, spans, ["artifact", "timeline"], WIDTH, ("lo", "hi"), ("d_lo", "d_hi"))
+    cut = F.explode(F.sequence(F.greatest("lo", "d_lo"), F.least("hi", "d_hi") - 1)).alias("byte_at")
+    local = local.select("artifact", "timeline", "tid", "at", "sub", "mark", cut)
+    # Marks of all threads on bytes: writes (seen by later rows) and damage (seen by its own row too).
+    damage_all = local.where("tid IS NULL").select(*place, "at", F.lit(-1).alias("sub"), F.col("mark").alias("la"))
+    cells = cells.withColumn("at", F.col("t_row")).withColumn("sub", F.lit(0)).withColumn("tid", F.coalesce("t_tid", no_thread))
+    if global_ordering:
+        marks = effective.drop("tid").unionByName(damage_all, allowMissingColumns=True)
+        cells = carry_forward(cells, marks, place, ["w", "la"])
+        cells = carry_forward(cells, local.where("tid IS NOT NULL").select(*place, "tid", "at", F.lit(-1).alias("sub"), F.col("mark").alias("lo_")), [*place, "tid"], ["lo_"])
+    else:
+        marks = effective.unionByName(local.where("tid IS NOT NULL").select(*place, "tid", "at", F.lit(-1).alias("sub"), F.col("mark").alias("lo_")), allowMissingColumns=True)
+        cells = carry_forward(cells, marks, [*place, "tid"], ["w", "lo_"])
+        cells = carry_forward(cells, damage_all, place, ["la"])
+    # Damage of whole ranges depends on the target alone.
+    whole = gone.where("domain <> 'memory'").select("artifact", "timeline", "tid", "at", F.lit(-1).alias("sub"), "mark")
+    ends = targets.select("artifact", "timeline", "target", "tid", F.col("row").alias("at"), F.lit(0).alias("sub"))
+    by_all = carry_forward(ends, whole.where("tid IS NULL").drop("tid"), ["artifact", "timeline"], ["mark"]).select("target", F.col("mark").alias("da"))
+    by_own = carry_forward(ends, whole.where("tid IS NOT NULL"), ["artifact", "timeline", "tid"], ["mark"]).select("target", F.col("mark").alias("do"))
+    cells = cells.join(by_all, "target", "left").join(by_own, "target", "left")
     d_all, d_own = F.greatest("da", "la"), F.greatest("do", "lo_")
     hidden = F.when(F.col("w").isNull(), d_all.isNotNull() | d_own.isNotNull()).otherwise(
         F.coalesce(d_all > F.col("w.row"), F.lit(False)) | F.coalesce((d_own > F.col("w.row")) & F.col("w.tid").eqNullSafe(F.col("t_tid")), F.lit(False))
@@ -80,9 +93,10 @@ def state_at(targets: DataFrame, memory: DataFrame, discontinuities: DataFrame,
     if global_ordering:
         conflict = F.lit(False)
     else:
-        others = _bytes_of(writes.where(~F.col("tid").eqNullSafe(F.col("t_tid"))), F.col("size")).select("target", "byte_at").distinct().withColumn("conflict", F.lit(True))
-        cells = cells.join(others, ["target", "byte_at"], "left")
-        conflict = F.coalesce("conflict", F.lit(False))
+        who = _bytes_of(writes, F.col("size")).groupBy(*place).agg(F.min("tid").alias("w_min"), F.max("tid").alias("w_max"), F.bool_or(F.col("tid").isNull()).alias("w_none"))
+        cells = cells.join(who, place, "left")
+        other = (F.col("w_min") != F.col("t_tid")) | (F.col("w_max") != F.col("t_tid")) | F.col("w_none")
+        conflict = F.coalesce(F.when(F.col("t_tid").isNull(), F.col("w_min").isNotNull()).otherwise(other), F.lit(False))
     broken = hidden | conflict | F.coalesce("w.damaged", F.lit(False))
     cell = lambda value, provenance, evidence: F.struct(value.alias("value"), provenance.alias("provenance"), evidence.alias("evidence"))
     none_i, none_l = F.lit(None).cast("int"), F.lit(None).cast("bigint")
@@ -92,7 +106,7 @@ def state_at(targets: DataFrame, memory: DataFrame, discontinuities: DataFrame,
     cells = cells.withColumn("last_written", written).withColumn("__conflict", conflict).select("artifact", "timeline", "target", "t_row", "byte_at", "last_written", "__conflict")
 
     # The target's own access.
-    at = _touching(targets, memory).where("row = t_row")
+    at = targets.select("artifact", "timeline", "target", "row", "lo", "hi").join(memory.drop("tid"), ["artifact", "timeline", "row"]).where("address < end_exclusive")
     own_bytes = _bytes_of(at, F.col("size")).select(
         "target", "byte_at", F.col("row").alias("o_row"), "direction", "metadata_available",
         F.when(F.col("metadata_available") & (F.col("i") < 8), _value_byte(F.col("value"), F.col("i"))).alias("seen"),

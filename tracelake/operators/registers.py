@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import REGISTERS, truncate_value, width_mask
+from tracelake.operators.intervals import carry_forward
 
 SCOPE = ("artifact", "timeline", "tid")
 
@@ -33,12 +34,6 @@ def invalidations(discontinuities: DataFrame, obs: DataFrame) -> DataFrame:
     return gaps.unionByName(deltas)
 
 
-def _spread(broken: DataFrame, threads: DataFrame) -> DataFrame:
-    """Invalidations of all threads as one for each thread."""
-    everyone = broken.where("tid IS NULL").select("artifact", "timeline", "row").join(threads, ["artifact", "timeline"])
-    return broken.where("tid IS NOT NULL").select(*SCOPE, "row").unionByName(everyone.select(*SCOPE, "row")).distinct()
-
-
 def states_at(targets: DataFrame, obs: DataFrame, broken: DataFrame, replay: DataFrame, slots: int = REGISTERS) -> DataFrame:
     """(scope, target_row, slot, side, value, known_mask, width, provenance, evidence): cells before and after targets.
 
@@ -48,23 +43,22 @@ def states_at(targets: DataFrame, obs: DataFrame, broken: DataFrame, replay: Dat
     It is captured where its row is the latest replayed event, else derived.
 
     All targets are answered in one pass: observations and targets of a register are
-    put in one order and the last observation is carried forward.
+    put in one order and the last observation is carried forward; invalidations of all
+    threads are carried once for the timeline, not once for each thread.
     """
     clean = normalized_observations(obs)
-    marks = clean.select(*SCOPE, "slot", "row", "phase", F.col("obs_ordinal").alias("ordinal"), F.struct("row", "value", "known_mask", F.col("captured_width").alias("width")).alias("o"))
+    place = F.col("phase") * F.lit(1 << 20) + F.col("obs_ordinal")
+    marks = clean.select(*SCOPE, "slot", F.col("row").alias("at"), place.alias("sub"), F.struct("row", "value", "known_mask", F.col("captured_width").alias("width")).alias("held"))
     asked = targets.select(*SCOPE, "row").distinct()
-    points = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    nothing = F.lit(None).cast(marks.schema["o"].dataType)
-    big = F.lit(2**31 - 1)
-    before = points.select(*SCOPE, "slot", "row", F.lit(0).alias("phase"), big.alias("ordinal"), nothing.alias("o"))
-    after = points.select(*SCOPE, "slot", "row", F.lit(1).alias("phase"), big.alias("ordinal"), nothing.alias("o"))
-    rows = marks.withColumn("side", F.lit(None).cast("string")).unionByName(before.withColumn("side", F.lit("before"))).unionByName(after.withColumn("side", F.lit("after")))
-    order = Window.partitionBy(*SCOPE, "slot").orderBy("row", "phase", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    cells = rows.withColumn("held", F.last("o", ignorenulls=True).over(order)).where("side IS NOT NULL")
-    threads = targets.select(*SCOPE).distinct()
-    bad = as_of(asked, _spread(broken, threads), "broken_row")
-    seen = as_of(asked, replay.select(*SCOPE, "row"), "replay_row")
-    cells = cells.join(bad, [*SCOPE, "row"], "left").join(seen, [*SCOPE, "row"], "left")
+    last = asked.select(*SCOPE, "row", F.col("row").alias("at"), F.lit(0).alias("sub"))
+    gone = broken.select("artifact", "timeline", "tid", F.col("row").alias("at"), F.lit(0).alias("sub"), F.col("row").alias("mark"))
+    own = carry_forward(last, gone.where("tid IS NOT NULL"), list(SCOPE), ["mark"]).select(*SCOPE, "row", F.col("mark").alias("own_row"))
+    everyone = carry_forward(last, gone.where("tid IS NULL").drop("tid"), ["artifact", "timeline"], ["mark"]).select(*SCOPE, "row", F.col("mark").alias("all_row"))
+    seen = carry_forward(last, replay.select(*SCOPE, F.col("row").alias("at"), F.lit(0).alias("sub"), F.col("row").alias("mark")), list(SCOPE), ["mark"]).select(*SCOPE, "row", F.col("mark").alias("replay_row"))
+    facts = own.join(everyone, [*SCOPE, "row"]).join(seen, [*SCOPE, "row"]).withColumn("broken_row", F.greatest("own_row", "all_row"))
+    sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), F.lit((1 << 20) - 1).alias("sub")), F.struct(F.lit("after").alias("side"), F.lit(2**31 - 1).alias("sub"))))
+    points = facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")).select("*", sides.alias("__side")).select("*", F.col("__side.side").alias("side"), F.col("__side.sub").alias("sub"), F.col("row").alias("at")).drop("__side")
+    cells = carry_forward(points, marks, [*SCOPE, "slot"], ["held"])
     valid = F.col("held").isNotNull() & ~F.coalesce(F.col("broken_row") > F.col("held.row"), F.lit(False))
     pick = lambda c: F.when(valid, F.col(f"held.{c}"))
     provenance = F.when(~valid, "unknown").when(F.col("held.row") == F.col("replay_row"), "captured").otherwise("derived")
@@ -75,15 +69,6 @@ def states_at(targets: DataFrame, obs: DataFrame, broken: DataFrame, replay: Dat
     )
 
 
-def as_of(points: DataFrame, marks: DataFrame, name: str) -> DataFrame:
-    """(scope, row, name): the greatest mark row at or before each point of the same scope."""
-    both = points.select(*SCOPE, "row", F.lit(1).alias("p"), F.lit(None).cast("bigint").alias("m")).unionByName(
-        marks.select(*SCOPE, "row", F.lit(0).alias("p"), F.col("row").alias("m"))
-    )
-    order = Window.partitionBy(*SCOPE).orderBy("row", "p").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(name, F.max("m").over(order)).where("p = 1").select(*SCOPE, "row", name)
-
-
 def latest_states(obs: DataFrame) -> DataFrame:
     """(scope, slot, value, row): the last observed value of every register of every thread."""
     clean = normalized_observations(obs)

@@ -149,6 +149,14 @@ def test_masks_lose_no_pair():
     assert min(m.bit_count() for m in masks) >= 40
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 63, 64, 65, 1000])
+def test_majorities(n):
+    x = np.random.default_rng(n).integers(0, 2**64, (n, 5), dtype=np.uint64)
+    x[: n // 2] |= np.uint64(0xFF)
+    x[: n // 2 + 1] |= np.uint64(0xFF00)
+    assert simhash.majorities(x).tolist() == [simhash._majority(x[:, k]) for k in range(5)]
+
+
 def jaccard(a, b, k=5):
     s = [{tuple(t.lower().split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in (a, b)]
     return len(s[0] & s[1]) / len(s[0] | s[1])

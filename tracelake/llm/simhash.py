@@ -70,10 +70,49 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return _majority(hashes(shingles(text, words)))
 
 
+def majorities(x: np.ndarray) -> np.ndarray:
+    """For each column of words the bits set in over half of the rows, counted by carry-save adders.
+
+    Rows of one weight are added three to two until one is left; carries go to the next
+    weight.  The sums' bit planes are then compared with the threshold, plane by plane.
+    """
+    threshold = len(x) // 2 + 1
+    planes: list[np.ndarray] = []
+    rows = x
+    while len(rows):
+        carries = []
+        while len(rows) > 1:
+            n = len(rows) // 3
+            if n:
+                a, b, c = rows[:n], rows[n : 2 * n], rows[2 * n : 3 * n]
+                half = a ^ b
+                carries.append((a & b) | (half & c))
+                rows = np.concatenate((half ^ c, rows[3 * n :])) if len(rows) > 3 * n else half ^ c
+            else:
+                carries.append(rows[:1] & rows[1:])
+                rows = rows[:1] ^ rows[1:]
+        planes.append(rows[0])
+        rows = np.concatenate(carries) if carries else rows[:0]
+    above = np.zeros(x.shape[1], dtype=np.uint64)
+    equal = ~above
+    for i in range(max(len(planes), threshold.bit_length()) - 1, -1, -1):
+        plane = planes[i] if i < len(planes) else np.zeros_like(above)
+        if threshold >> i & 1:
+            equal = equal & plane
+        else:
+            above |= equal & plane
+            equal = equal & ~plane
+    return above | equal
+
+
 def wide_fingerprint(text: str | None, words: int, size: int) -> list[int]:
     """``size`` words of 64 bits over the distinct shingles, each from its own hash."""
     h = np.unique(hashes(shingles(text, words)))
-    return [_majority(_mix(h, k)) if len(h) else 0 for k in range(size)]
+    if not len(h):
+        return [0] * size
+    if len(h) > PIECE:
+        return [_majority(_mix(h, k)) for k in range(size)]
+    return majorities(np.stack([_mix(h, k) for k in range(size)], axis=1)).tolist()
 
 
 def _signed(x: int) -> int:
@@ -230,7 +269,8 @@ def link_similar(distinct: DataFrame, size: int, similarity: float) -> DataFrame
     """
     share = differing_share(similarity)
     names = [f"f{k}" for k in range(size)]
-    limit = int(size * 64 * share)
+    # One standard deviation above the expected distance: a pair at the wanted similarity passes with 84 %.
+    limit = int(size * 64 * share + math.sqrt(size * 64 * share * (1 - share)))
     loose = math.ceil(64 * share + 3.2 * math.sqrt(64 * share * (1 - share)))
     low = (1 << 21) - 1
     keys = [

@@ -100,3 +100,16 @@ def test_metrics(spark):
     assert {r["g"]: (r["speedup"], r["passed"]) for r in done.collect()} == {"a": (2.0, True), "b": (2.0, False)}
     assert metrics.gate(done).first().asDict() == {"all_passed": False, "any_passed": True, "best": 2.0, "worst": 2.0}
     assert metrics.content_identity(1, "f", 3, "x") == metrics.content_identity(1, "f", 3, "x") != metrics.content_identity(1, "f", 4, "x")
+
+
+def test_long_and_short_intervals_meet(spark):
+    r = random.Random(11)
+    spans = [(i, a, a + r.choice([1, 5, 200, 10**4, 10**9, 2**60])) for i, a in enumerate(r.randrange(-(2**40), 2**40) if r.random() < 0.3 else r.randrange(10**5) for _ in range(80))]
+    left = spark.createDataFrame([(0, *s) for s in spans], "g long, i long, a long, b long")
+    right = left.select("g", F.col("i").alias("j"), F.col("a").alias("c"), F.col("b").alias("d"))
+    got = sorted((x["i"], x["j"]) for x in intervals.overlap_join(left, right, ["g"], 64, ("a", "b"), ("c", "d")).collect())
+    assert got == sorted((i, j) for i, a, b in spans for j, c, d in spans if a < d and c < b)
+    points = spark.createDataFrame([(0, p) for p in [0, 99_999, 5 * 10**8, -(2**39), 2**60]], "g long, p long")
+    found = sorted((x["p"], x["i"]) for x in intervals.points_in_intervals(points, left, ["g"], 64, "p", ("a", "b")).collect())
+    assert found == sorted((p, i) for p in [0, 99_999, 5 * 10**8, -(2**39), 2**60] for i, a, b in spans if a <= p <= b)
+    assert intervals.overlap_join(left.limit(0), right, ["g"], 64, ("a", "b"), ("c", "d")).count() == 0

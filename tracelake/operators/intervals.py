@@ -1,4 +1,8 @@
-"""Interval joins.  Both sides are cut into buckets and joined on the bucket, so no join is a cross join."""
+"""Interval joins.  Both sides are cut into buckets and joined on the bucket, so no join is a cross join.
+
+Buckets have widths of a power of two.  A long interval goes to wider buckets (each level
+is four times as wide), so it is one or two rows at its level however long it is.
+"""
 
 from __future__ import annotations
 
@@ -7,32 +11,67 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+TOP_LEVEL = 31
+
+
+def bucket(c: Column, width: int) -> Column:
+    """The number of the bucket of ``width`` (rounded up to a power of two) that holds a long."""
+    return F.shiftright(c.cast("bigint"), (width - 1).bit_length())
+
+
+def _at_level(c: Column, level: Column, width: int) -> Column:
+    bits = F.least(F.lit(63), level * 2 + (width - 1).bit_length())
+    return F.call_function("shiftright", c.cast("bigint"), bits.cast("int"))
+
+
+def _level(first: Column, last: Column, width: int) -> Column:
+    """The least level at which an interval spans two buckets or so."""
+    length = (last.cast("double") - first.cast("double") + 1) / width
+    return F.least(F.lit(TOP_LEVEL), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1.0))) / 2))).cast("int")
+
+
+def _present(rows: DataFrame, name: str) -> list[int]:
+    """The levels in use: at most ``TOP_LEVEL`` + 1 numbers."""
+    return sorted(r[0] for r in rows.select(name).distinct().collect())
+
 
-def _levels(start: Column, stop: Column, width: int) -> Column:
-    """Bucket numbers that [start, stop) touches."""
-    return F.sequence(F.floor(start / width), F.floor((stop - 1) / width))
+def _spread(rows: DataFrame, first: Column, last: Column, own: Column, levels: list[int], width: int) -> DataFrame:
+    """A row for each given level from its own upwards and each bucket there."""
+    wanted = F.filter(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>"), lambda x: x >= own)
+    rows = rows.withColumn("__level", F.explode(wanted))
+    level = F.col("__level")
+    return rows.withColumn("__bucket", F.explode(F.sequence(_at_level(first, level, width), _at_level(last, level, width))))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], width: int, lspan: tuple[str, str], rspan: tuple[str, str]) -> DataFrame:
     """Pairs of half-open intervals that overlap, once each; empty intervals overlap nothing.
 
-    Every interval goes to each bucket it touches.  A pair that shares several is
-    kept in the bucket of its overlap's start alone, so nothing has to be made distinct.
+    Two intervals meet at the level of the longer one.  A pair that shares several
+    buckets is kept in the bucket of its overlap's start alone, so nothing has to be
+    made distinct.
     """
     (ls, le), (rs, re) = lspan, rspan
-    a = left.where(F.col(ls) < F.col(le)).withColumn("__bucket", F.explode(_levels(F.col(ls), F.col(le), width)))
-    b = right.where(F.col(rs) < F.col(re)).withColumn("__bucket", F.explode(_levels(F.col(rs), F.col(re), width)))
-    pairs = a.join(b, [*on, "__bucket"])
-    meet = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
-    return pairs.where(meet & (F.floor(F.greatest(F.col(ls), F.col(rs)) / width) == F.col("__bucket"))).drop("__bucket")
+    a = left.where(F.col(ls) < F.col(le)).withColumn("__la", _level(F.col(ls), F.col(le) - 1, width))
+    b = right.where(F.col(rs) < F.col(re)).withColumn("__lb", _level(F.col(rs), F.col(re) - 1, width))
+    levels = sorted({*_present(a, "__la"), *_present(b, "__lb")})
+    a = _spread(a, F.col(ls), F.col(le) - 1, F.col("__la"), levels, width)
+    b = _spread(b, F.col(rs), F.col(re) - 1, F.col("__lb"), levels, width)
+    pairs = a.join(b, [*on, "__level", "__bucket"])
+    meet = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("__level") == F.greatest("__la", "__lb"))
+    start = _at_level(F.greatest(F.col(ls), F.col(rs)), F.col("__level"), width)
+    return pairs.where(meet & (start == F.col("__bucket"))).drop("__bucket", "__level", "__la", "__lb")
 
 
 def points_in_intervals(points: DataFrame, spans: DataFrame, on: Sequence[str], width: int, point: str, span: tuple[str, str]) -> DataFrame:
     """Pairs of a point and an inclusive span [entry, last] that holds it."""
     entry, last = span
-    a = points.withColumn("__bucket", F.floor(F.col(point) / width))
-    b = spans.where(F.col(entry) <= F.col(last)).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(entry) / width), F.floor(F.col(last) / width))))
-    return a.join(b, [*on, "__bucket"]).where((F.col(entry) <= F.col(point)) & (F.col(point) <= F.col(last))).drop("__bucket")
+    b = spans.where(F.col(entry) <= F.col(last)).withColumn("__lb", _level(F.col(entry), F.col(last), width))
+    levels = _present(b, "__lb")
+    at = F.col(point)
+    a = _spread(points, at, at, F.lit(0), levels, width)
+    level = F.col("__level")
+    b = b.withColumn("__level", F.col("__lb")).withColumn("__bucket", F.explode(F.sequence(_at_level(F.col(entry), level, width), _at_level(F.col(last), level, width))))
+    return a.join(b, [*on, "__level", "__bucket"]).where((F.col(entry) <= at) & (at <= F.col(last))).drop("__bucket", "__level", "__lb")
 
 
 def innermost(points: DataFrame, spans: DataFrame, on: Sequence[str], width: int, point: str, span: tuple[str, str], key: Sequence[str], value: str) -> DataFrame:
@@ -55,16 +94,16 @@ def carry_forward(points: DataFrame, marks: DataFrame, keys: Sequence[str], valu
     rows = (
         points.select(*keys, "at", "sub", *empty, own)
         .unionByName(marks.select(*keys, "at", "sub", *values), allowMissingColumns=True)
-        .withColumn("__b", F.floor(F.col("at") / width))
+        .withColumn("__b", bucket(F.col("at"), width))
         .withColumn("__is", F.col("__point").isNotNull())
     )
     order = Window.partitionBy(*keys, "__b").orderBy("at", "sub", "__is").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.withColumns({f"__near_{v}": F.last(v, ignorenulls=True).over(order) for v in values}).where("__is")
     when = F.struct("at", "sub")
-    ends = marks.withColumn("__b", F.floor(F.col("at") / width)).groupBy(*keys, "__b").agg(
+    ends = marks.withColumn("__b", bucket(F.col("at"), width)).groupBy(*keys, "__b").agg(
         *[F.max_by(v, F.when(F.col(v).isNotNull(), when)).alias(f"__end_{v}") for v in values]
     )
-    asked = points.select(*keys, F.floor(F.col("at") / width).alias("__b")).distinct()
+    asked = points.select(*keys, bucket(F.col("at"), width).alias("__b")).distinct()
     across = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     far = [F.last(f"__end_{v}", ignorenulls=True).over(across).alias(f"__far_{v}") for v in values]
     carried = ends.join(asked, [*keys, "__b"], "full_outer").select(*keys, "__b", *far)
@@ -107,7 +146,7 @@ def resolve_symbols(pcs: DataFrame, symbols: DataFrame, on: Sequence[str], width
 def _last_before(points: DataFrame, table: DataFrame, on: Sequence[str], width: int) -> DataFrame:
     marks = table.select(*on, F.col("symbol_address").alias("at"), F.struct("symbol_address", "symbol").alias("s"), F.lit(0).alias("is_point"))
     asked = points.select(*on, F.col("pc").alias("at"), F.lit(None).cast("struct<symbol_address:bigint,symbol:string>").alias("s"), F.lit(1).alias("is_point"))
-    rows = marks.unionByName(asked).withColumn("b", F.floor(F.col("at") / width))
+    rows = marks.unionByName(asked).withColumn("b", bucket(F.col("at"), width))
     order = Window.partitionBy(*on, "b").orderBy("at", "is_point", "s.symbol").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.withColumn("seen", F.last("s", ignorenulls=True).over(order))
     ends = rows.groupBy(*on, "b").agg(F.max("s").alias("last_s"))

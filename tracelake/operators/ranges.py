@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.intervals import bucket as bucket_of
 from tracelake.schema import CAUSES, PROVENANCES, rank_of
 
 BUCKET_WIDTH = 1 << 16
@@ -20,7 +21,7 @@ def islands(rows: DataFrame, column: str, by: Sequence[str] = (), bucket: int =
     a row for each run and bucket.
     """
     values = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("bigint").alias("__v")).distinct()
-    values = values.withColumn("__b", F.floor(F.col("__v") / bucket))
+    values = values.withColumn("__b", bucket_of(F.col("__v"), bucket))
     inside = Window.partitionBy(*by, "__b").orderBy("__v")
     runs = values.withColumn("__g", F.col("__v") - F.row_number().over(inside)).groupBy(*by, "__b", "__g").agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("lo")
@@ -65,7 +66,7 @@ def declared_gaps(observed: DataFrame, declared: DataFrame, column: str, by: Seq
 def coalesce_ranges(ranges: DataFrame, by: Sequence[str], inclusive: Column | bool = True, bucket: int = BUCKET_WIDTH) -> DataFrame:
     """(by.., lo, hi) with overlapping and adjacent ranges joined; inclusive ones are adjacent at last + 1."""
     step = F.when(F.lit(inclusive) if isinstance(inclusive, bool) else inclusive, 1).otherwise(0)
-    base = ranges.select(*by, F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), step.alias("__step"), F.floor(F.col("lo") / bucket).alias("__b"))
+    base = ranges.select(*by, F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), step.alias("__step"), bucket_of(F.col("lo"), bucket).alias("__b"))
 
     def fuse(rows: DataFrame, keys: list) -> DataFrame:
         order = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)

@@ -86,14 +86,15 @@ def query_page(rows: DataFrame, store: str, wanted: EventFilter, limit: int, cur
     return Page(got, next_cursor, rows.count() if count else None, count)
 
 
-def row_places(rows: DataFrame) -> DataFrame:
+def row_places(rows: DataFrame, bits: int = 16) -> DataFrame:
     """Rows with ``place``, their 0-based number in key order within their artifact and timeline.
 
-    Large timelines are numbered in two steps, so that no task holds a timeline:
-    rows are range-partitioned by key, counted by partition, and numbered within.
+    Rows are numbered within buckets of 2**bits record ordinals (which lead the order
+    within a timeline) and shifted by the counts of the buckets before, so that no
+    task holds a timeline.
     """
-    parted = rows.repartitionByRange(*key_order()).withColumn("__part", F.spark_partition_id())
-    inside = Window.partitionBy("__part", "artifact", "timeline").orderBy(*key_order())
+    parted = rows.withColumn("__part", F.shiftright(u64_key(F.col("record_ordinal")), bits))
+    inside = Window.partitionBy("artifact", "timeline", "__part").orderBy(*key_order())
     numbered = parted.withColumn("__in", F.row_number().over(inside) - 1)
     sizes = parted.groupBy("artifact", "timeline", "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("artifact", "timeline").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

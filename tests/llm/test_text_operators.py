@@ -353,6 +353,8 @@ def test_toxicity_held_out(spark):
     assert (got[got[:, 1] == 0, 0]).mean() < 0.03 and (got[:, 0] == got[:, 1]).mean() > 0.9
     held = {r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
     assert not held & set(model.ids.tolist())
+    again = {r["doc_id"]: round(r["score"], 9) for r in toxicity.score_all(d, labels).collect()}
+    assert again == {r["doc_id"]: round(r["score"], 9) for r in scored.collect()}
     rows = toxicity.score(docs(spark, ODD), model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] < 0.7 for r in rows) and rows[0]["evidence"] == []
     assert toxicity.score(docs(spark, []), model).count() == 0

@@ -65,7 +65,7 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
-    scored = toxicity.score(documents, toxicity.fit(documents, common.table(spark, sf_dir, "labels")))
+    scored = toxicity.score_all(documents, common.table(spark, sf_dir, "labels"))
     return scored.select(
         "doc_id",
         (common.fold(F.col("doc_id")) == 1).alias("held_out"),

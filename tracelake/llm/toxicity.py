@@ -195,63 +195,75 @@ def build_model(
     return ToxicityModel(model.vocabulary, idf, index, ids, labels, calibrate(z, labels[asked].astype(float), weight[asked]), prior)
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_examples: tuple[int, int] = MAX_EXAMPLES) -> ToxicityModel:
-    """Learn from labelled texts outside the held-out fold; document frequencies are of all documents."""
+def choose_examples(labels: DataFrame, max_examples: tuple[int, int] = MAX_EXAMPLES) -> tuple[DataFrame, tuple[float, float]]:
+    """(doc_id, label) of the examples, and the shares of all training rows with label 0 and 1 that they are."""
     known = common.training_labels(labels, "toxic", 1 << 62)
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     shares = tuple(min(1.0, max_examples[k] / max(sizes.get(k, 0), 1)) for k in (0, 1))
     at = F.pmod(F.xxhash64("doc_id", F.lit("example")), F.lit(1_000_000))
-    chosen = known.where(at < F.when(F.col("label") == 1, int(shares[1] * 1_000_000)).otherwise(int(shares[0] * 1_000_000)))
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    return known.where(at < F.when(F.col("label") == 1, int(shares[1] * 1_000_000)).otherwise(int(shares[0] * 1_000_000))), shares
+
+
+def choose_vocabulary(documents: DataFrame, examples: DataFrame) -> list[str]:
+    """The terms that a chi-squared test ties to toxic examples, then the most frequent ones."""
+    texts = documents.select("doc_id", "text").join(F.broadcast(examples), "doc_id").select("label", "text")
 
     def holders(c: dict[str, list]) -> dict[str, list]:
         tally: tuple[Counter, Counter] = (Counter(), Counter())
         for label, text in zip(c["label"], c["text"], strict=True):
             tally[label].update({t for w in words_of(text) for t in terms_of(w)})
-        terms = list(tally[0].keys() | tally[1].keys())
+        terms = [None, *(tally[0].keys() | tally[1].keys())]  # null stands for all examples
+        tally[0][None], tally[1][None] = c["label"].count(0), c["label"].count(1)
         return {"term": terms, "clean": [tally[0][t] for t in terms], "toxic": [tally[1][t] for t in terms]}
 
-    # Weighted back to all training rows, so that the test doesn't see the sampling.
     held = common.map_batches(texts, holders, "term string, clean bigint, toxic bigint").groupBy("term").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
     )
-    of = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = float(of.get(0, 0)), float(of.get(1, 0))
+    held = common.materialize(held.where("term IS NULL OR clean + toxic >= " + str(MIN_HOLDERS)))
+    whole = held.where("term IS NULL").first()
+    n0, n1 = (float(whole["clean"]), float(whole["toxic"])) if whole else (0.0, 0.0)
     a, b = F.col("toxic"), F.col("clean")
     chi2 = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n0 + n1 - a - b) * n0 * n1 + 1e-9)
-    held = held.where(a + b >= MIN_HOLDERS).select("term", (a + b).alias("n"), F.when(a * n0 > b * n1, chi2).otherwise(0.0).alias("chi2"))
-    held = common.materialize(held)
-    tied = [r["term"] for r in held.where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TIED).collect()]
-    usual = [r["term"] for r in held.orderBy(F.desc("n"), "term").limit(BACKGROUND).collect()]
-    vocabulary = list(dict.fromkeys(tied + usual))
-    numbers = {t: i for i, t in enumerate(vocabulary)}
+    tested = held.where("term IS NOT NULL").select("term", (a + b).alias("n"), F.when(a * n0 > b * n1, chi2).otherwise(0.0).alias("chi2"))
+    tied = [r["term"] for r in tested.where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TIED).collect()]
+    usual = [r["term"] for r in tested.orderBy(F.desc("n"), "term").limit(BACKGROUND).collect()]
+    return list(dict.fromkeys(tied + usual))
 
-    def frequencies(c: dict[str, list]) -> dict[str, list]:
-        counter = _counter(numbers)
-        tally: Counter = Counter()
-        for text in c["text"]:
-            tally.update(counter.counts(text).keys())
-        return {"term": [*tally, -1], "n": [*tally.values(), len(c["text"])]}  # -1 stands for all texts
 
-    df = np.zeros(len(vocabulary))
-    total = 0
-    counted = common.map_batches(documents.select("text"), frequencies, "term int, n bigint", 2048)
-    for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each vocabulary term
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    idf = np.log(1.0 + total / (df + 1.0))
-
-    def sparse(c: dict[str, list]) -> dict[str, list]:
+COUNTS = "terms array<int>, tf array<int>"
+
+
+def count_terms(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, terms, tf): vocabulary terms and their counts, one row for each row of ``documents``."""
+    numbers = {t: i for i, t in enumerate(vocabulary)}
+    kind = dict(documents.dtypes)["doc_id"]
+
+    def work(c: dict[str, list]) -> dict[str, list]:
         counter = _counter(numbers)
         found = [counter.counts(t) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "label": c["label"], "terms": [list(f) for f in found], "tf": [list(f.values()) for f in found]}
+        return {"doc_id": c["doc_id"], "terms": [list(f) for f in found], "tf": [list(f.values()) for f in found]}
 
-    rows = common.map_batches(texts, sparse, "doc_id bigint, label int, terms array<int>, tf array<int>").toPandas()
+    return common.map_batches(documents.select("doc_id", "text"), work, f"doc_id {kind}, {COUNTS}")
+
+
+def fit_counts(counts: DataFrame, examples: DataFrame, vocabulary: list[str], shares: tuple[float, float]) -> ToxicityModel:
+    """The model of examples whose term counts, and the document frequencies of all rows, come from ``counts``."""
+    df = np.zeros(len(vocabulary))
+    spread = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    for r in spread.collect():  # a row for each vocabulary term
+        df[r["term"]] = r["n"]
+    idf = np.log(1.0 + counts.count() / (df + 1.0))
+    rows = counts.join(F.broadcast(examples), "doc_id").select("doc_id", "label", "terms", "tf").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
-    counts = [dict(zip(map(int, t), map(int, f), strict=True)) for t, f in zip(rows["terms"], rows["tf"], strict=True)]
-    return build_model(vocabulary, idf, rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy(np.int64), counts, shares)
+    found = [dict(zip(map(int, t), map(int, f), strict=True)) for t, f in zip(rows["terms"], rows["tf"], strict=True)]
+    return build_model(vocabulary, idf, rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy(np.int64), found, shares)
+
+
+def fit(documents: DataFrame, labels: DataFrame, max_examples: tuple[int, int] = MAX_EXAMPLES) -> ToxicityModel:
+    """Learn from labelled texts outside the held-out fold; document frequencies are of all documents."""
+    examples, shares = choose_examples(labels, max_examples)
+    vocabulary = choose_vocabulary(documents, examples)
+    return fit_counts(count_terms(documents, vocabulary), examples, vocabulary, shares)
 
 
 _COUNTERS: dict[int, TermCounter] = {}
@@ -275,19 +287,30 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     labelled examples of both kinds all scores are the prior.  Columns other than
     doc_id and text are ignored.
     """
-    kind = dict(documents.dtypes)["doc_id"]
-    held = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_EXAMPLES rows of a bounded vocabulary
+    return score_counts(count_terms(documents, list(model.vocabulary)), model)
+
+
+def score_counts(counts: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``score`` for texts that are counted already."""
+    kind = dict(counts.dtypes)["doc_id"]
+    held = counts.sparkSession.sparkContext.broadcast(model)  # at most MAX_EXAMPLES rows of a bounded vocabulary
 
     def work(c: dict[str, list]) -> dict[str, list]:
         m = held.value
-        counter = _counter(m.vocabulary)
-        scores, who, near = m.score([counter.counts(t) for t in c["text"]])
-        evidence = [
-            [(int(m.ids[i]), int(m.labels[i]), float(s)) for i, s in zip(w[:5], n[:5], strict=True) if i >= 0 and s > 0]
+        scores, who, near = m.score([dict(zip(t, f, strict=True)) for t, f in zip(c["terms"], c["tf"], strict=True)])
+        rows = [
+            [{"example": int(m.ids[i]), "label": int(m.labels[i]), "similarity": float(s)} for i, s in zip(w[:5], n[:5], strict=True) if i >= 0 and s > 0]
             for w, n in zip(who, near, strict=True)
         ]
-        rows = [[{"example": e, "label": y, "similarity": s} for e, y, s in x] for x in evidence]
         return {"doc_id": c["doc_id"], "score": scores.tolist(), "evidence": rows}
 
     schema = f"doc_id {kind}, score double, evidence array<struct<example:bigint,label:int,similarity:double>>"
-    return common.map_batches(documents.select("doc_id", "text"), work, schema)
+    return common.map_batches(counts.select("doc_id", "terms", "tf"), work, schema)
+
+
+def score_all(documents: DataFrame, labels: DataFrame, max_examples: tuple[int, int] = MAX_EXAMPLES) -> DataFrame:
+    """Fit on ``documents`` and score them; texts are read once for the vocabulary's examples and once for the counts."""
+    examples, shares = choose_examples(labels, max_examples)
+    vocabulary = choose_vocabulary(documents, examples)
+    counts = common.materialize(count_terms(documents, vocabulary))
+    return score_counts(counts, fit_counts(counts, examples, vocabulary, shares))

@@ -151,8 +151,10 @@ def ring_file(tmp_path_factory):
     c, c1, c2 = chunk(8, 2, 60, [*strings(b"", b"x", b"d"), (6, 4, ring.FRAGMENT.pack(78, 4, 0, 2) + words(1, 2, 3))])
     broken = bytearray(c)
     broken[30] ^= 255
+    good = ring.encode_emergency
+    cells = {(0, 0): good(11, 7, 50, 2), (0, 1): good(12, 7, 51, 4), (1, 0): good(11, 8, 60, 2), (1, 1): good(11, 8, 55, 8), (2, 0): good(14, 7, 70, 2), (2, 1): good(11, 7, 71, 8), (3, 0): good(11, 7, 80, 2)[:-8] + bytes(4) + (2).to_bytes(4, "little")}
     at = tmp_path_factory.mktemp("ring") / "run.ring"
-    at.write_bytes(ring.encode_ring([(7, 3, 2, a, a1, a2), (8, 1, 1, b + b"\x07" * 40, b1, b2), (8, 2, 2, c, c1, c2), (8, 4, 2, bytes(broken), 90, 99), (9, 1, 0, b"", 0, 0)]))
+    at.write_bytes(ring.encode_ring([(7, 3, 2, a, a1, a2), (8, 1, 1, b + b"\x07" * 40, b1, b2), (8, 2, 2, c, c1, c2), (8, 4, 2, bytes(broken), 90, 99), (9, 1, 0, b"", 0, 0)], cells=cells))
     return str(at)
 
 
@@ -166,7 +168,7 @@ def test_ring(spark, ring_file):
     assert (got["mnemonic"], got["read_values"], got["module_base"], got["tid"]) == ("RET", [99], 0x1000, 7)
     whole = {r["event_id"]: (r["detail"], r["complete"]) for r in ring.reassemble(rows).collect()}
     assert whole == {77: ("é", True), 78: (None, False)}
-    headers = spark.read.format("trace_ring").option("headers", "true").load(ring_file)
+    headers = spark.read.format("trace_ring").option("part", "headers").load(ring_file)
     assert {r["state"]: r["chunks"] for r in ring.inspect(headers).collect()} == {"sealed": 3, "active": 1}
     assert ring.collisions(rows).count() == 0
     with pytest.raises(Exception, match="sequence used twice"):
@@ -178,6 +180,16 @@ def test_ring(spark, ring_file):
         spark.read.format("trace_ring").option("on_damage", "error").load(ring_file).count()
 
 
+def test_ring_directory_and_emergencies(spark, ring_file):
+    spark.dataSource.register(ring.RingSource)
+    threads = spark.read.format("trace_ring").option("part", "directory").load(ring_file)
+    assert sorted((r["tid"], r["state"], r["reliable"]) for r in threads.collect()) == [(7, "live", True), (8, "live", True), (9, "live", True)]
+    cells = spark.read.format("trace_ring").option("part", "emergency").load(ring_file)
+    assert cells.where("damage IS NOT NULL").select("slot").collect()[0]["slot"] == 3
+    got = sorted((r["slot"], r["sequence"]) for r in ring.current_emergencies(cells).collect())
+    assert got == [(0, 50), (0, 51), (1, 55), (2, 70), (2, 71)]
+
+
 def test_ring_layout_is_checked(ring_file):
     data = open(ring_file, "rb").read()
     ring.read_layout(data[:256], len(data))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from tracelake.functions import scalars, u64
 from tracelake.operators import access, calltree, intervals, memory, metrics, pairing, ranges, registers, timeline
 from tracelake.operators.filters import EventFilter, apply_filter
 from tracelake.plans import views
+from tracelake.plans.session import shared_dir
+from tracelake.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -652,6 +656,57 @@ def y6_newest_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.newest(rows, "at", 5, ["l_returnflag"]).select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query("SELECT 'a' AS artifact, r // 34 AS source_row FROM ev GROUP BY 2")
+def x9_checkpoint_owners(spark: SparkSession, sf: str) -> DataFrame:
+    t = views.trace(spark, sf)
+    rows = t.events.select("artifact", F.floor(F.col("source_row") / 34).alias("owner_row"), F.lit("checkpoint").alias("access"))
+    return access.checkpoint_owner_rows(replace(t, register_obs=rows))
+
+
+@query("SELECT r AS source_row FROM ev WHERE kind = 'memory' AND NOT (etype = 'view' AND tid IN (1, 2, 3))")
+def set_difference(spark: SparkSession, sf: str) -> DataFrame:
+    t = views.trace(spark, sf)
+    return access.without_rows(access.rows_of_kinds(t, ["memory"]), access.rows_for_tids(t, [1, 2, 3])).select("source_row")
+
+
+@query("SELECT (SELECT count(*) FROM ev) AS facts, TRUE AS same")
+def y3_same_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Two passes over the source agree: nothing is left of either when the other is taken away."""
+    one, two = (views.trace(spark, sf).events for _ in range(2))
+    left = one.exceptAll(two).unionByName(two.exceptAll(one)).agg(F.count("*").alias("odd"))
+    return one.agg(F.count("*").alias("facts")).join(F.broadcast(left)).select("facts", (F.col("odd") == 0).alias("same"))  # one row each
+
+
+# Incremental.
+def _streamed(rows: DataFrame) -> DataFrame:
+    """What a stream gives once all files are read, through the file sink."""
+    spark = rows.sparkSession
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    incremental.partial_scan(rows, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.stream_events(spark, sf, views.table(spark, sf, "events").schema, pattern="events.parquet")
+
+
+@query("SELECT r AS event_id, tid AS user_id, etype AS event_type FROM ev WHERE etype IN ('view', 'error') AND contains(props, '7')")
+def t1_partial_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _event_stream(spark, sf).where(F.col("event_type").isin("view", "error") & F.col("props").contains("7"))
+    return _streamed(rows.select("event_id", "user_id", "event_type"))
+
+
+@query("""SELECT a.tid, a.k AS id, a.r AS entry, b.r AS ending, 'returned' AS state FROM ev a JOIN ev b ON a.tid = b.tid AND a.k = b.k
+  AND b.ns BETWEEN a.ns AND a.ns + 86400000000000 WHERE a.etype = 'signup' AND b.etype = 'purchase'""")
+def t5_streamed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = _event_stream(spark, sf).where("event_type IN ('signup', 'purchase')").select(
+        F.col("user_id").alias("tid"), k.alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "enter").otherwise("return").alias("phase"),
+        F.pmod(k, F.lit(16)).alias("address"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    return _streamed(incremental.pair_stream_by_join(rows))
+
+
 # Scalars.
 @query("""SELECT r, bit_count(k)::INT AS bits, CASE WHEN k - 50 BETWEEN -4095 AND -1 THEN 50 - k END AS error, (r * 4097 // 4096 * 4096)::BIGINT AS page,
   (r % 256)::BIGINT AS low_byte, lpad(lower(to_hex(r % 256)), 2, '0') || lpad(lower(to_hex(r // 256 % 256)), 2, '0') AS little_endian, to_json(props)::VARCHAR AS quoted FROM ev""")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from tracelake.plans.session import ship
 from tracelake.schema import KEY
@@ -16,9 +17,9 @@ from tracelake.schema import KEY
 MAX_OPEN = 4096
 
 
-def stream_events(spark: SparkSession, path: str, schema: str, files_per_batch: int = 16) -> DataFrame:
-    """Committed files of a folder as a stream; files without a commit are never seen."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream_events(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 16, pattern: str = "*") -> DataFrame:
+    """Committed files of a folder (of names that match) as a stream; files without a commit are never seen."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(path)
 
 
 def partial_scan(rows: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,26 @@ def list_files(path: str) -> tuple[pafs.FileSystem, list[str]]:
     return fs, sorted(f.path for f in found if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
 
 
+def batches(rows: Iterator[dict], schema, size: int = 8192) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Rows as Arrow batches, column by column; rows that were read before a fault are given out first."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(schema)
+    held: list[dict] = []
+
+    def made() -> pa.RecordBatch:
+        columns = [pa.array([r.get(f.name) for r in held], type=f.type) for f in out]
+        return pa.RecordBatch.from_arrays(columns, schema=out)
+
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield made()
+            held = []
+    if held:
+        yield made()
+
+
 class _File(InputPartition):
     def __init__(self, uri: str, path: str) -> None:
         self.uri, self.path = uri, path
@@ -51,7 +72,7 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, schema, options: dict) -> None:  # noqa: ANN001
-        self._names = schema.fieldNames()
+        self._schema = schema
         self._uri = options["path"]
         self._partial = str(options.get("partial", "false")).lower() == "true"
         self._tolerant = str(options.get("tolerant", "false")).lower() == "true"
@@ -59,7 +80,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_File(self._uri, p) for p in list_files(self._uri)[1]]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        return batches(self._rows(partition), self._schema)
+
+    def _rows(self, partition: _File) -> Iterator[dict]:
         fs, _ = pafs.FileSystem.from_uri(partition.uri) if "://" in partition.uri else (pafs.LocalFileSystem(), "")
         with fs.open_input_stream(partition.path) as f:
             data = f.read()
@@ -70,12 +94,11 @@ class _Reader(DataSourceReader):
                 data, cut = lz4_frame.decode_frames(data)
             for row in wire.decode(data, self._partial or cut):
                 row["artifact"] = artifact
-                yield tuple(row.get(n) for n in self._names)
+                yield row
         except ValueError as e:
             if not self._tolerant:
                 raise ValueError(f"{artifact}: {e}") from e
-            failed = {"artifact": artifact, "kind": "failure", "failure": str(e)}
-            yield tuple(failed.get(n) for n in self._names)
+            yield {"artifact": artifact, "kind": "failure", "failure": str(e)}
 
 
 class TraceStreamSource(DataSource):

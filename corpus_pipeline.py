@@ -59,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             path = f"{common.shared_dir(spark)}/stage-{uuid.uuid4().hex}"
             docs.write.parquet(path)
+            common.delete_at_end(spark, path)
             docs = spark.read.parquet(path)
     return docs

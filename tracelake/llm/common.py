@@ -22,20 +22,32 @@ def materialize(df: DataFrame, path: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts lineage: a lost executor costs a re-read, not a recomputation.
-    The table's path is appended to ``path`` so that a caller can drop it.
+    The table's path is appended to ``path`` so that a caller can drop it; else
+    the table goes when the driver ends.
     """
     spark = df.sparkSession
     target = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(target)
+    delete_at_end(spark, target)
     if path is not None:
         path.append(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
+def _place(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _place(spark, path)
+    fs.delete(target, True)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a table of intermediate rows when the driver's JVM ends."""
+    fs, target = _place(spark, path)
+    fs.deleteOnExit(target)
 
 
 def fold(doc_id: Column) -> Column:

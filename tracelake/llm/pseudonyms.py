@@ -7,7 +7,8 @@ values different ones, and a pseudonym passes the same validation.
 
 Replaced: payment card numbers (Luhn), bank account numbers (mod 97), social
 security numbers, phone numbers, IPv4 addresses, calendar dates, the local part
-of e-mail addresses, and hexadecimal secrets of 32 and more digits.
+of e-mail addresses, hexadecimal secrets of 32 and more digits, access keys, and
+values assigned to passwords, tokens and the like.
 """
 
 from __future__ import annotations
@@ -168,11 +169,24 @@ def secret(text: str, key: bytes) -> str | None:
     return made.upper() if text.isupper() else made
 
 
-#: Tried in this order at each place.
+def credential(text: str, key: bytes) -> str | None:
+    """A password, token or access key: letters and digits permuted in their classes; needs both."""
+    if not (any(c.isdigit() for c in text) and any(c.isalpha() for c in text)):
+        return None
+    return _mixed(text.lower(), key, "credential").upper() if text.isupper() else _mixed(text, key, "credential")
+
+
+def access_key(text: str, key: bytes) -> str | None:
+    return text[:4] + _mixed(text[4:], key, "access" + text[:4])
+
+
+#: Tried in this order at each place.  A group named v is the part that is replaced.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])", secret),
+    ("access_key", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
+    ("credential", r"(?i)(?<![a-z0-9])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<v>[a-z0-9][a-z0-9+/_.-]{6,}[a-z0-9+/_])", credential),
     ("ipv4", r"(?<![0-9.A-Za-z])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", ipv4),
     ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}(?P<t>[-/.])[0-9]{2}(?P=t)[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])", date),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])", ssn),
@@ -189,10 +203,11 @@ def _find(line: str, key: bytes) -> list[tuple[int, int, str, str]]:
     taken = bytearray(len(line))
     for kind, pattern in _PATTERNS:
         for m in pattern.finditer(line):
-            if taken.find(1, m.start(), m.end()) >= 0:
+            start, stop = m.span("v") if "v" in pattern.groupindex else m.span()
+            if taken.find(1, start, stop) >= 0:
                 continue
-            made = _made(kind, m[0], key)
-            here = [(m.start(), m.end(), kind, made)] if made is not None else _inner_cards(m, key) if kind == "card" else []
+            made = _made(kind, line[start:stop], key)
+            here = [(start, stop, kind, made)] if made is not None else _inner_cards(m, key) if kind == "card" else []
             for a, b, _, _ in here:
                 taken[a:b] = b"\1" * (b - a)
             found += here

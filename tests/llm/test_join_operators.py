@@ -360,6 +360,30 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(str, rows.drop("sequence_id", "offset").collect())) == sorted(map(str, d.drop("sequence_id", "offset").collect()))
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    big = 2**60 + 1
+    rows = [(None, None, None, None, None), (None, "a b c", None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", None), (3, " \n", "en", "s", 2), (4, "x" * 200_000, "en", "s", 200_000),
+            (5, "word " * 30_000, "en", "s", 1), (big, "Some plain words here, of one kind. And more.\nThen another line.", "en", "s", 9), (big, "Some plain words here, of one kind. And more.\nThen another line.", "en", "s", 9),
+            (6, None, None, None, None), (7, "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data in (("odd", rows), ("none", [])):
+        whole = spark.createDataFrame(data, schema)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}{i}")
+            stage(spark, whole, SF).write.parquet(path)  # each stage on all odd rows
+            out = spark.read.parquet(path)
+            assert i == 4 or out.columns == whole.columns
+            if not data:
+                assert out.count() == 0
+            elif i in (1, 2, 3):
+                ids = [r["doc_id"] for r in out.collect()]
+                assert big in ids and None in ids
+            elif i == 4:
+                assert {r["doc_id"] for r in out.collect()} == {r[0] for r in rows}
+
+
 def test_registered_queries():
     import __spark_entry__
 

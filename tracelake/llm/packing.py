@@ -14,7 +14,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -291,15 +290,16 @@ def pack(pieces: DataFrame, expected: int, capacity: int = CAPACITY, group_rows:
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        group = int(rows["group"].iloc[0])
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        lengths = rows["length"].to_numpy(dtype=np.int64)
-        sequence, offset = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+    def run(rows: pa.Table) -> pa.Table:
+        group = rows.column("group")[0].as_py()
+        keys = [("length", "descending"), *((k, "ascending") for k in ("doc_id", "piece") if k in names)]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=keys))
+        lengths = rows.column("length").to_numpy().astype(np.int64)
+        sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
         for k, held in enumerate(pack_lengths(lengths, capacity)):
             sequence[held] = (group << 32) + k
             offset[held] = np.concatenate(([0], np.cumsum(lengths[held])[:-1]))
-        return rows[names].assign(sequence_id=sequence, offset=offset)
+        return rows.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     dealt = pieces.select(*names, F.pmod("place", F.lit(groups)).alias("group"))
-    return dealt.groupBy("group").applyInPandas(run, schema)
+    return dealt.groupBy("group").applyInArrow(run, schema)

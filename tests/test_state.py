@@ -2,7 +2,6 @@
 
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tracelake.operators import calltree, memory, registers
@@ -189,6 +188,12 @@ def test_tail_call_semantics_damage(spark):
     assert [r["semantic"] for r in found if r["item"] == "semantic"] == ["libc/close"]
 
 
+def test_addresses_keep_all_bits(spark):
+    top = 2**64 - 0x1000
+    found = nodes(steps(spark, {"pc": top + 1 - 2**64, "flags": CALL, "disp": 0x2002, "pc_kind": 1}, {"kind": "semantic_call", "category": "c", "name": "n"}))
+    assert (found[0]["call_pc"], found[0]["target"]) == (top + 1 - 2**64, (top + 1 + 0x2002) % 2**64)
+
+
 def test_register_evidence_and_page_target(spark):
     found = nodes(steps(spark, {"pc": 0x1234, "flags": CALL, "disp": 0x2000, "pc_kind": 2}, {"kind": "discontinuity"}, {"pc": 0x10, "flags": CALL, "reads": [(30, 5), (2, 77)]}, {"kind": "discontinuity"}, {"pc": 0x10, "flags": CALL, "reads": [(30, 5)]}))
     assert [(n["target"], n["target_evidence"]) for n in found.values()] == [(0x3000, "immediate"), (77, "register"), (5, "link_register")]
@@ -205,7 +210,7 @@ def test_replay_is_balanced_depth():
             pc = 0x1000 + 64 * i
             open_.append(pc + 4)
             rows.append({"row": i, "kind": "instruction", "pc": pc, "flags": CALL, "next_pc": None, "immediate": None, "reads": None, "category": None, "name": None})
-    found = calltree.replay(pd.DataFrame(rows).astype(object).where(lambda d: d.notna(), None))
+    found = calltree.replay(rows)
     done = [n for n in found if n["item"] == "node"]
     assert sum(n["closed"] == "complete" for n in done) == sum(x["flags"] == RET for x in rows)
     assert sum(n["closed"] == "source_end" for n in done) == len(open_)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,41 +97,36 @@ class _Machine:
         self.extras.append({"item": kind, "id": len(self.extras), "parent": self.stack[-1]["id"] if self.stack else None, "start_row": start, "end_row": end, "call_pc": None, "target": None, "target_evidence": None, "closed": None, "provenance": provenance, "semantic": semantic})
 
 
-def _none(x: object) -> int | None:
-    return None if x is None or pd.isna(x) else int(x)
-
-
-def _pick_target(r, pc: int, following: int | None) -> tuple[int | None, str]:  # noqa: ANN001
+def _pick_target(r: dict, following: int | None) -> tuple[int | None, str]:
     """The best evidence of a call's target: immediate, next pc, a read register, the link register."""
-    if r.immediate is not None and not pd.isna(r.immediate):
-        return int(r.immediate) & _MASK, "immediate"
+    if r["immediate"] is not None:
+        return r["immediate"] & _MASK, "immediate"
     if following is not None:
         return following, "next_pc"
-    reads = [(x["slot"], x["value"]) for x in (r.reads if r.reads is not None else [])]
+    reads = [(x["slot"], x["value"]) for x in r["reads"] or []]
     for slot, value in reads:
         if slot != LINK_REGISTER:
-            return int(value) & _MASK, "register"
+            return value & _MASK, "register"
     if reads:
-        return int(reads[0][1]) & _MASK, "link_register"
+        return reads[0][1] & _MASK, "link_register"
     return None, "unknown"
 
 
-def replay(rows: pd.DataFrame) -> list[dict]:
+def replay(rows: Iterable[dict]) -> list[dict]:
     """Frames and intervals of one thread's rows, in row order."""
     m = _Machine()
     open_signal: int | None = None
     last_row = -1
     after_call = False
-    for r in rows.itertuples(index=False):
-        row = last_row = int(r.row)
+    for r in rows:
+        row = last_row = r["row"]
         was_call, after_call = after_call, False
-        if r.kind == "instruction":
-            pc = int(r.pc) & _MASK
-            following = _none(r.next_pc)
-            following = None if following is None else following & _MASK
-            flags = int(r.flags or 0)
+        if r["kind"] == "instruction":
+            pc = r["pc"] & _MASK
+            following = None if r["next_pc"] is None else r["next_pc"] & _MASK
+            flags = r["flags"] or 0
             if flags & CALL:
-                target, evidence = _pick_target(r, pc, following)
+                target, evidence = _pick_target(r, following)
                 m.push(row, pc, target, evidence, (pc + 4) & _MASK, m.stack[-1]["id"] if m.stack else None)
                 after_call = True
             elif flags & RETURN:
@@ -145,27 +141,27 @@ def replay(rows: pd.DataFrame) -> list[dict]:
                         m.interval("unwind", start, row, "heuristic")
                     m.close(row, "complete", "captured")
             elif flags & BRANCH and m.stack:
-                target = _none(r.immediate)
+                target = r["immediate"]
                 if target is not None and following is not None and target & _MASK == following and following != (pc + 4) & _MASK:
                     parent = m.stack[-1]["parent"]
                     m.close(row, "tail_call", "heuristic")
                     m.push(row, pc, following, "immediate", None, parent)
-        elif r.kind == "semantic_call":
-            said = "/".join(str(x) for x in (r.category, r.name) if x is not None)
+        elif r["kind"] == "semantic_call":
+            said = "/".join(str(x) for x in (r["category"], r["name"]) if x is not None)
             if was_call and m.last_call is not None and m.last_call["semantic"] is None:
                 m.last_call["semantic"] = said
             else:
                 m.interval("semantic", row, row, "captured", said)
-        elif r.kind == "signal":
+        elif r["kind"] == "signal":
             if open_signal is None:
                 m.close_all(row, "signal", "heuristic")
                 open_signal = row
             else:
                 m.interval("signal", open_signal, row, "captured")
                 open_signal = None
-        elif r.kind in ("discontinuity", "coverage_gap"):
+        elif r["kind"] in ("discontinuity", "coverage_gap"):
             m.close_all(row, "damaged", "damaged")
-        elif r.kind == "termination":
+        elif r["kind"] == "termination":
             m.close_all(row, "termination", "captured")
     if open_signal is not None:
         m.interval("signal", open_signal, None, "captured")
@@ -187,17 +183,24 @@ def build(rows: DataFrame) -> DataFrame:
     kept = ready.where(((F.col("kind") == "instruction") & flagged) | (F.col("kind") == "semantic_call") | is_barrier(F.col("kind")))
     kept = kept.select(*SCOPE, "row", "kind", "pc", "flags", "next_pc", "immediate", "reads", "category", "name")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = replay(pdf.sort_values("row", kind="stable"))
-        signed = lambda x: None if x is None else x - 2**64 if x >= 2**63 else x
-        made = pd.DataFrame([{**{k: v for k, v in f.items() if k != "back"}, "call_pc": signed(f["call_pc"]), "target": signed(f["target"])} for f in found], columns=[c.split()[0] for c in OUTPUT.split(", ")][3:])
-        for column, value in zip(SCOPE, key, strict=True):
-            made[column] = value
-        ints = ["id", "parent", "start_row", "end_row", "call_pc", "target"]
-        made[ints] = made[ints].astype("Int64") if len(made) else made[ints]
-        return made[[c.split()[0] for c in OUTPUT.split(", ")]]
-
-    return kept.groupBy(*SCOPE).applyInPandas(run, OUTPUT)
+    names = [c.split()[0] for c in OUTPUT.split(", ")]
+    target = rows.sparkSession.createDataFrame([], OUTPUT).schema
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        # Arrow and not pandas: a null must not turn 64-bit values into floats.
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        found = replay(table.sort_by("row").to_pylist())
+        scope = dict(zip(SCOPE, (k.as_py() for k in key), strict=True))
+        for f in found:
+            f.update(scope)
+            for c in ("call_pc", "target"):
+                if f[c] is not None and f[c] >= 2**63:
+                    f[c] -= 2**64
+        out = to_arrow_schema(target)
+        return pa.Table.from_arrays([pa.array([f[n] for f in found], type=out.field(n).type) for n in names], schema=out)
+
+    return kept.groupBy(*SCOPE).applyInArrow(run, target)
 
 
 def children_page(tree: DataFrame, parent: int | None, offset: int = 0, limit: int = 100) -> DataFrame:

@@ -59,3 +59,43 @@ def test_membership(spark):
     gaps = spark.createDataFrame([(10, 20, "missing_sequences"), (90, 95, "coverage_gap")], "lo long, hi long, reason string")
     got = {r["entry"]: (r["membership"], r["reasons"]) for r in pairing.membership(scenes, gaps, 60).collect()}
     assert got == {1: ("uncertain", ["missing_sequences"]), 50: ("observed", []), None: ("uncertain", ["missing_entry", "missing_sequences"])}
+
+
+def test_scene_details(spark):
+    from tracelake.operators import evidence
+
+    ok = '{"schema":1,"id":18446744073709551615,"phase":"return","address":"0x10","monotonicNs":5,"returnValue":"0xffffffffffffffff"}'
+    cases = [
+        (ok, True), (ok.replace('"schema":1', '"schema":2'), False), (ok.replace("18446744073709551615", "0"), False), (ok.replace("18446744073709551615", "18446744073709551616"), False),
+        (ok.replace('"return"', '"enter"'), False), (ok.replace('"return"', '"enter"').replace('"0xffffffffffffffff"', "null"), True), (ok.replace("0x10", "0XFF"), False),
+        (ok.replace('"schema":1', '"schema":1,"schema":1'), False), (ok.replace('"schema":1,', ""), False), ("[]", False), ("x", False), (ok[:-1] + " " * 600 + "}", False),
+    ]
+    rows = spark.createDataFrame([("a", 7, i, "scene", t) for i, (t, _) in enumerate(cases)] + [("a", 7, 99, "other", ok)], "artifact string, tid long, seq long, name string, detail string")
+    got = evidence.scene_boundaries(rows, "scene").orderBy("seq").collect()
+    assert [r["valid"] for r in got] == [v for _, v in cases]
+    assert (got[0]["id"], got[0]["address"], got[0]["ns"], got[0]["return_value"]) == (-1, 16, 5, -1)
+    assert evidence.invalid_count(evidence.scene_boundaries(rows, "scene")).first()["invalid"] == 10
+
+
+def test_syscall_details(spark):
+    import json
+
+    from tracelake.operators import evidence
+
+    args = ["0x1", "0x20", "0x3", "0x4", "0x5", "0x6"]
+    path = {"argument": 1, "address": "0x20", "status": "complete", "limit": 128, "bytesHex": "2f78", "display": "/x"}
+    enter = {"schema": 2, "id": 3, "number": 56, "pc": "0x40", "args": args, "paths": [path]}
+    ret = {"schema": 2, "id": 3, "number": 56, "pc": "0x40", "observed": True, "rawReturn": "0xfffffffffffffff2", "linuxErrorNumber": 14, "reason": "post_instruction"}
+    old = {**{k: v for k, v in enter.items() if k != "paths"}, "schema": 1, "path": path}
+    cases = [
+        ("syscall-enter", enter, True), ("syscall-enter", enter | {"paths": []}, True), ("syscall-enter", enter | {"paths": [path, path]}, False), ("syscall-enter", enter | {"args": args[:5]}, False),
+        ("syscall-enter", enter | {"paths": [path | {"address": "0x21"}]}, False), ("syscall-enter", enter | {"paths": [path | {"status": "truncated"}]}, False), ("syscall-enter", old, True),
+        ("syscall-enter", old | {"path": None}, False), ("syscall-enter", old | {"number": 57, "path": None}, True), ("syscall-enter", enter | {"more": 1}, False),
+        ("syscall-return", ret, True), ("syscall-return", ret | {"linuxErrorNumber": None}, False), ("syscall-return", ret | {"observed": False}, False),
+        ("syscall-return", ret | {"observed": False, "rawReturn": None, "linuxErrorNumber": None, "reason": "capture_ended"}, True), ("syscall-enter", "svc #0", True),
+    ]
+    rows = spark.createDataFrame([("a", 7, i, c, d if isinstance(d, str) else json.dumps(d)) for i, (c, d, _) in enumerate(cases)], "artifact string, tid long, seq long, category string, detail string")
+    got = evidence.syscalls(rows).orderBy("seq").collect()
+    assert [r["valid"] for r in got] == [v for *_, v in cases]
+    pairs = pairing.pair_syscalls(evidence.syscalls(rows.where("seq IN (0, 10, 14)")).where("valid")).collect()
+    assert sorted((r["outcome"], r["error"]) for r in pairs) == [("legacy_enter", None), ("paired", 14)]

@@ -29,7 +29,7 @@ GROUP_ROWS = 16_384
 #: Exchanges for each bin of a group after which the local search stops.
 EFFORT = 20
 #: Words whose ids a worker remembers before it starts afresh (a memory bound, not a cap on texts).
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Text that is encoded at once.
 SLICE_BYTES = 6 << 20
 #: Signs between a letter and white space: they are always tokens of their own, so a space before them changes nothing.

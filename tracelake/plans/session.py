@@ -46,10 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, wherever they run; once for each application."""
+    """Give Python workers this package, wherever they run, and one numeric thread each; once for each application."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # tasks already use every core
+        context.environment.setdefault(name, "1")
     root = Path(__file__).resolve().parents[1]
     target = os.path.join(tempfile.mkdtemp(prefix="tracelake-"), "tracelake.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:

@@ -244,7 +244,7 @@ def _boundaries(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.log(spark, sf).where("etype IN ('signup', 'purchase')")
     number = F.row_number().over(Window.partitionBy("tid", "etype").orderBy("r"))
     phase = F.when(F.col("etype") == "signup", "enter").otherwise("return")
-    return rows.select("tid", number.alias("id"), F.col("r").alias("seq"), "ns", phase.alias("phase"), F.pmod("k", F.lit(16)).alias("address"))
+    return rows.select("tid", number.cast("bigint").alias("id"), F.col("r").alias("seq"), "ns", phase.alias("phase"), F.pmod("k", F.lit(16)).alias("address"))
 
 
 @query(", " + _BOUNDS_SQL + "SELECT tid, id, entry, ending, state FROM pair")
@@ -264,7 +264,7 @@ SELECT e.tid, e.id, e.seq AS entry, CASE WHEN s2 > s1 THEN s2 END AS ending, CAS
 FROM b e LEFT JOIN two ON e.tid = two.tid AND e.id = two.id WHERE e.etype = 'view'""")
 def j11_pair_syscalls(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.log(spark, sf).where("etype IN ('view', 'click')")
-    numbered = rows.withColumn("id", F.row_number().over(Window.partitionBy("tid", "etype").orderBy("r")))
+    numbered = rows.withColumn("id", F.row_number().over(Window.partitionBy("tid", "etype").orderBy("r")).cast("bigint"))
     first = numbered.where("etype = 'view'").select("tid", "id", F.col("r").alias("enter_seq"))
     later = numbered.join(first, ["tid", "id"]).where("etype = 'view' OR r > enter_seq")
     phase = F.when(F.col("etype") == "view", "enter").otherwise("return")
@@ -295,7 +295,7 @@ def j15_orders_without_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Aggregates.
-@query("SELECT kind, count(*) AS n, sum(r % 100) AS claimed FROM ev GROUP BY kind")
+@query("SELECT kind, count(*) AS n, sum(r % 100)::BIGINT AS claimed FROM ev GROUP BY kind")
 def a1_count_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     return views.log(spark, sf).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.pmod("r", F.lit(100))).alias("claimed"))
 
@@ -528,7 +528,7 @@ o AS (SELECT t.tid, s.slot, row, max(e.r) FILTER (e.r < row OR e.etype = 'click'
 b AS (SELECT t.tid, max(e.r) AS broken FROM t LEFT JOIN ev e ON e.etype = 'error' AND e.k % 2 = 1 AND e.r <= t.row AND (e.r % 2 = 1 OR e.tid = t.tid) GROUP BY 1),
 c AS (SELECT tid, slot, row, 'before' AS side, rb AS h FROM o UNION ALL SELECT tid, slot, row, 'after', ra FROM o),
 v AS (SELECT c.tid, slot, side, row, CASE WHEN h IS NOT NULL AND NOT coalesce(broken > h, FALSE) THEN h END AS h FROM c JOIN b USING (tid))
-SELECT tid, slot, side, h AS value, CASE WHEN h IS NULL THEN 'unknown' WHEN h = (SELECT max(e.r) FROM ev e WHERE e.tid = v.tid AND e.etype <> 'view' AND e.etype <> 'signup') THEN 'captured' ELSE 'derived' END AS provenance FROM v""")
+SELECT tid, slot::INT AS slot, side, h AS value, CASE WHEN h IS NULL THEN 'unknown' WHEN h = (SELECT max(e.r) FROM ev e WHERE e.tid = v.tid AND e.etype <> 'view' AND e.etype <> 'signup') THEN 'captured' ELSE 'derived' END AS provenance FROM v""")
 def r1_register_states(spark: SparkSession, sf: str) -> DataFrame:
     t = views.trace(spark, sf)
     targets = _thread_ends(spark, sf)

@@ -321,6 +321,31 @@ def test_long_documents_are_aligned_in_parts(spark, monkeypatch):
     assert rows[1]["deleted_spans"] is None and not any(p in rows[2]["text"] for p in passage) and len(rows[2]["text"].split("\n")) == 300
 
 
+def test_later_holders_of_a_passage_are_aligned(spark):
+    r = random.Random(11)
+    x, y = lines_of(r, 2, 20)
+    own = {i: lines_of(r, 4, 12) for i in range(1, 5)}
+    texts = {1: [x, *own[1]], 2: [y, *own[2]], 3: [*own[3], x, y], 4: [x, y, *own[4]]}
+    rows = {k["doc_id"]: k for k in line_dedup.dedup(docs(spark, {k: "\n".join(v) for k, v in texts.items()})).collect()}
+    assert [rows[i]["deleted_spans"] for i in (1, 2, 3)] == [None] * 3
+    assert rows[4]["text"] == "\n".join(own[4]) and rows[4]["copied_from"] == [3]
+
+
+def test_no_long_common_block_is_lost(spark):
+    r = random.Random(12)
+    pool = [(" ".join(f"p{i}" for _ in range(i % 17)), i % 17) for i in range(24)]
+    texts = {d: [pool[r.randrange(24)] for _ in range(r.randrange(1, 14))] for d in range(60)}
+    for d in range(20, 60):
+        other = texts[r.randrange(d)]
+        texts[d][2:2] = other[: r.randrange(9)]
+    rows = {k["doc_id"]: k for k in line_dedup.dedup(docs(spark, {k: "\n".join(x for x, _ in v) for k, v in texts.items()})).collect()}
+    for d, v in texts.items():
+        b, words = [x for x, _ in v], [n for _, n in v]
+        want = set().union(*(brute_blocks([x for x, _ in texts[e]], b, words, 30) for e in range(d)))
+        got = {i for s in rows[d]["deleted_spans"] or [] for i in range(s["start"], s["stop"])}
+        assert {i for i in want if words[i]} <= got <= want
+
+
 def test_clean_keeps_columns(spark):
     r = random.Random(6)
     text = "\n".join(lines_of(r, 6))

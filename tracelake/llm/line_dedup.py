@@ -1,10 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Documents that share distinctive lines are found through line hashes: every
-hash points to the first document that holds it, so a line in any number of
+Documents that share text are found through hashes of runs: from every line, and
+up to every line, the fewest consecutive lines that have enough words.  A run's
+hash points to the first document that holds it, so a run in any number of
 documents gives one pair for each later holder and never all pairs.  Each pair
 is aligned with patience diff, and common blocks of enough words are deleted
-from the later document.
+from the later document.  Every line of such a block lies in a run of the block,
+and the runs that led to a pair are deleted however it is aligned, so the first
+holders stand for all earlier ones and no block is lost.
 """
 
 from __future__ import annotations
@@ -20,12 +23,8 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import common
 
-#: A line of so many words is distinctive: it can lead from one document to another.
-MIN_LINE_WORDS = 8
 #: A common block of fewer words stays.
 MIN_BLOCK_WORDS = 30
-#: Shared words (in lines that first occur in the same document) from which a pair is aligned.
-MIN_SHARED_WORDS = 12
 #: Documents are aligned in parts of so many lines, each with a margin on both sides.
 PART_LINES, MARGIN_LINES = 128, 32
 
@@ -93,12 +92,27 @@ def common_blocks(a: np.ndarray, b: np.ndarray, words_b: np.ndarray, least: int
             return sorted(spans)
 
 
-def line_parts(documents: DataFrame) -> DataFrame:
-    """(doc_id, part, first, own_start, own_stop, lines, words): hashed lines of each document, in parts."""
+def least_runs(words: list[int], least: int) -> list[tuple[int, int]]:
+    """Sorted spans [start, stop): from every line and up to every line with words, the fewest lines of ``least`` words."""
+    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    held = np.flatnonzero(words)
+    stop = np.searchsorted(total, total[held] + least)
+    start = np.searchsorted(total, total[held + 1] - least, side="right") - 1
+    down = zip(held[stop < len(total)].tolist(), stop[stop < len(total)].tolist(), strict=True)
+    up = zip(start[start >= 0].tolist(), (held[start >= 0] + 1).tolist(), strict=True)
+    return sorted({*down, *up})
+
+
+def line_parts(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """(doc_id, part, first, lines, words, runs): hashed lines of each document, in parts.
+
+    ``runs`` (hash, start, stop) are those of the whole document that start in the part's own lines.
+    """
     kind = dict(documents.dtypes)["doc_id"]
+    names = ("doc_id", "part", "first", "lines", "words", "runs")
 
     def work(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "part", "first", "own_start", "own_stop", "lines", "words")}
+        out: dict[str, list] = {k: [] for k in names}
         digest = xxhash.xxh64_intdigest
         for doc, text in zip(c["doc_id"], c["text"], strict=True):
             lines, words = [], []
@@ -107,54 +121,64 @@ def line_parts(documents: DataFrame) -> DataFrame:
                 words.append(n)
                 h = digest(x.strip()) if n else 0
                 lines.append(h - (1 << 64) if h >= 1 << 63 else h)
+            whole = np.array(lines, dtype=np.int64)
+            runs: dict[int, list[dict]] = {}
+            for start, end in least_runs(words, least):
+                h = digest(whole[start:end].tobytes())
+                runs.setdefault(start // PART_LINES, []).append({"hash": h - (1 << 64) if h >= 1 << 63 else h, "start": start, "stop": end})
             for part, at in enumerate(range(0, len(lines), PART_LINES)):
                 first, stop = max(0, at - MARGIN_LINES), min(len(lines), at + PART_LINES + MARGIN_LINES)
                 out["doc_id"].append(doc)
                 out["part"].append(part)
                 out["first"].append(first)
-                out["own_start"].append(at - first)
-                out["own_stop"].append(min(len(lines), at + PART_LINES) - first)
                 out["lines"].append(lines[first:stop])
                 out["words"].append(words[first:stop])
+                out["runs"].append(runs.get(part, []))
         return out
 
     rows = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    schema = f"doc_id {kind}, part int, first int, own_start int, own_stop int, lines array<bigint>, words array<int>"
+    schema = f"doc_id {kind}, part int, first int, lines array<bigint>, words array<int>, runs array<struct<hash:bigint,start:int,stop:int>>"
     return common.map_batches(rows, work, schema)
 
 
 def overlaps(parts: DataFrame) -> DataFrame:
-    """(doc_id, part, earlier, earlier_part): pairs of parts to align, by shared distinctive lines."""
-    own = F.slice(F.arrays_zip("lines", "words"), F.col("own_start") + 1, F.col("own_stop") - F.col("own_start"))
-    lines = (
-        parts.select("doc_id", "part", F.explode(F.array_distinct(own)).alias("x"))
-        .where((F.col("x.words") >= MIN_LINE_WORDS))
-        .select(F.col("x.lines").alias("line"), F.col("x.words").alias("words"), "doc_id", "part")
+    """(doc_id, part, earlier, earlier_part, led: spans of the shared runs): pairs of parts to align."""
+    runs = parts.select("doc_id", "part", F.explode("runs").alias("x")).select(
+        F.col("x.hash").alias("run"), (F.col("x.stop") - F.col("x.start")).alias("n"), F.col("x.start").alias("start"), "doc_id", "part"
     )
-    # Grouped by words as well (a line has one count), so that the join deals both sides out anew
-    # by line alone, as plain exchanges, and a line that very many documents hold can be split.
-    first = lines.groupBy("line", "words").agg(
+    # Grouped by lines as well (a run has one count), so that the join deals both sides out anew
+    # by run alone, as plain exchanges, and a run that very many documents hold can be split.
+    first = runs.groupBy("run", "n").agg(
         F.min(F.struct("doc_id", "part")).alias("earlier"), F.max("doc_id").alias("last")
-    ).where("last > earlier.doc_id").select(F.col("line").alias("shared"), F.col("earlier.doc_id").alias("earlier"), F.col("earlier.part").alias("earlier_part"))
+    ).where("last > earlier.doc_id").select(F.col("run").alias("shared"), F.col("n").alias("shared_n"), F.col("earlier.doc_id").alias("earlier"), F.col("earlier.part").alias("earlier_part"))
     return (
-        lines.join(first, F.col("line") == F.col("shared"))
-        .where("doc_id > earlier")
+        runs.join(first, F.col("run") == F.col("shared"))
+        .where("doc_id > earlier AND n = shared_n")
         .groupBy("doc_id", "part", "earlier", "earlier_part")
-        .agg(F.sum("words").alias("shared_words"))
-        .where(F.col("shared_words") >= MIN_SHARED_WORDS)
-        .select("doc_id", "part", "earlier", "earlier_part")
+        .agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("stop"))).alias("led"))
     )
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans; those that share lines are one."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        else:
+            out.append((start, stop))
+    return out
+
+
 def deletions(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(doc_id, spans: sorted [start, stop) of lines to delete, sources: earlier documents)."""
-    parts = common.materialize(line_parts(documents))
+    parts = common.materialize(line_parts(documents, least))
     pairs = overlaps(parts)
     early = parts.select(F.col("doc_id").alias("earlier"), F.col("part").alias("earlier_part"), F.col("lines").alias("early_lines"))
     both = (
         pairs.join(early, ["earlier", "earlier_part"])
         .join(parts.select("doc_id", "part", "first", "lines", "words"), ["doc_id", "part"])
-        .select("doc_id", "earlier", "first", "early_lines", "lines", "words")
+        .select("doc_id", "earlier", "first", "early_lines", "lines", "words", "led")
     )
     kind = dict(documents.dtypes)["doc_id"]
     target = documents.sparkSession.createDataFrame([], f"doc_id {kind}, earlier {kind}, start int, stop int").schema
@@ -168,10 +192,11 @@ def deletions(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
             first = batch.column(2).to_pylist()
             for i in range(batch.num_rows):
                 a, b, w = (np.asarray(batch.column(k)[i].values.to_numpy(zero_copy_only=False)) for k in (3, 4, 5))
-                for x, y in common_blocks(a, b, w, least):
+                led = [(x["start"], x["stop"]) for x in batch.column(6)[i].as_py()]
+                for x, y in _merged(led + [(first[i] + x, first[i] + y) for x, y in common_blocks(a, b, w, least)]):
                     who.append(i)
-                    start.append(first[i] + x)
-                    stop.append(first[i] + y)
+                    start.append(x)
+                    stop.append(y)
             at = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], schema=out)
 

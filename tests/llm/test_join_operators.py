@@ -331,6 +331,17 @@ def test_later_holders_of_a_passage_are_aligned(spark):
     assert rows[4]["text"] == "\n".join(own[4]) and rows[4]["copied_from"] == [3]
 
 
+def test_passages_in_short_lines(spark):
+    r = random.Random(13)
+    verse = [x for line in lines_of(r, 30, 3) for x in (line, "")]
+    items = [lines_of(r, 1, 1)[0] for _ in range(400)]
+    leads = lines_of(r, 1, 9)
+    texts = {1: verse, 2: verse, 3: items[:200] + leads + items[200:], 4: ["own", *items[:200], *leads, *items[200:]]}
+    rows = {k["doc_id"]: k for k in line_dedup.dedup(docs(spark, {k: "\n".join(v) for k, v in texts.items()})).collect()}
+    assert [rows[i]["deleted_spans"] for i in (1, 3)] == [None] * 2
+    assert rows[2]["text"].strip() == "" and rows[4]["text"] == "own"
+
+
 def test_no_long_common_block_is_lost(spark):
     r = random.Random(12)
     pool = [(" ".join(f"p{i}" for _ in range(i % 17)), i % 17) for i in range(24)]

@@ -238,6 +238,13 @@ def test_decontamination_edges(spark):
     assert decontamination.hits(rows.limit(0), bench).count() == 0
 
 
+def test_decontamination_cleans_rows_without_an_id(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    rows = spark.createDataFrame([(None, "so ALPHA beta-gamma"), (None, "none"), (None, None), (1, "alpha beta gamma"), (1, "none"), (2, None)], "doc_id long, text string")
+    got = sorted(str((x["doc_id"], x["text"])) for x in decontamination.clean(rows, bench).collect())
+    assert got == ["(1, 'none')", "(2, None)", "(None, 'none')", "(None, None)"]
+
+
 def test_decontamination_plan_is_native(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     plan = decontamination.hits(d, spark.read.parquet(f"{SF}/benchmark.parquet"))._jdf.queryExecution().toString()

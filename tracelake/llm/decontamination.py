@@ -72,7 +72,11 @@ def hits(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Data
     for each text.  An empty benchmark gives no spans, an empty table no rows;
     columns other than doc_id and text are ignored.
     """
-    spark = documents.sparkSession
+    return _hits(documents, benchmark, size).select("doc_id", "n_words", "spans", "items")
+
+
+def _hits(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """``hits`` with a column ``same``, the hash of the text."""
     docs = documents.select("doc_id", F.xxhash64("text").alias("same"), words_of(F.col("text")).alias("w"))
     docs = docs.withColumn("n_words", F.size("w"))
     windows = item_windows(benchmark, size).cache()
@@ -83,7 +87,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Data
     if not families:
         empty = F.array().cast("array<struct<start:int,length:int>>")
         return docs.groupBy("doc_id", "same").agg(F.max("n_words").cast("bigint").alias("n_words")).select(
-            "doc_id", "n_words", empty.alias("spans"), F.array().cast("array<string>").alias("items")
+            "doc_id", "same", "n_words", empty.alias("spans"), F.array().cast("array<string>").alias("items")
         )
     # Rarity: how often each token occurs in all documents, counted for item tokens only.
     asked = reduce(DataFrame.union, [x.select(F.col("token").alias("asked")) for x, _ in spread]).distinct()
@@ -125,7 +129,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Data
         F.max("n_words").cast("bigint").alias("n_words"),
         F.sort_array(F.collect_set("span")).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    ).select("doc_id", "n_words", "spans", "items")
+    )
 
 
 def covered(spans: Column) -> Column:
@@ -141,6 +145,11 @@ def covered(spans: Column) -> Column:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without those that hold a benchmark window.  Null ids without a hit stay."""
-    dirty = hits(documents.where("doc_id IS NOT NULL"), benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("dirty_id"))
-    return documents.join(dirty := dirty.distinct(), documents["doc_id"] == dirty["dirty_id"], "left_anti").select(*documents.columns)
+    """``documents`` without those that hold a benchmark window.
+
+    Every row is judged by its own text, also one with a null id or with an id that other texts have.
+    """
+    found = _hits(documents, benchmark, WINDOW).where(F.size("spans") > 0)
+    dirty = found.select(F.col("doc_id").alias("dirty_id"), F.col("same").alias("dirty_text")).distinct()
+    same = documents["doc_id"].eqNullSafe(dirty["dirty_id"]) & (F.xxhash64(documents["text"]) == dirty["dirty_text"])
+    return documents.join(dirty, same, "left_anti").select(*documents.columns)

@@ -184,6 +184,18 @@ def test_near_duplicates_at_the_wanted_similarity(spark):
     assert simhash.keep_one_of_each(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_are_verified_exactly(spark):
+    r = random.Random(17)
+    say = lambda n: ["w%d" % r.randrange(10**7) for _ in range(n)]
+    texts, pairs = [], []
+    for n, more in [(8, 1), (9, 1), (10, 1), (7, 1), (84, 20), (84, 21), (304, 75), (304, 76), (404, 100), (404, 101)] * 6:
+        a = say(n)
+        pairs.append((n - 4) / (n - 4 + more) >= 0.8)  # n - 4 shingles against those and ``more``
+        texts += [" ".join(a), " ".join(a + say(more))]
+    kept = {x["doc_id"] for x in simhash.keep_one_of_each(docs(spark, texts)).collect()}
+    assert [(2 * i in kept, 2 * i + 1 in kept) for i in range(len(pairs))] == [(True, not p) for p in pairs]
+
+
 # Decontamination.
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

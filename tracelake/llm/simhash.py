@@ -11,9 +11,11 @@ each choice of 4 is a table.  Two fingerprints within ``max_bits`` bits share at
 least one table's key, so no link is lost.  With two bits a key has at least 42
 of the 64 bits, so a key's group holds at most 2**22 distinct fingerprints.
 
-Similar mode (many words): each word gives three blocks of 21 bits, and pairs
-are linked when the share of differing bits is at most what the wanted Jaccard
-similarity implies.
+Similar mode (many words): each word gives four blocks of 16 bits, and pairs
+are candidates when the share of differing bits is at most a wide margin above
+what the wanted Jaccard similarity implies.  Fingerprints of few shingles say
+little, so short texts are joined by the shingles themselves.  Every candidate is
+verified by the exact similarity of its hashed shingles.
 """
 
 from __future__ import annotations
@@ -105,9 +107,13 @@ def majorities(x: np.ndarray) -> np.ndarray:
     return above | equal
 
 
-def wide_fingerprint(text: str | None, words: int, size: int) -> list[int]:
-    """``size`` words of 64 bits over the distinct shingles, each from its own hash."""
-    h = np.unique(hashes(shingles(text, words)))
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(hashes(shingles(text, words)))
+
+
+def wide_fingerprint(h: np.ndarray, size: int) -> list[int]:
+    """``size`` words of 64 bits over a shingle set, each from its own hash."""
     if not len(h):
         return [0] * size
     if len(h) > PIECE:
@@ -119,18 +125,35 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprints(documents: DataFrame, words: int = 3, size: int = 1) -> DataFrame:
-    """(doc_id, f0, f1, ...) as 64-bit patterns, one row for each row of ``documents``."""
+def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, f0) as 64-bit patterns, one row for each row of ``documents``."""
 
     def work(c: dict[str, list]) -> dict[str, list]:
-        if size == 1:
-            found = [[fingerprint(t, words)] for t in c["text"]]
-        else:
-            found = [wide_fingerprint(t, words, size) for t in c["text"]]
-        return {"doc_id": c["doc_id"]} | {f"f{k}": [_signed(x[k]) for x in found] for k in range(size)}
+        return {"doc_id": c["doc_id"], "f0": [_signed(fingerprint(t, words)) for t in c["text"]]}
+
+    kind = dict(documents.dtypes)["doc_id"]
+    return common.map_batches(documents.select("doc_id", "text"), work, f"doc_id {kind}, f0 bigint")
+
+
+def wide_fingerprints(documents: DataFrame, words: int, size: int, similarity: float) -> DataFrame:
+    """(doc_id, same, n, few, f0, f1, ...), one row for each row of ``documents``.
+
+    ``same`` is a hash of the shingle set and ``n`` its size; ``few`` is the set
+    itself where it can be similar to one of up to ``SHORT`` shingles, else null.
+    """
+
+    def work(c: dict[str, list]) -> dict[str, list]:
+        sets = [shingle_set(t, words) for t in c["text"]]
+        found = [wide_fingerprint(h, size) for h in sets]
+        return {
+            "doc_id": c["doc_id"],
+            "same": [_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets],
+            "n": [len(h) for h in sets],
+            "few": [h.view(np.int64).tolist() if len(h) * similarity <= SHORT else None for h in sets],
+        } | {f"f{k}": [_signed(x[k]) for x in found] for k in range(size)}
 
     kind = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, " + ", ".join(f"f{k} bigint" for k in range(size))
+    schema = f"doc_id {kind}, same bigint, n int, few array<bigint>, " + ", ".join(f"f{k} bigint" for k in range(size))
     return common.map_batches(documents.select("doc_id", "text"), work, schema)
 
 
@@ -260,26 +283,72 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def link_similar(distinct: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links (a, b) between rows of ``distinct`` (node, f0 .. f{size-1}) by block agreement.
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut only where the first column changes."""
+    held: list[np.ndarray] = [np.empty(0, dtype=np.int64) for _ in names]
+    for batch in batches:
+        columns = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
+        cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield [c[:last] for c in columns]
+        held = [c[last:].copy() for c in columns]
+    if len(held[0]):
+        yield held
+
+
+def candidate_links(x: np.ndarray, sure: int, limit: int) -> list[tuple[int, int]]:
+    """Pairs of columns of ``x`` to verify.
+
+    Columns within ``sure`` bits of one another, directly or through others, are one
+    cluster, whose links are a tree; of different clusters all pairs within ``limit`` bits count.
+    """
+    left = np.arange(x.shape[1])
+    links: list[tuple[int, int]] = []
+    clusters: list[list[int]] = []
+
+    def near(i: int, others: np.ndarray, most: int) -> np.ndarray:
+        return np.bitwise_count(x[:, i, None] ^ x[:, others]).sum(axis=0, dtype=np.int64) <= most
+
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        clusters.append(list(front))
+        while front and len(left):
+            i = front.pop()
+            found = near(i, left, sure)
+            hit = left[found].tolist()
+            links += [(i, j) for j in hit]
+            front += hit
+            clusters[-1] += hit
+            left = left[~found]
+    for at, cluster in enumerate(clusters[:-1]):
+        others = np.array([j for c in clusters[at + 1 :] for j in c])
+        for i in cluster:
+            links += [(i, j) for j in others[near(i, others, limit)].tolist()]
+    return links
+
+
+def candidates_similar(distinct: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Candidates (a, b) between rows of ``distinct`` (node, f0 .. f{size-1}) by block agreement.
 
-    Every block of 21 bits (three to a word) is a table.  In a first pass rows
+    Every block of 16 bits (four to a word) is a table.  In a first pass rows
     carry only a check word, which drops blocks shared by chance; what is left
-    gets its whole fingerprint and is verified in full, group by group.
+    gets its whole fingerprint and is compared in full, group by group.
     """
     share = differing_share(similarity)
     names = [f"f{k}" for k in range(size)]
-    # One standard deviation above the expected distance: a pair at the wanted similarity passes with 84 %.
-    limit = int(size * 64 * share + math.sqrt(size * 64 * share * (1 - share)))
+    # Five standard deviations on both sides of the expected distance.
+    spread = 5 * math.sqrt(size * 64 * share * (1 - share))
+    limit, sure = math.ceil(size * 64 * share + spread), int(size * 64 * share - spread)
     loose = math.ceil(64 * share + 3.2 * math.sqrt(64 * share * (1 - share)))
-    low = (1 << 21) - 1
+    low = (1 << 16) - 1
     keys = [
         F.struct(
-            F.shiftrightunsigned(F.col(f"f{k}"), 21 * part).bitwiseAND(F.lit(low)).bitwiseOR(F.lit((k * 3 + part) << 21)).alias("key"),
+            F.shiftrightunsigned(F.col(f"f{k}"), 16 * part).bitwiseAND(F.lit(low)).bitwiseOR(F.lit((k * 4 + part) << 16)).alias("key"),
             F.col(f"f{(k + 1) % size}").alias("check"),
         )
         for k in range(size)
-        for part in range(3)
+        for part in range(4)
     ]
     dealt = (
         distinct.select("node", F.explode(F.array(*keys)).alias("x"))
@@ -289,57 +358,101 @@ def link_similar(distinct: DataFrame, size: int, similarity: float) -> DataFrame
     )
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_out: list[np.ndarray] = []
-        nodes_out: list[np.ndarray] = []
-        held = 0
-        for key, check, node in _by_group(batches, ["key", "check", "node"]):
+        for key, check, node in _whole_groups(batches, ["key", "check", "node"]):
             x = check.view(np.uint64)
-            if len(x) == 2:
-                close = np.full(2, np.bitwise_count(x[0] ^ x[1]) <= loose)
-            else:
-                close = np.zeros(len(x), dtype=bool)
-                for at in range(0, len(x), 256):
-                    d = np.bitwise_count(x[at : at + 256, None] ^ x[None, :]) <= loose
-                    close[at : at + 256] = d.sum(axis=1) > 1
+            close = np.zeros(len(x), dtype=bool)
+            at, step = np.arange(len(x) - 1), 1
+            while len(at):
+                at = at[key[at] == key[at + step]]
+                hit = at[np.bitwise_count(x[at] ^ x[at + step]) <= loose]
+                close[hit] = close[hit + step] = True
+                step += 1
+                at = at[at + step < len(x)]
             if close.any():
-                keys_out.append(key[close])
-                nodes_out.append(node[close])
-                held += int(close.sum())
-            if held > 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys_out)), pa.array(np.concatenate(nodes_out))], names=["key", "node"])
-                keys_out, nodes_out, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys_out)), pa.array(np.concatenate(nodes_out))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[close]), pa.array(node[close])], names=["key", "node"])
 
     likely = dealt.mapInArrow(screen, "key bigint, node bigint")
     whole = (
         likely.join(distinct, "node").select("key", "node", *names).repartition(F.col("key")).sortWithinPartitions("key", "node")
     )
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, node, *words in _by_group(batches, ["key", "node", *names]):
-            x = np.stack(words).view(np.uint64)
-            left = np.arange(len(node))
-            a: list[int] = []
-            b: list[int] = []
-            while len(left):
-                front, left = [int(left[0])], left[1:]
-                while front and len(left):
-                    i = front.pop()
-                    near = np.bitwise_count(x[:, i, None] ^ x[:, left]).sum(axis=0, dtype=np.int64) <= limit
-                    hit = left[near].tolist()
-                    a += [i] * len(hit)
-                    b += hit
-                    front += hit
-                    left = left[~near]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
-
-    return whole.mapInArrow(verify, "a bigint, b bigint").distinct()
-
-
-#: Words of the wide fingerprint: 32 words are 96 blocks, which a pair of similarity 0.8 shares with over 95 %.
+            links = candidate_links(np.stack(words).view(np.uint64), sure, limit)
+            if links:
+                a, b = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+
+    return whole.mapInArrow(compare, "a bigint, b bigint").where("a < b").distinct()
+
+
+def links_short(short: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what exactly similar pairs of ``short`` (node, few) connect.
+
+    Of two sets of a similarity, each has a shared shingle among its first in
+    order of the hash, all but those that the similarity needs and one more.
+    """
+    n = F.size("few")
+    first = (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
+    dealt = (
+        short.where(n > 0).select("node", "few", F.explode(F.slice("few", F.lit(1), first)).alias("key"))
+        .select("key", "node", "few").repartition(F.col("key")).sortWithinPartitions("key", "node")
+    )
+
+    def link(nodes: list[int], lists: list[list[int]]) -> pa.RecordBatch:
+        sets = [frozenset(x) for x in lists]
+        left, a, b = list(range(len(nodes))), [], []
+        while left:
+            front, left = [left[0]], left[1:]
+            while front and left:
+                i, stay = front.pop(), []
+                for j in left:
+                    both = len(sets[i] & sets[j])
+                    if both >= similarity * max(len(sets[i]), len(sets[j])) - 1e-9 and both / (len(sets[i]) + len(sets[j]) - both) >= similarity:
+                        a.append(nodes[i])
+                        b.append(nodes[j])
+                        front.append(j)
+                    else:
+                        stay.append(j)
+                left = stay
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, lists = None, [], []
+        for batch in batches:
+            for k, node, few in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if k != key:
+                    if len(nodes) > 1:
+                        yield link(nodes, lists)
+                    key, nodes, lists = k, [], []
+                nodes.append(node)
+                lists.append(few)
+        if len(nodes) > 1:
+            yield link(nodes, lists)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(candidates: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``candidates`` (a, b) whose texts have at least this Jaccard similarity of hashed shingles."""
+    pairs = common.materialize(candidates)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    texts = documents.join(asked, documents["doc_id"] == F.col("asked"), "left_semi").select("doc_id", "text")
+
+    def work(c: dict[str, list]) -> dict[str, list]:
+        return {"node": c["doc_id"], "held": [shingle_set(t, words).view(np.int64).tolist() for t in c["text"]]}
+
+    sets = common.materialize(common.map_batches(texts, work, "node bigint, held array<bigint>"))
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("held").alias(f"set_{x}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    share = both / F.greatest(F.size("set_a") + F.size("set_b") - both, F.lit(1))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(share >= similarity).select("a", "b")
+
+
+#: Words of the wide fingerprint: 32 words are 128 blocks, of which a pair of similarity 0.8 shares one with over 99.9 %.
 WIDE = 32
+#: Sets of so many shingles are joined by their shingles, larger ones by fingerprints.
+SHORT = 64
 
 
 def keep_one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, size: int = WIDE) -> DataFrame:
@@ -350,11 +463,14 @@ def keep_one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0
     table stays empty.
     """
     names = [f"f{k}" for k in range(size)]
-    rows = common.materialize(fingerprints(documents.where("doc_id IS NOT NULL"), words, size))
-    distinct = common.materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("node")).select("node", *names))
+    known = documents.where("doc_id IS NOT NULL")
+    rows = common.materialize(wide_fingerprints(known, words, size, similarity))
+    distinct = common.materialize(rows.groupBy("same", "n", *names).agg(F.min("doc_id").alias("node")).select("node", "same", "n", *names))
     # One id may hold several texts, so a node stands for an id and components join across its texts.
-    distinct_nodes = distinct.groupBy("node").agg(*[F.min(n).alias(n) for n in names])
-    found = components(link_similar(distinct_nodes, size, similarity))
+    long = distinct.where(F.col("n") > SHORT).groupBy("node").agg(*[F.min(x).alias(x) for x in names])
+    short = distinct.select("node", "same").join(rows.where("few IS NOT NULL").select(F.col("doc_id").alias("node"), "same", "few").distinct(), ["node", "same"])
+    links = verified(candidates_similar(long, size, similarity), known, words, similarity)
+    found = components(links.union(links_short(short.select("node", "few"), similarity)).distinct())
     kept = (
         distinct.select("node").distinct().join(found, "node", "left")
         .where("component IS NULL OR component = node").select(F.col("node").alias("kept_id"))

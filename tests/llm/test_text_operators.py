@@ -309,6 +309,26 @@ def test_formats_survive():
     assert pseudonyms.secret(secret.upper(), KEY) == pseudonyms.secret(secret, KEY).upper()
 
 
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("4111111111111111 5500005555555559", ["card", "card"]),
+        ("12345 4111111111111111", ["card"]),
+        ("4111 1111 1111 1111 12/25", ["card"]),
+        ("4111 1111 1111 1111 123", ["card"]),
+        ("2024-01-02T10:00:00Z", ["date"]),
+        ("+14275555262", ["phone"]),
+        ("+44 20 7946 0958", ["phone"]),
+        ("+4721234567", ["phone"]),
+    ],
+)
+def test_values_beside_others(text, kinds):
+    new, spans = pseudonyms.pseudonymise(text, KEY)
+    assert [s["kind"] for s in spans] == kinds and len(new) == len(text)
+    again = pseudonyms.pseudonymise(new, KEY)[1]
+    assert all(text[s["start"] : s["stop"]] not in new for s in spans) and again == spans
+
+
 def test_texts(spark):
     r = random.Random(5)
     c = valid_card(r)

@@ -110,10 +110,11 @@ def ssn(text: str, key: bytes) -> str | None:
 
 
 def phone(text: str, key: bytes) -> str | None:
-    """The last ten digits are permuted; a country code and all signs stay."""
+    """The last ten digits are permuted (of up to ten after a plus, all but three); what is before and all signs stay."""
     d = _digits(text)
-    head, body = d[:-10], d[-10:]
-    return _refill(text, head + str(permute(int(body), 10**10, key, "phone" + head)).zfill(10))
+    n = 10 if len(d) > 10 or text[0] != "+" else len(d) - 3
+    head, body = d[:-n], d[-n:]
+    return _refill(text, head + str(permute(int(body), 10**n, key, "phone" + head)).zfill(n))
 
 
 def ipv4(text: str, key: bytes) -> str | None:
@@ -188,9 +189,10 @@ KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("access_key", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     ("credential", r"(?i)(?<![a-z0-9])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<v>[a-z0-9][a-z0-9+/_.-]{6,}[a-z0-9+/_])", credential),
     ("ipv4", r"(?<![0-9.A-Za-z])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", ipv4),
-    ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}(?P<t>[-/.])[0-9]{2}(?P=t)[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])", date),
+    ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}(?P<t>[-/.])[0-9]{2}(?P=t)[0-9]{4})(?:(?=T[0-9]{2}:)|(?![0-9A-Za-z]|[./-][0-9]))", date),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])", ssn),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])", phone),
+    ("phone", r"(?<![0-9A-Za-z+])\+[1-9](?:(?:[ .-]|[ .-]?\(|\)[ .-]?)?[0-9]){7,14}(?![0-9A-Za-z]|[ .-]?[0-9])", phone),
     ("card", r"(?<![0-9A-Za-z])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9]|[A-Za-z])", card),
 )
 _PATTERNS = [(kind, re.compile(pattern)) for kind, pattern, _ in KINDS]
@@ -207,19 +209,38 @@ def _find(line: str, key: bytes) -> list[tuple[int, int, str, str]]:
             if taken.find(1, start, stop) >= 0:
                 continue
             made = _made(kind, line[start:stop], key)
-            here = [(start, stop, kind, made)] if made is not None else _inner_cards(m, key) if kind == "card" else []
-            for a, b, _, _ in here:
-                taken[a:b] = b"\1" * (b - a)
-            found += here
-    return sorted(found)
-
-
-def _inner_cards(m: re.Match, key: bytes) -> list[tuple[int, int, str, str]]:
-    """Valid numbers among the parts of a run of digits that isn't one number itself."""
-    parts = [(m.start() + p.start(), p[0]) for p in re.finditer(r"[0-9]{13,19}", m[0])]
-    if len(parts) == 1 and parts[0][1] == m[0]:
-        return []
-    return [(a, a + len(p), "card", made) for a, p in parts if (made := _made("card", p, key)) is not None]
+            if made is not None:
+                taken[start:stop] = b"\1" * (stop - start)
+                found.append((start, stop, kind, made))
+    return sorted(found + _inner_cards(line, taken, key))
+
+
+#: How cards are usually written, as digits in each group; tried before other windows.
+_CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1)}
+_GROUP = re.compile(r"(?<![0-9A-Za-z])[0-9]+(?![0-9A-Za-z])")
+
+
+def _inner_cards(line: str, taken: bytearray, key: bytes) -> list[tuple[int, int, str, str]]:
+    """Valid numbers among the groups of longer runs of digits: usual forms first, then longer ones, then from the left."""
+    groups = [m.span() for m in _GROUP.finditer(line)]
+    windows = []
+    for i, (start, stop) in enumerate(groups):
+        sizes: tuple[int, ...] = ()
+        for j in range(i, len(groups)):
+            if j > i and not (groups[j][0] == stop + 1 and line[stop] in " -"):
+                break
+            stop = groups[j][1]
+            sizes += (stop - groups[j][0],)
+            if sum(sizes) > 19:
+                break
+            if sum(sizes) >= 13 and taken.find(1, start, stop) < 0 and (made := _made("card", line[start:stop], key)) is not None:
+                windows.append((len(sizes) > 1 and sizes not in _CARD_GROUPS, -sum(sizes), start, stop, made))
+    found = []
+    for _, _, start, stop, made in sorted(windows):
+        if taken.find(1, start, stop) < 0:
+            taken[start:stop] = b"\1" * (stop - start)
+            found.append((start, stop, "card", made))
+    return found
 
 
 _CHANGES = {kind: change for kind, _, change in KINDS}

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -179,9 +180,76 @@ def test_near_duplicates_at_the_wanted_similarity(spark):
             assert pair == {2 * i}
         if j <= 0.7:
             assert len(pair) == 2
-    odd = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
-    assert sorted((str(x["doc_id"]) for x in simhash.keep_one_of_each(odd).collect())) == ["1", "None", "None"]
-    assert simhash.keep_one_of_each(odd.limit(0)).count() == 0
+
+
+def test_near_duplicates_go_by_text_and_not_by_id(spark):
+    r = random.Random(23)
+    a, b = (" ".join("w%d" % r.randrange(10**6) for _ in range(200)) for _ in range(2))
+    near = a + " more"
+
+    def kept(rows, kind="long"):
+        return sorted((str(x["doc_id"]), x["text"]) for x in simhash.keep_one_of_each(spark.createDataFrame(rows, f"doc_id {kind}, text string, __text string, node int")).collect())
+
+    add = lambda rows: [(*x, "clash", 1) for x in rows]
+    assert kept(add([(5, a), (5, b), (6, a), (7, b)])) == sorted([("5", a), ("5", b)])
+    assert kept(add([(5, a), (5, b), (6, near)])) == sorted([("5", a), ("5", b)])
+    assert kept(add([(None, a), (None, a), (None, b), (3, near), (3, near)])) == sorted([("3", near), ("None", b)])
+    assert kept(add([("x", a), ("b", near), (None, None), ("q", ""), ("p", " ")]), "string") == [("b", near), ("p", " ")]
+    assert kept(add([(None, "a"), (None, "a"), (1, "a"), (1, "a")])) == [("1", "a")]
+    assert kept([]) == []
+
+
+def brute_groups(texts, similarity=0.8):
+    """The smallest number of each text's group, by comparing all pairs."""
+    low = list(range(len(texts)))
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    for _ in range(len(texts)):
+        old = list(low)
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == old:
+            return low, near
+
+
+@pytest.mark.parametrize("group_rows", [simhash.GROUP_ROWS, 4])
+def test_near_duplicates_against_all_pairs(spark, group_rows):
+    """Families of texts around the limit: no link below it, and at most 2 % of those above it are lost; also where keys are split."""
+    r = random.Random(29)
+    texts = []
+    for n in (12, 60, 70, 150, 300, 900):
+        for _ in range(4):
+            base = " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+            texts += [base, *(t for k in (n // 120 + 1, n // 60 + 1, n // 40 + 1) for t in variants(r, base, 5, k))]
+    low, near = brute_groups(texts)
+    got = {x["doc_id"]: x["similar"] for x in simhash.similar_groups(docs(spark, texts), group_rows=group_rows).collect()}
+    same = {}
+    for i, g in got.items():
+        same.setdefault(g, set()).add(low[i])
+    assert all(len(v) == 1 for v in same.values())
+    assert len(near) > 300 and sum(got[i] == got[j] for i, j in near) >= 0.98 * len(near)
+
+
+@pytest.mark.parametrize("texts", [10, 10**6, 10**10])
+def test_tables_grow_with_the_corpus(texts):
+    """The chance that a pair at the limit shares no table stays at some 1 %, and a key holds few unrelated texts."""
+    t = simhash.Tables.fit(texts, 0.8)
+    r = np.random.default_rng(1)
+    flips = np.packbits((r.random((400, simhash.BLOCKS * t.half)) < simhash.differing_share(0.8)).astype(np.uint8), axis=1)
+    assert (t.first_shared(flips) >= 0).mean() > 0.97 and texts / 4**t.half <= 4 and t.size * 64 == simhash.BLOCKS * t.half
+    assert (np.bitwise_count(flips.view(np.uint64)).sum(axis=1) <= t.limit).all()
+
+
+def test_shingle_sets():
+    """Equal sets exactly where the texts' sets of shingles are equal."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice("aBcd") for _ in range(r.randrange(9))) + r.choice(["", " ", "\n\t"]) for _ in range(300)] + [None, "", "  a", "É É"]
+    def plain(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()
+    pairs = [(plain(t), s.tobytes()) for t, s in zip(texts, simhash.shingle_sets(pa.array(texts), 3), strict=True)]
+    assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(set(pairs)) and all(len(a) * 8 == len(b) for a, b in pairs)
 
 
 def test_near_duplicates_are_verified_exactly(spark):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,28 @@ def training_labels(labels: DataFrame, column: str, bound: int) -> DataFrame:
     return rows
 
 
+def labelled_texts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, label, text) of the ``chosen`` (doc_id, label) rows, one row for each id.
+
+    Of an id's texts the one with the smallest hash stands for it, so repeated ids
+    neither add rows nor weigh more; which one doesn't depend on partitioning.
+    """
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen is bounded
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x"))
+    return one.select("doc_id", "label", "x.text")
+
+
+def bounded_slices(batch: pa.RecordBatch, texts: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts (a column number) have about ``limit`` bytes together, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_batches(
     df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = ROWS_PER_SLICE
 ) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.llm import common
 from tracelake.plans.session import ship
 
 CAPACITY = 4096
@@ -148,7 +149,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
         coder = word_coder(tokenizer_path)
         place = (TaskContext.get().partitionId() * 7919) if TaskContext.get() else 0
         for batch in batches:
-            for rows in _bounded_slices(batch):
+            for rows in common.bounded_slices(batch, 1, SLICE_BYTES):
                 who, piece, start, length, data = [], [], [], [], []
                 for i, x in enumerate(coder.encode(rows.column(1))):
                     x = np.append(x, end)
@@ -167,17 +168,6 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
     return documents.select("doc_id", "text").mapInArrow(run, target)
 
 
-def _bounded_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with some megabytes of text each, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes)
-    at = 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of indices: items in decreasing order, each into the fullest bin that still holds it."""
     bins: list[list[int]] = []

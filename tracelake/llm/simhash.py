@@ -11,30 +11,37 @@ each choice of 4 is a table.  Two fingerprints within ``max_bits`` bits share at
 least one table's key, so no link is lost.  With two bits a key has at least 42
 of the 64 bits, so a key's group holds at most 2**22 distinct fingerprints.
 
-Similar mode (many words): each word gives four blocks of 16 bits, and pairs
-are candidates when the share of differing bits is at most a wide margin above
-what the wanted Jaccard similarity implies.  Fingerprints of few shingles say
-little, so short texts are joined by the shingles themselves.  Every candidate is
-verified by the exact similarity of its hashed shingles.
+Similar mode (many words): the fingerprint is cut in 128 half-blocks, and two of
+them, a fixed step apart, are a table's key.  The width of a half-block grows with
+the number of texts, so that a key holds a few unrelated texts at any size; the
+number of tables follows from the wanted recall.  Candidates within the Hamming
+distance that the wanted Jaccard similarity implies are verified by the exact
+similarity of their hashed shingles, in the first table that both share and so
+once each.  Fingerprints of few shingles say little, so short texts are joined by
+the shingles themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import common
 from tracelake.llm.components import components
+from tracelake.plans.session import ship
 
 SEED = 42
 PIECE = 16_384  # shingles whose bits are counted at once
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -50,9 +57,9 @@ def hashes(pieces: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(x, SEED) for x in pieces]), dtype=">u8").astype(np.uint64)
 
 
-def _mix(x: np.ndarray, k: int) -> np.ndarray:
+def _mix(x: np.ndarray, k: int | np.ndarray) -> np.ndarray:
     """An independent hash of ``x`` for each ``k``: a multiply-shift finaliser (splitmix64's constants)."""
-    x = x + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = x + (k * _BASE if isinstance(k, np.ndarray) else np.uint64(k * int(_BASE) & (1 << 64) - 1))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -107,20 +114,6 @@ def majorities(x: np.ndarray) -> np.ndarray:
     return above | equal
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    return np.unique(hashes(shingles(text, words)))
-
-
-def wide_fingerprint(h: np.ndarray, size: int) -> list[int]:
-    """``size`` words of 64 bits over a shingle set, each from its own hash."""
-    if not len(h):
-        return [0] * size
-    if len(h) > PIECE:
-        return [_majority(_mix(h, k)) for k in range(size)]
-    return majorities(np.stack([_mix(h, k) for k in range(size)], axis=1)).tolist()
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -135,28 +128,6 @@ def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
     return common.map_batches(documents.select("doc_id", "text"), work, f"doc_id {kind}, f0 bigint")
 
 
-def wide_fingerprints(documents: DataFrame, words: int, size: int, similarity: float) -> DataFrame:
-    """(doc_id, same, n, few, f0, f1, ...), one row for each row of ``documents``.
-
-    ``same`` is a hash of the shingle set and ``n`` its size; ``few`` is the set
-    itself where it can be similar to one of up to ``SHORT`` shingles, else null.
-    """
-
-    def work(c: dict[str, list]) -> dict[str, list]:
-        sets = [shingle_set(t, words) for t in c["text"]]
-        found = [wide_fingerprint(h, size) for h in sets]
-        return {
-            "doc_id": c["doc_id"],
-            "same": [_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in sets],
-            "n": [len(h) for h in sets],
-            "few": [h.view(np.int64).tolist() if len(h) * similarity <= SHORT else None for h in sets],
-        } | {f"f{k}": [_signed(x[k]) for x in found] for k in range(size)}
-
-    kind = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, same bigint, n int, few array<bigint>, " + ", ".join(f"f{k} bigint" for k in range(size))
-    return common.map_batches(documents.select("doc_id", "text"), work, schema)
-
-
 def block_masks(max_bits: int, agree: int = 4) -> list[int]:
     """Masks of the tables: every choice of ``agree`` out of ``max_bits + agree`` blocks of a word."""
     n = max_bits + agree
@@ -283,200 +254,367 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted rows, cut only where the first column changes."""
-    held: list[np.ndarray] = [np.empty(0, dtype=np.int64) for _ in names]
-    for batch in batches:
-        columns = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
-        cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
-        last = int(cuts[-1]) if len(cuts) else 0
-        if last:
-            yield [c[:last] for c in columns]
-        held = [c[last:].copy() for c in columns]
-    if len(held[0]):
-        yield held
+# Similar mode.
 
+#: Half-blocks of a wide fingerprint; a table's key is two of them.
+BLOCKS = 128
+#: Sets of so many shingles are joined by their shingles, larger ones by fingerprints.
+SHORT = 64
+#: Rows of a key that one task compares; a key with more is dealt out in parts and pairs of parts.
+GROUP_ROWS = 2048
+#: Nodes up to which a table of nodes is broadcast (16 to 40 bytes each); beyond, the join is shuffled.
+BROADCAST_NODES = 500_000
+#: Chance that a pair of the wanted similarity shares no table: exp(-4.6) is 1 %.
+MISSED = 4.6
+#: Text whose words are hashed at once.
+SLICE_BYTES = 1 << 20
+_GROWTH = math.log(1.1)
+
+
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text's A-Z lower-cased words.
+
+    Arrow splits the texts, each distinct word is hashed once, and a shingle's hash is
+    a polynomial of its words' hashes.  A text of fewer words is one shingle.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    edges = lists.offsets.to_numpy()
+    said = lists.flatten().dictionary_encode()
+    names = said.dictionary.cast(pa.binary()).to_pylist()
+    code = np.array([xxhash.xxh64_intdigest(w, SEED) for w in names], dtype=np.uint64)
+    ids = said.indices.to_numpy(zero_copy_only=False)
+    real = np.array([bool(w) for w in names], dtype=bool)[ids] if len(names) else np.zeros(0, bool)
+    w = code[ids[real]] if len(names) else np.zeros(0, np.uint64)
+    starts = np.concatenate(([0], np.cumsum(real)))[edges - edges[0]]
+    n = max(0, len(w) - words + 1)
+    h = w[:n].copy()
+    for i in range(1, words):
+        h = h * _BASE + w[i : n + i]
+    out = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b - a >= words:
+            out.append(np.unique(h[a : b - words + 1]))
+        else:  # the number of words comes in, so that it is no other shingle's polynomial
+            one = np.uint64(b - a)
+            with np.errstate(over="ignore"):
+                for x in w[a:b]:
+                    one = one * _BASE + x
+            out.append(np.array([one] if b > a else [], dtype=np.uint64))
+    return out
+
+
+def wide_fingerprint(h: np.ndarray, size: int) -> np.ndarray:
+    """``size`` words of 64 bits over a shingle set, each from its own hash."""
+    if not len(h):
+        return np.zeros(size, dtype=np.uint64)
+    if len(h) > 16 * PIECE:
+        return np.array([_majority(_mix(h, k)) for k in range(size)], dtype=np.uint64)
+    return majorities(_mix(h[:, None], np.arange(size, dtype=np.uint64)))
 
-def candidate_links(x: np.ndarray, sure: int, limit: int) -> list[tuple[int, int]]:
-    """Pairs of columns of ``x`` to verify.
 
-    Columns within ``sure`` bits of one another, directly or through others, are one
-    cluster, whose links are a tree; of different clusters all pairs within ``limit`` bits count.
-    """
-    left = np.arange(x.shape[1])
-    links: list[tuple[int, int]] = []
-    clusters: list[list[int]] = []
-
-    def near(i: int, others: np.ndarray, most: int) -> np.ndarray:
-        return np.bitwise_count(x[:, i, None] ^ x[:, others]).sum(axis=0, dtype=np.int64) <= most
-
-    while len(left):
-        front, left = [int(left[0])], left[1:]
-        clusters.append(list(front))
-        while front and len(left):
-            i = front.pop()
-            found = near(i, left, sure)
-            hit = left[found].tolist()
-            links += [(i, j) for j in hit]
-            front += hit
-            clusters[-1] += hit
-            left = left[~found]
-    for at, cluster in enumerate(clusters[:-1]):
-        others = np.array([j for c in clusters[at + 1 :] for j in c])
-        for i in cluster:
-            links += [(i, j) for j in others[near(i, others, limit)].tolist()]
-    return links
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two shingle sets of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+@dataclass(frozen=True)
+class Tables:
+    """How fingerprints are cut and compared for a number of texts and a similarity."""
+
+    half: int  # bits of a half-block
+    rounds: int  # every round has a table for each half-block, paired with the one ``round`` places on
+    limit: int  # differing bits of a candidate
+    loose: int  # differing bits of 56 that the first screening lets pass
+    similarity: float
+
+    @staticmethod
+    def fit(texts: int, similarity: float) -> Tables:
+        share = differing_share(similarity)
+        half = max(8, math.ceil((math.log2(max(texts, 2)) - 2) / 2))
+        p = (1 - share) ** half  # a half-block agrees; neighbouring keys share one, hence 1 - p
+        rounds = math.ceil(MISSED / (BLOCKS * p * p * (1 - p)))
+        bits = BLOCKS * half
+        spread = lambda n, k: math.ceil(n * share + k * math.sqrt(n * share * (1 - share)))
+        return Tables(half, min(rounds, BLOCKS // 2 - 1), spread(bits, 4.5), spread(56, 3.2), similarity)
+
+    @property
+    def size(self) -> int:
+        return BLOCKS * self.half // 64
+
+    def blocks(self, prints: np.ndarray) -> np.ndarray:
+        """Half-blocks (rows x BLOCKS) of fingerprints as rows of bytes."""
+        if self.half == 8:
+            return prints.astype(np.int64)
+        bits = np.unpackbits(prints, axis=1).reshape(len(prints), BLOCKS, self.half)
+        return bits @ (1 << np.arange(self.half - 1, -1, -1, dtype=np.int64))
+
+    def first_shared(self, different: np.ndarray) -> np.ndarray:
+        """The first table in which pairs agree, from their differing bits as rows of bytes; -1 if there is none."""
+        same = self.blocks(different) == 0
+        agree = np.concatenate([same & np.roll(same, -r, axis=1) for r in range(1, self.rounds + 1)], axis=1)
+        return np.where(agree.any(axis=1), agree.argmax(axis=1), -1)
+
 
+def _slack(n: np.ndarray) -> np.ndarray:
+    """A number of one byte that grows by one when the set grows by a tenth."""
+    return np.minimum(255, np.log(np.maximum(n, 1)) / _GROWTH).astype(np.int64)
 
-def candidates_similar(distinct: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Candidates (a, b) between rows of ``distinct`` (node, f0 .. f{size-1}) by block agreement.
 
-    Every block of 16 bits (four to a word) is a table.  In a first pass rows
-    carry only a check word, which drops blocks shared by chance; what is left
-    gets its whole fingerprint and is compared in full, group by group.
+def wide_fingerprints(documents: DataFrame, words: int, tables: Tables) -> DataFrame:
+    """(doc_id, row_hash, text_hash, node, n, print, few), one row for each row of ``documents``.
+
+    ``node`` is a hash of the shingle set, ``n`` its size, ``few`` the set itself where it can be
+    similar to one of up to ``SHORT`` shingles.  The first hashes stand for the row and its text.
     """
-    share = differing_share(similarity)
-    names = [f"f{k}" for k in range(size)]
-    # Five standard deviations on both sides of the expected distance.
-    spread = 5 * math.sqrt(size * 64 * share * (1 - share))
-    limit, sure = math.ceil(size * 64 * share + spread), int(size * 64 * share - spread)
-    loose = math.ceil(64 * share + 3.2 * math.sqrt(64 * share * (1 - share)))
-    low = (1 << 16) - 1
-    keys = [
-        F.struct(
-            F.shiftrightunsigned(F.col(f"f{k}"), 16 * part).bitwiseAND(F.lit(low)).bitwiseOR(F.lit((k * 4 + part) << 16)).alias("key"),
-            F.col(f"f{(k + 1) % size}").alias("check"),
-        )
-        for k in range(size)
-        for part in range(4)
-    ]
-    dealt = (
-        distinct.select("node", F.explode(F.array(*keys)).alias("x"))
-        .select("x.key", "x.check", "node")
-        .repartition(F.col("key"))
-        .sortWithinPartitions("key", "node")
-    )
+    ship(documents.sparkSession)
+    kind = dict(documents.dtypes)["doc_id"]
+    rows = documents.select("doc_id", *_row_hashes(documents), "text")
+    target = documents.sparkSession.createDataFrame([], f"doc_id {kind}, row_hash bigint, text_hash bigint, node bigint, n int, print binary, few array<bigint>").schema
 
-    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, check, node in _whole_groups(batches, ["key", "check", "node"]):
-            x = check.view(np.uint64)
-            close = np.zeros(len(x), dtype=bool)
-            at, step = np.arange(len(x) - 1), 1
-            while len(at):
-                at = at[key[at] == key[at + step]]
-                hit = at[np.bitwise_count(x[at] ^ x[at + step]) <= loose]
-                close[hit] = close[hit + step] = True
-                step += 1
-                at = at[at + step < len(x)]
-            if close.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[close]), pa.array(node[close])], names=["key", "node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    likely = dealt.mapInArrow(screen, "key bigint, node bigint")
-    whole = (
-        likely.join(distinct, "node").select("key", "node", *names).repartition(F.col("key")).sortWithinPartitions("key", "node")
-    )
+        out = to_arrow_schema(target)
+        for batch in batches:
+            for part in common.bounded_slices(batch, 3, SLICE_BYTES):
+                sets = shingle_sets(part.column(3), words)
+                columns = [
+                    *part.columns[:3],
+                    pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)),
+                    pa.array([len(h) for h in sets], pa.int32()),
+                    pa.array([wide_fingerprint(h, tables.size).astype(">u8").tobytes() for h in sets], pa.binary()),
+                    pa.array([h.view(np.int64) if len(h) * tables.similarity <= SHORT else None for h in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return rows.mapInArrow(run, target)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, *words in _by_group(batches, ["key", "node", *names]):
-            links = candidate_links(np.stack(words).view(np.uint64), sure, limit)
-            if links:
-                a, b = np.array(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
-    return whole.mapInArrow(compare, "a bigint, b bigint").where("a < b").distinct()
+def _row_hashes(documents: DataFrame) -> list[Column]:
+    return [F.xxhash64(documents["doc_id"], documents["text"]).alias("row_hash"), F.xxhash64(documents["text"]).alias("text_hash")]
 
 
-def links_short(short: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect what exactly similar pairs of ``short`` (node, few) connect.
+def likely_members(distinct: DataFrame, tables: Tables) -> DataFrame:
+    """(key, node): rows of ``distinct`` (node, n, print, few) that share a key with a row that is not clearly another text.
 
-    Of two sets of a similarity, each has a shared shingle among its first in
-    order of the hash, all but those that the similarity needs and one more.
+    A row is dealt out under the keys of all tables with 56 further bits of its
+    fingerprint and its length.  Those two decide in a first pass, so that only what
+    isn't shared by chance goes on.  Short sets have the shingles as keys (negative
+    numbers) of which similar sets must share one: in order of the hash all but those
+    that the similarity needs, and one more.  A key of over ``GROUP_ROWS`` rows goes
+    on whole and is never held.
     """
-    n = F.size("few")
-    first = (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int")
-    dealt = (
-        short.where(n > 0).select("node", "few", F.explode(F.slice("few", F.lit(1), first)).alias("key"))
-        .select("key", "node", "few").repartition(F.col("key")).sortWithinPartitions("key", "node")
-    )
+    half, size = tables.half, tables.size
+    word_of = np.arange(BLOCKS) * half // 64
+    top = np.int64(1) << np.int64(63)
 
-    def link(nodes: list[int], lists: list[list[int]]) -> pa.RecordBatch:
-        sets = [frozenset(x) for x in lists]
-        left, a, b = list(range(len(nodes))), [], []
-        while left:
-            front, left = [left[0]], left[1:]
-            while front and left:
-                i, stay = front.pop(), []
-                for j in left:
-                    both = len(sets[i] & sets[j])
-                    if both >= similarity * max(len(sets[i]), len(sets[j])) - 1e-9 and both / (len(sets[i]) + len(sets[j]) - both) >= similarity:
-                        a.append(nodes[i])
-                        b.append(nodes[j])
-                        front.append(j)
-                    else:
-                        stay.append(j)
-                left = stay
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(key: np.ndarray, word: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (key, word, node)], names=["key", "word", "node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, lists = None, [], []
         for batch in batches:
-            for k, node, few in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != key:
-                    if len(nodes) > 1:
-                        yield link(nodes, lists)
-                    key, nodes, lists = k, [], []
-                nodes.append(node)
-                lists.append(few)
-        if len(nodes) > 1:
-            yield link(nodes, lists)
+            for at in range(0, batch.num_rows, 2048):
+                rows = batch.slice(at, 2048)
+                node, n = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                slack = _slack(n)
+                short = np.flatnonzero(rows.column(3).is_valid().to_numpy(zero_copy_only=False) & (n > 0))
+                if len(short):
+                    few = [rows.column(3)[i].values.to_numpy() for i in short.tolist()]
+                    first = [x[: len(x) - math.ceil(len(x) * tables.similarity - 1e-9) + 1] | top for x in few]
+                    times = [len(x) for x in first]
+                    yield made(np.concatenate(first), np.repeat(slack[short], times), np.repeat(node[short], times))
+                long = np.flatnonzero(n > SHORT)
+                if not len(long):
+                    continue
+                prints = np.frombuffer(b"".join(rows.column(2).take(pa.array(long)).to_pylist()), np.uint8).reshape(len(long), size * 8)
+                words = prints.view(">u8").astype(np.uint64)
+                blocks = tables.blocks(prints)
+                further = words[:, (word_of + size // 2) % size] >> np.uint64(8)
+                word = (further.astype(np.int64) << 8) | slack[long, None]
+                for r in range(1, tables.rounds + 1):
+                    table = np.arange((r - 1) * BLOCKS, r * BLOCKS, dtype=np.int64)
+                    key = (((table << half) | blocks) << half) | np.roll(blocks, -r, axis=1)
+                    yield made(key, word, np.repeat(node[long], BLOCKS))
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, dtype=np.int64)] * 3
+        passing = None  # a key that is too large to hold: its rows go on as they come
+        for batch in batches:
+            key, word, node = (np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held))
+            if not len(key):
+                continue
+            starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+            lengths = np.diff(np.append(starts, len(key)))
+            wide = lengths > GROUP_ROWS
+            if passing is not None:
+                wide[0] |= key[0] == passing
+            passing = key[-1] if wide[-1] else None
+            done = len(key) if wide[-1] else int(starts[-1])
+            close = _close(key[:done], word[:done], np.repeat(wide, lengths)[:done], tables.loose)
+            if close.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[:done][close]), pa.array(node[:done][close])], names=["key", "node"])
+            held = [key[done:], word[done:], node[done:]]
+        key, word, node = held
+        close = _close(key, word, np.zeros(len(key), dtype=bool), tables.loose)
+        if close.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[close]), pa.array(node[close])], names=["key", "node"])
+
+    dealt = distinct.select("node", "n", "print", "few").mapInArrow(deal, "key bigint, word bigint, node bigint")
+    return dealt.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(screen, "key bigint, node bigint")
+
+
+def _close(key: np.ndarray, word: np.ndarray, close: np.ndarray, loose: int) -> np.ndarray:
+    """Rows that are ``close`` already or have another row of their key within ``loose`` bits and a fitting length."""
+    at, step = np.flatnonzero(~close), 1
+    bits, slack = word.view(np.uint64) >> np.uint64(8), word & 255
+    while len(at := at[at + step < len(key)]):
+        at = at[key[at] == key[at + step]]
+        # A slack is cut down, so sets of which one has 0.8 of the other's size differ by 3 at most.
+        near = (np.bitwise_count(bits[at] ^ bits[at + step]) <= loose) & (np.abs(slack[at] - slack[at + step]) <= 3)
+        hit = at[near]
+        close[hit] = close[hit + step] = True
+        step += 1
+    return close
+
+
+def linked_pairs(
+    key: int, nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], tables: Tables, label: np.ndarray, side: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Pairs of a key's rows that are exactly similar and connect what isn't connected yet.
+
+    ``label`` tells which rows are connected; with ``side`` only pairs of different sides count.
+    A pair is looked at in the first table that it shares, so in one group of all.
+    """
+    links = []
+    n = np.array([len(s) for s in sets])
+    words = prints.view(np.uint64)
+    table = key >> (2 * tables.half)
+    for i in range(len(nodes) - 1):
+        rest = label[i + 1 :] != label[i]
+        if side is not None:
+            rest &= side[i + 1 :] != side[i]
+        at = np.flatnonzero(rest) + i + 1
+        at = at[np.minimum(n[at], n[i]) >= tables.similarity * np.maximum(n[at], n[i]) - 1e-6]
+        if key >= 0 and len(at):
+            at = at[np.bitwise_count(words[at] ^ words[i]).sum(axis=1, dtype=np.int64) <= tables.limit]
+            at = at[tables.first_shared(prints[at] ^ prints[i]) == table] if len(at) else at
+        if not len(at):
+            continue
+        cuts = np.concatenate(([0], np.cumsum(n[at])))
+        others = np.concatenate([sets[j] for j in at])
+        place = np.minimum(np.searchsorted(sets[i], others), n[i] - 1)
+        both = np.add.reduceat(sets[i][place] == others, cuts[:-1], dtype=np.int64)
+        hit = at[both / (n[i] + n[at] - both) >= tables.similarity]
+        links += [(int(nodes[i]), int(nodes[j])) for j in hit]
+        label[np.isin(label, label[hit])] = label[i]
+    return links
 
 
-def verified(candidates: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``candidates`` (a, b) whose texts have at least this Jaccard similarity of hashed shingles."""
-    pairs = common.materialize(candidates)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-    texts = documents.join(asked, documents["doc_id"] == F.col("asked"), "left_semi").select("doc_id", "text")
+def _verify(members: DataFrame, tables: Tables, group: list[str]) -> DataFrame:
+    """Links (a, b) among ``members`` (key, group.., side, label, node, print, held), group by group."""
+    names = ["key", *group, "side", "label", "node", "print", "held"]
+    rows = members.select(*names).repartition(*[F.col(c) for c in ("key", *group)]).sortWithinPartitions("key", *group, "node", "side")
+    width = 1 + len(group)
 
-    def work(c: dict[str, list]) -> dict[str, list]:
-        return {"node": c["doc_id"], "held": [shingle_set(t, words).view(np.int64).tolist() for t in c["text"]]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            side, label, node, prints, held = zip(*(x[width:] for x in rows), strict=True)
+            found = linked_pairs(
+                rows[0][0], np.array(node), np.frombuffer(b"".join(prints), np.uint8).reshape(len(rows), -1),
+                [np.frombuffer(x, np.uint64) for x in held], tables, np.array(label), np.array(side) if group[-1:] == ["other"] else None,
+            )
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        now: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now and row[:width] != now[0][:width]:
+                    yield from linked(now)
+                    now = []
+                now.append(row)
+        yield from linked(now)
 
-    sets = common.materialize(common.map_batches(texts, work, "node bigint, held array<bigint>"))
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("held").alias(f"set_{x}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    share = both / F.greatest(F.size("set_a") + F.size("set_b") - both, F.lit(1))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(share >= similarity).select("a", "b")
+    return rows.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
-#: Words of the wide fingerprint: 32 words are 128 blocks, of which a pair of similarity 0.8 shares one with over 99.9 %.
-WIDE = 32
-#: Sets of so many shingles are joined by their shingles, larger ones by fingerprints.
-SHORT = 64
+def similar_links(likely: DataFrame, sets: DataFrame, tables: Tables, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Links (a, b) that connect what exactly similar pairs of one key of ``likely`` connect.
 
+    A key with over ``group_rows`` rows is dealt out in parts by the node's hash; pairs of different
+    parts that are still apart after that are compared for each two parts.  So no task holds
+    more than two parts, and a large group of very similar texts costs little more than its rows.
+    """
+    counts = likely.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > group_rows)
+    hot = common.materialize(counts.select("key", F.ceil(F.col("rows") / group_rows).cast("int").alias("parts")))
+    first = likely.join(hot, "key", "left").select("key", "node", F.coalesce("parts", F.lit(1)).alias("parts"))
+    first = first.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    own = first.withColumn("side", F.lit(0)).withColumn("label", F.col("node")).join(sets, "node")
+    links = common.materialize(_verify(own, tables, ["part"]))
+    if not hot.limit(1).count():
+        return links
+    label = components(links)
+    rows = first.where("parts > 1").join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
+    rows = rows.withColumn("__other", other).withColumn("side", F.col("part"))
+    cells = rows.withColumn("one", F.least("part", "__other")).withColumn("other", F.greatest("part", "__other"))
+    return links.union(_verify(cells.join(sets, "node"), tables, ["one", "other"])).distinct()
+
+
+def _sets_of(documents: DataFrame, rows: DataFrame, asked: DataFrame, words: int, tables: Tables) -> DataFrame:
+    """(node, print, held: the set's hashes as bytes) of the ``asked`` nodes, from one text of each."""
+    asked = common.materialize(asked)
+    small = asked.count() <= BROADCAST_NODES
+    reach = lambda d: F.broadcast(d) if small else d
+    texts = rows.select("node", "row_hash", "text_hash").join(reach(asked), "node", "left_semi")
+    texts = common.materialize(texts.groupBy("node").agg(F.min(F.struct("row_hash", "text_hash")).alias("x")).select("x.*"))
+    hashed = documents.select(*_row_hashes(documents), "text")
+    chosen = hashed.join(reach(texts), ["row_hash", "text_hash"], "left_semi").dropDuplicates(["row_hash", "text_hash"]).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.bounded_slices(batch, 0, SLICE_BYTES):
+                sets = shingle_sets(part.column(0), words)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)),
+                    pa.array([wide_fingerprint(h, tables.size).astype(">u8").tobytes() for h in sets], pa.binary()),
+                    pa.array([h.tobytes() for h in sets], pa.binary()),
+                ], names=["node", "print", "held"])
 
-def keep_one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, size: int = WIDE) -> DataFrame:
-    """``documents`` with one row (the smallest doc_id) of each group of near-duplicates.
+    return common.materialize(chosen.mapInArrow(run, "node bigint, print binary, held binary"))
 
-    Texts without words are exact copies of one another, so one of them stays.
-    Rows with a null doc_id stay; of rows with one doc_id one stays.  An empty
-    table stays empty.
+
+def similar_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, row_hash, text_hash, similar): a number for each group of near-duplicates, for each row of ``documents``.
+
+    Groups are the components of links between texts of at least this Jaccard similarity of
+    shingles.  Texts without words are copies of one another.  Ids play no part.
     """
-    names = [f"f{k}" for k in range(size)]
-    known = documents.where("doc_id IS NOT NULL")
-    rows = common.materialize(wide_fingerprints(known, words, size, similarity))
-    distinct = common.materialize(rows.groupBy("same", "n", *names).agg(F.min("doc_id").alias("node")).select("node", "same", "n", *names))
-    # One id may hold several texts, so a node stands for an id and components join across its texts.
-    long = distinct.where(F.col("n") > SHORT).groupBy("node").agg(*[F.min(x).alias(x) for x in names])
-    short = distinct.select("node", "same").join(rows.where("few IS NOT NULL").select(F.col("doc_id").alias("node"), "same", "few").distinct(), ["node", "same"])
-    links = verified(candidates_similar(long, size, similarity), known, words, similarity)
-    found = components(links.union(links_short(short.select("node", "few"), similarity)).distinct())
-    kept = (
-        distinct.select("node").distinct().join(found, "node", "left")
-        .where("component IS NULL OR component = node").select(F.col("node").alias("kept_id"))
-    )
-    columns = documents.columns
-    stays = documents.join(kept, documents["doc_id"] == kept["kept_id"], "left_semi")
-    # The join leaves rows dealt out and sorted by doc_id, so this needs no further exchange.
-    stays = stays.dropDuplicates(["doc_id"])
-    return stays.select(*columns).union(documents.where("doc_id IS NULL").select(*columns))
+    tables = Tables.fit(documents.count(), similarity)
+    rows = common.materialize(wide_fingerprints(documents, words, tables))
+    distinct = rows.select("node", "n", "print", "few").dropDuplicates(["node"])
+    likely = common.materialize(likely_members(distinct, tables))
+    sets = _sets_of(documents, rows, likely.select("node").distinct(), words, tables)
+    found = components(similar_links(likely, sets, tables, group_rows))
+    return rows.join(found, "node", "left").select("doc_id", "row_hash", "text_hash", F.coalesce("component", "node").alias("similar"))
+
+
+def keep_one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``documents`` with one row of each group of near-duplicates: the smallest doc_id, a null one last.
+
+    Every row is judged by its own text, also one without an id or with an id that other
+    texts have.  Of an id's texts in one group the one with the smallest hash stays, of equal rows one.
+    Texts without words are copies of one another.  An empty table stays empty; other columns,
+    whatever their names, are kept as they are.
+    """
+    groups = similar_groups(documents, words, similarity)
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "row_hash")
+    stays = groups.groupBy("similar").agg(F.min(order).alias("x")).select(F.col("x.row_hash").alias("stays_row"), F.col("x.text_hash").alias("stays_text"))
+    names = ["__row_hash", "__text_hash"]
+    hashed = documents.select("*", *[h.alias(n) for h, n in zip(_row_hashes(documents), names, strict=True)])
+    kept = hashed.join(stays, (hashed[names[0]] == stays["stays_row"]) & (hashed[names[1]] == stays["stays_text"]), "left_semi")
+    # The join leaves rows dealt out by the hashes, so this needs no further exchange.
+    return kept.dropDuplicates(names).select(*documents.columns)

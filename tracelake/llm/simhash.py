@@ -24,13 +24,13 @@ the shingles themselves.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,20 +57,20 @@ def hashes(pieces: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(x, SEED) for x in pieces]), dtype=">u8").astype(np.uint64)
 
 
-def _mix(x: np.ndarray, k: int | np.ndarray) -> np.ndarray:
-    """An independent hash of ``x`` for each ``k``: a multiply-shift finaliser (splitmix64's constants)."""
-    x = x + (k * _BASE if isinstance(k, np.ndarray) else np.uint64(k * int(_BASE) & (1 << 64) - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _ones(x: np.ndarray) -> np.ndarray:
+    """How often each bit of rows of words is set, the first word's highest bit first."""
+    bits = np.unpackbits(x.astype(">u8").view(np.uint8), axis=1)
+    total = np.zeros(bits.shape[1], dtype=np.int64)
+    for at in range(0, len(bits), 255):  # sums of so many bits stay in a byte
+        total += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return total
 
 
 def _majority(h: np.ndarray) -> int:
     """A word whose bits are those set in over half of ``h``; zero for none."""
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), PIECE):
-        bits = np.unpackbits(h[at : at + PIECE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total += bits.sum(axis=0, dtype=np.int32)
+        total += _ones(h[at : at + PIECE, None])
     return int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
 
 
@@ -79,41 +79,6 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return _majority(hashes(shingles(text, words)))
 
 
-def majorities(x: np.ndarray) -> np.ndarray:
-    """For each column of words the bits set in over half of the rows, counted by carry-save adders.
-
-    Rows of one weight are added three to two until one is left; carries go to the next
-    weight.  The sums' bit planes are then compared with the threshold, plane by plane.
-    """
-    threshold = len(x) // 2 + 1
-    planes: list[np.ndarray] = []
-    rows = x
-    while len(rows):
-        carries = []
-        while len(rows) > 1:
-            n = len(rows) // 3
-            if n:
-                a, b, c = rows[:n], rows[n : 2 * n], rows[2 * n : 3 * n]
-                half = a ^ b
-                carries.append((a & b) | (half & c))
-                rows = np.concatenate((half ^ c, rows[3 * n :])) if len(rows) > 3 * n else half ^ c
-            else:
-                carries.append(rows[:1] & rows[1:])
-                rows = rows[:1] ^ rows[1:]
-        planes.append(rows[0])
-        rows = np.concatenate(carries) if carries else rows[:0]
-    above = np.zeros(x.shape[1], dtype=np.uint64)
-    equal = ~above
-    for i in range(max(len(planes), threshold.bit_length()) - 1, -1, -1):
-        plane = planes[i] if i < len(planes) else np.zeros_like(above)
-        if threshold >> i & 1:
-            equal = equal & plane
-        else:
-            above |= equal & plane
-            equal = equal & ~plane
-    return above | equal
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -249,11 +214,6 @@ def duplicates(documents: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
     )
 
 
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits of two shingle sets of this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
 # Similar mode.
 
 #: Half-blocks of a wide fingerprint; a table's key is two of them.
@@ -264,28 +224,21 @@ SHORT = 64
 GROUP_ROWS = 2048
 #: Nodes up to which a table of nodes is broadcast (16 to 40 bytes each); beyond, the join is shuffled.
 BROADCAST_NODES = 500_000
-#: Chance that a pair of the wanted similarity shares no table: exp(-4.6) is 1 %.
-MISSED = 4.6
+#: Chance that a pair of the wanted similarity shares no table.
+MISSED = 0.01
 #: Text whose words are hashed at once.
 SLICE_BYTES = 1 << 20
 _GROWTH = math.log(1.1)
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """Sorted hashes of the distinct shingles of each text's A-Z lower-cased words.
+    """Sorted hashes of the distinct shingles of each text's A-Z lower-cased words; a text of fewer words is one shingle.
 
-    Arrow splits the texts, each distinct word is hashed once, and a shingle's hash is
-    a polynomial of its words' hashes.  A text of fewer words is one shingle.
+    A shingle's hash is a polynomial of its words' hashes.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    edges = lists.offsets.to_numpy()
-    said = lists.flatten().dictionary_encode()
-    names = said.dictionary.cast(pa.binary()).to_pylist()
-    code = np.array([xxhash.xxh64_intdigest(w, SEED) for w in names], dtype=np.uint64)
-    ids = said.indices.to_numpy(zero_copy_only=False)
-    real = np.array([bool(w) for w in names], dtype=bool)[ids] if len(names) else np.zeros(0, bool)
-    w = code[ids[real]] if len(names) else np.zeros(0, np.uint64)
-    starts = np.concatenate(([0], np.cumsum(real)))[edges - edges[0]]
+    said = [(t or b"").lower().split() for t in texts.cast(pa.binary()).to_pylist()]
+    starts = np.cumsum([0, *map(len, said)])
+    w = np.frombuffer(b"".join(map(xxhash.xxh64_digest, chain.from_iterable(said))), dtype=">u8").astype(np.uint64)
     n = max(0, len(w) - words + 1)
     h = w[:n].copy()
     for i in range(1, words):
@@ -293,23 +246,25 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(h[a : b - words + 1]))
+            x = np.sort(h[a : b - words + 1])
+            out.append(x[np.append(True, x[1:] != x[:-1])])
         else:  # the number of words comes in, so that it is no other shingle's polynomial
-            one = np.uint64(b - a)
-            with np.errstate(over="ignore"):
-                for x in w[a:b]:
-                    one = one * _BASE + x
+            one = b - a
+            for x in w[a:b].tolist():
+                one = (one * int(_BASE) + x) & (1 << 64) - 1
             out.append(np.array([one] if b > a else [], dtype=np.uint64))
     return out
 
 
 def wide_fingerprint(h: np.ndarray, size: int) -> np.ndarray:
-    """``size`` words of 64 bits over a shingle set, each from its own hash."""
-    if not len(h):
-        return np.zeros(size, dtype=np.uint64)
-    if len(h) > 16 * PIECE:
-        return np.array([_majority(_mix(h, k)) for k in range(size)], dtype=np.uint64)
-    return majorities(_mix(h[:, None], np.arange(size, dtype=np.uint64)))
+    """``size`` words of 64 bits over a shingle set, each from its own multiplicative hash: bits set in over half of the set."""
+    total = np.zeros(size * 64, dtype=np.int64)
+    factors = np.array([(2 * k + 1) * int(_BASE) & (1 << 64) - 1 | 1 for k in range(size)], dtype=np.uint64)
+    for at in range(0, len(h), PIECE):
+        x = h[at : at + PIECE, None] * factors
+        x ^= x >> np.uint64(32)
+        total += _ones(x)
+    return np.packbits(2 * total > len(h)).view(">u8").astype(np.uint64)
 
 
 def differing_share(similarity: float) -> float:
@@ -322,7 +277,7 @@ class Tables:
     """How fingerprints are cut and compared for a number of texts and a similarity."""
 
     half: int  # bits of a half-block
-    rounds: int  # every round has a table for each half-block, paired with the one ``round`` places on
+    count: int  # tables: each half-block with the next, then each with the one after that, and so on
     limit: int  # differing bits of a candidate
     loose: int  # differing bits of 56 that the first screening lets pass
     similarity: float
@@ -331,16 +286,22 @@ class Tables:
     def fit(texts: int, similarity: float) -> Tables:
         share = differing_share(similarity)
         half = max(8, math.ceil((math.log2(max(texts, 2)) - 2) / 2))
-        p = (1 - share) ** half  # a half-block agrees; neighbouring keys share one, hence 1 - p
-        rounds = math.ceil(MISSED / (BLOCKS * p * p * (1 - p)))
+        p, pairs = (1 - share) ** half, BLOCKS * (BLOCKS // 2 - 1)
+        # Of the half-blocks, some agree; the chosen pairs may hold none of the pairs of those.
+        agree = [(math.comb(BLOCKS, a) * p**a * (1 - p) ** (BLOCKS - a), a * (a - 1) // 2) for a in range(BLOCKS + 1)]
+        count = bisect_left(range(pairs), -MISSED, key=lambda c: -sum(chance * (1 - c / pairs) ** both for chance, both in agree))
         bits = BLOCKS * half
         spread = lambda n, k: math.ceil(n * share + k * math.sqrt(n * share * (1 - share)))
-        return Tables(half, min(rounds, BLOCKS // 2 - 1), spread(bits, 4.5), spread(56, 3.2), similarity)
+        return Tables(half, count, spread(bits, 4.5), spread(56, 2.8), similarity)
 
     @property
     def size(self) -> int:
         return BLOCKS * self.half // 64
 
+    @property
+    def rounds(self) -> int:
+        return math.ceil(self.count / BLOCKS)
+
     def blocks(self, prints: np.ndarray) -> np.ndarray:
         """Half-blocks (rows x BLOCKS) of fingerprints as rows of bytes."""
         if self.half == 8:
@@ -350,8 +311,8 @@ class Tables:
 
     def first_shared(self, different: np.ndarray) -> np.ndarray:
         """The first table in which pairs agree, from their differing bits as rows of bytes; -1 if there is none."""
-        same = self.blocks(different) == 0
-        agree = np.concatenate([same & np.roll(same, -r, axis=1) for r in range(1, self.rounds + 1)], axis=1)
+        same = different == 0 if self.half == 8 else self.blocks(different) == 0
+        agree = np.concatenate([same & np.roll(same, -r, axis=1) for r in range(1, self.rounds + 1)], axis=1)[:, : self.count]
         return np.where(agree.any(axis=1), agree.argmax(axis=1), -1)
 
 
@@ -432,9 +393,9 @@ def likely_members(distinct: DataFrame, tables: Tables) -> DataFrame:
                 further = words[:, (word_of + size // 2) % size] >> np.uint64(8)
                 word = (further.astype(np.int64) << 8) | slack[long, None]
                 for r in range(1, tables.rounds + 1):
-                    table = np.arange((r - 1) * BLOCKS, r * BLOCKS, dtype=np.int64)
-                    key = (((table << half) | blocks) << half) | np.roll(blocks, -r, axis=1)
-                    yield made(key, word, np.repeat(node[long], BLOCKS))
+                    table = np.arange((r - 1) * BLOCKS, min(r * BLOCKS, tables.count), dtype=np.int64)
+                    key = (((table << half) | blocks[:, : len(table)]) << half) | np.roll(blocks, -r, axis=1)[:, : len(table)]
+                    yield made(key, word[:, : len(table)], np.repeat(node[long], len(table)))
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, dtype=np.int64)] * 3

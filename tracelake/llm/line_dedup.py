@@ -27,6 +27,8 @@ from tracelake.llm import common
 MIN_BLOCK_WORDS = 30
 #: Documents are aligned in parts of so many lines, each with a margin on both sides.
 PART_LINES, MARGIN_LINES = 128, 32
+#: A part's number has the document's text hash (so many bits) above its place, so that texts of one id stay apart.
+TEXT_BITS, PLACE_BITS = 40, 23
 
 
 def _anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -103,8 +105,12 @@ def least_runs(words: list[int], least: int) -> list[tuple[int, int]]:
     return sorted({*down, *up})
 
 
+def text_mark(documents: DataFrame) -> Column:
+    return F.xxhash64(documents["text"]).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
+
+
 def line_parts(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(doc_id, part, first, lines, words, runs): hashed lines of each document, in parts.
+    """(doc_id, part, first, lines, words, runs): hashed lines of each distinct text of each document, in parts.
 
     ``runs`` (hash, start, stop) are those of the whole document that start in the part's own lines.
     """
@@ -114,7 +120,7 @@ def line_parts(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     def work(c: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in names}
         digest = xxhash.xxh64_intdigest
-        for doc, text in zip(c["doc_id"], c["text"], strict=True):
+        for doc, mark, text in zip(c["doc_id"], c["mark"], c["text"], strict=True):
             lines, words = [], []
             for x in text.encode("utf-8", "replace").split(b"\n"):
                 n = len(x.split())
@@ -129,15 +135,15 @@ def line_parts(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
             for part, at in enumerate(range(0, len(lines), PART_LINES)):
                 first, stop = max(0, at - MARGIN_LINES), min(len(lines), at + PART_LINES + MARGIN_LINES)
                 out["doc_id"].append(doc)
-                out["part"].append(part)
+                out["part"].append(mark << PLACE_BITS | part)
                 out["first"].append(first)
                 out["lines"].append(lines[first:stop])
                 out["words"].append(words[first:stop])
                 out["runs"].append(runs.get(part, []))
         return out
 
-    rows = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    schema = f"doc_id {kind}, part int, first int, lines array<bigint>, words array<int>, runs array<struct<hash:bigint,start:int,stop:int>>"
+    rows = documents.select("doc_id", text_mark(documents).alias("mark"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    schema = f"doc_id {kind}, part bigint, first int, lines array<bigint>, words array<int>, runs array<struct<hash:bigint,start:int,stop:int>>"
     return common.map_batches(rows, work, schema)
 
 
@@ -171,17 +177,17 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def deletions(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(doc_id, spans: sorted [start, stop) of lines to delete, sources: earlier documents)."""
+    """(doc_id, mark: of the text, spans: sorted [start, stop) of lines to delete, sources: earlier documents)."""
     parts = common.materialize(line_parts(documents, least))
     pairs = overlaps(parts)
     early = parts.select(F.col("doc_id").alias("earlier"), F.col("part").alias("earlier_part"), F.col("lines").alias("early_lines"))
     both = (
         pairs.join(early, ["earlier", "earlier_part"])
         .join(parts.select("doc_id", "part", "first", "lines", "words"), ["doc_id", "part"])
-        .select("doc_id", "earlier", "first", "early_lines", "lines", "words", "led")
+        .select("doc_id", "earlier", "first", "early_lines", "lines", "words", "led", F.shiftright("part", PLACE_BITS).alias("mark"))
     )
     kind = dict(documents.dtypes)["doc_id"]
-    target = documents.sparkSession.createDataFrame([], f"doc_id {kind}, earlier {kind}, start int, stop int").schema
+    target = documents.sparkSession.createDataFrame([], f"doc_id {kind}, mark bigint, earlier {kind}, start int, stop int").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -198,17 +204,17 @@ def deletions(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
                     start.append(x)
                     stop.append(y)
             at = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], schema=out)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (0, 7, 1)), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], schema=out)
 
-    return both.mapInArrow(run, target).groupBy("doc_id").agg(
+    return both.mapInArrow(run, target).groupBy("doc_id", "mark").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.sort_array(F.collect_set("earlier")).alias("sources")
     )
 
 
 def _without_deleted(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame, Column]:
     """(rows joined to their deletions, the deletions, the text that stays)."""
-    cut = deletions(documents, least).select(F.col("doc_id").alias("cut_id"), F.col("spans").alias("deleted_spans"), F.col("sources").alias("copied_from"))
-    joined = documents.join(cut, documents["doc_id"] == cut["cut_id"], "left")
+    cut = deletions(documents, least).select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), F.col("spans").alias("deleted_spans"), F.col("sources").alias("copied_from"))
+    joined = documents.join(cut, (documents["doc_id"] == cut["cut_id"]) & (text_mark(documents) == cut["cut_mark"]), "left")
     spans = cut["deleted_spans"]
     lines = F.split(documents["text"], "\n", -1)
     stays = F.filter(lines, lambda _, i: ~F.exists(spans, lambda s: (i >= s["start"]) & (i < s["stop"])))
@@ -219,9 +225,9 @@ def dedup(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``documents`` with ``text`` less its deleted lines, and columns ``deleted_spans`` and ``copied_from``.
 
     The earlier document is the one with the smaller doc_id.  A null text stays
-    null, an empty one empty; rows with a null doc_id are left as they are; rows
-    that share a doc_id are not compared with one another.  An empty table gives
-    an empty table.  Columns named deleted_spans or copied_from are replaced.
+    null, an empty one empty; rows with a null doc_id are left as they are.  Texts that
+    share a doc_id are each held against earlier ids, not against one another, and
+    each loses its own lines only; equal rows each stay.  An empty table gives an empty table.  Columns named deleted_spans or copied_from are replaced.
     """
     joined, cut, text = _without_deleted(documents, least)
     keep = [c for c in documents.columns if c not in ("deleted_spans", "copied_from")]
@@ -229,7 +235,10 @@ def dedup(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
 
 
 def clean(documents: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """``documents`` after ``dedup``, with n_chars brought up to date and without texts that lost every word."""
+    """``documents`` after ``dedup``, with n_chars brought up to date and without texts that lost every word.
+
+    Nulls, repeated ids and rows, and an empty table fare as in ``dedup``; the columns are those of ``documents``.
+    """
     joined, cut, text = _without_deleted(documents, least)
     joined = joined.where(cut["deleted_spans"].isNull() | text.rlike(r"[^\x20\x09-\x0D]"))
     fresh = {"text": text, "n_chars": F.length(text)}

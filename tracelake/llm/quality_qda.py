@@ -23,6 +23,8 @@ STATISTICS = (
     "log_words", "word_length", "upper", "symbols", "marks", "bangs", "digits", "high_bytes", "types", "top_word",
     "pair_types", "repeated_lines", "line_words",
 )
+#: Least variance of a statistic.
+FLOOR = 1e-6
 _SYMBOLS = np.frombuffer(b"#*$%&|<>=~^\\{}[]@_", dtype=np.uint8)
 _MARKS = np.frombuffer(b".,;:?-'\"()/", dtype=np.uint8)
 
@@ -101,7 +103,8 @@ def _gaussian(moments: tuple[float, np.ndarray, np.ndarray], pooled: np.ndarray,
     mean = total / n
     own = square / n - np.outer(mean, mean)
     cov = (1 - shrink) * own + shrink * pooled
-    cov = (1 - ridge) * cov + ridge * (np.trace(pooled) / len(mean)) * np.eye(len(mean))
+    # The floor keeps the factor where all texts are alike.
+    cov = (1 - ridge) * cov + max(ridge * np.trace(pooled) / len(mean), FLOOR) * np.eye(len(mean))
     factor = np.linalg.cholesky(cov)
     return Gaussian(mean, np.linalg.inv(factor), float(np.log(np.diag(factor)).sum()))
 
@@ -118,17 +121,20 @@ def fit_matrix(x: np.ndarray, y: np.ndarray, shrink: float = 0.3, ridge: float =
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> QualityModel:
-    """Fit on about ``max_rows`` labelled documents outside the held-out fold."""
-    chosen = common.training_labels(labels, "quality", max_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    """Fit on about ``max_rows`` labelled documents outside the held-out fold, ids of any type.
+
+    Null ids and labels are left out, a null text counts as empty, a repeated id is one row;
+    without rows of both labels the model is the prior.  Columns other than doc_id, text and quality are ignored.
+    """
+    rows = common.labelled_texts(documents, common.training_labels(labels, "quality", max_rows)).select("label", "text")
 
     def work(c: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": c["doc_id"], "label": c["label"], "x": matrix(c["text"]).tolist()}
+        return {"label": c["label"], "x": matrix(c["text"]).tolist()}
 
-    found = common.map_batches(rows, work, "doc_id bigint, label int, x array<double>").toPandas()
-    found = found.sort_values("doc_id", kind="stable")
+    found = common.map_batches(rows, work, "label int, x array<double>").toPandas()
     x = np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(STATISTICS))
-    return fit_matrix(x, found["label"].to_numpy(dtype=np.int64))
+    order = np.lexsort((*x.T, found["label"].to_numpy())) if len(x) else []
+    return fit_matrix(x[order], found["label"].to_numpy(dtype=np.int64)[order]) if len(x) else fit_matrix(x, np.zeros(0))
 
 
 def score(documents: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), name: str = "quality_score") -> DataFrame:
@@ -148,7 +154,11 @@ def score(documents: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("d
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``documents`` that score at least ``threshold``."""
+    """The rows of ``documents`` that score at least ``threshold``, with all their columns, whatever their names.
+
+    Null and empty texts are judged as empty texts, equal rows alike; without labels of both kinds
+    the prior decides for all.  An empty table stays empty.
+    """
     model = fit(documents, labels)
     columns = tuple(documents.columns)
     name = "quality_score"

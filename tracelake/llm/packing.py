@@ -27,7 +27,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Rows that a group holds on average; its loss against perfect packing is a bin or so.
 GROUP_ROWS = 16_384
-#: Exchanges for each bin of a group after which the local search stops.
+#: Exchanges for each bin of a group after which the local search stops; the README has how often that happens.
 EFFORT = 20
 #: Words whose ids a worker remembers before it starts afresh (a memory bound, not a cap on texts).
 REMEMBERED = 800_000
@@ -133,7 +133,9 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPA
     """(doc_id, piece, start, length, ids, place): one row for each piece of each row of ``documents``.
 
     ``ids`` are little-endian unsigned 32-bit ids.  A null or empty text has the end
-    id only.  ``place`` numbers the pieces of a partition, for dealing them out evenly.
+    id only; repeated ids and equal rows each have their pieces, an empty table has none.
+    ``place`` numbers the pieces of a partition, for dealing them out evenly.  Columns
+    other than doc_id and text are ignored.
     """
     ship(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
@@ -270,9 +272,11 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int
 def pack(pieces: DataFrame, expected: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``pieces`` (length, place, ...) with sequence_id and offset in place of ``place``.
 
-    ``expected`` is about the number of rows; it only sets the number of groups.
-    Places are dealt out in turn, so no key can make a group large.  An empty
-    table gives an empty table.
+    ``expected`` is the number of pieces; it only sets the number of groups, of about
+    ``group_rows`` pieces each.  Places are dealt out in turn, so neither a key nor a long
+    text can make a group large; they follow the input's partitions, and so do the sequences.
+    Null ids, repeated ids and equal rows are pieces like any other; ties go by id and piece.
+    An empty table gives an empty table.  Columns named place, sequence_id or offset are replaced.
     """
     ship(pieces.sparkSession)
     groups = max(1, round(expected / group_rows))

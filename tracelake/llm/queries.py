@@ -47,8 +47,8 @@ def tokenizer_path() -> str:
 def packed(documents: DataFrame) -> DataFrame:
     """The packing of ``documents``, with a checksum in place of the ids."""
     pieces = packing.token_pieces(documents, tokenizer_path())
-    rows = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "place")
-    return packing.pack(rows, documents.count())
+    rows = common.materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "place"))
+    return packing.pack(rows, rows.count())
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -315,8 +315,10 @@ def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     rows = spark.createDataFrame([(None, "ALPHA beta-gamma"), (1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "none")], "doc_id long, text string")
     got = sorted(str((x["doc_id"], len(x["spans"]))) for x in decontamination.hits(rows, bench).collect())
-    assert got == ["(1, 0)", "(1, 1)", "(None, 1)"]
-    assert decontamination.hits(rows, bench.limit(0)).count() == 3
+    assert got == ["(1, 0)", "(1, 1)", "(1, 1)", "(None, 1)"]
+    assert decontamination.hits(rows, bench.limit(0)).count() == 4
+    clash = rows.withColumns({"spans": F.lit(1), "items": F.lit("x"), "same": F.lit(2), "found_id": F.lit(3)})
+    assert decontamination.hits(clash, bench).count() == 4 and decontamination.clean(clash, bench).columns == clash.columns
     assert decontamination.hits(rows.limit(0), bench).count() == 0
 
 
@@ -446,6 +448,14 @@ def test_no_long_common_block_is_lost(spark):
         assert {i for i in want if words[i]} <= got <= want
 
 
+def test_texts_that_share_an_id_lose_their_own_lines_only(spark):
+    r = random.Random(16)
+    passage, own = lines_of(r, 6), lines_of(r, 6)
+    rows = [(1, "\n".join(passage)), (2, "\n".join([*own, *passage])), (2, "\n".join([*passage, *own])), (2, "\n".join([*passage, *own])), (None, "\n".join(passage))]
+    got = sorted((str(x["doc_id"]), x["text"]) for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", "\n".join(passage)), *[("2", "\n".join(own))] * 3, ("None", "\n".join(passage))])
+
+
 def test_clean_keeps_columns(spark):
     r = random.Random(6)
     text = "\n".join(lines_of(r, 6))

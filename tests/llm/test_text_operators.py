@@ -60,6 +60,21 @@ def test_quality_score_is_the_density_difference():
         assert m.score(z[None])[0] == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -60, 60))), rel=1e-6)
 
 
+def test_quality_of_texts_that_are_all_alike(spark):
+    x, y = np.ones((10, 13)), np.array([0, 1] * 5)
+    assert np.allclose(quality_qda.fit_matrix(x, y).score(x), 0.5)
+    rows = spark.createDataFrame([(f"d{i}", "same text", i % 2) for i in range(40)] + [("d1", "same text", 1)] * 3, "doc_id string, text string, quality int")
+    scored = quality_qda.score(rows, quality_qda.fit(rows, rows)).collect()
+    assert len(scored) == 43 and len({r["quality_score"] for r in scored}) == 1
+
+
+def test_a_repeated_id_is_one_training_row(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None), (3, "c")], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int")
+    got = common.labelled_texts(rows, chosen).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in got) == [(1, 0), (2, 1)] and next(r for r in got if r["doc_id"] == 2)["text"] is None
+
+
 def test_quality_odd_inputs(spark):
     d, labels = tables(spark)
     one = quality_qda.fit(d, labels.where("quality = 1"))

@@ -11,6 +11,9 @@ from tracelake.llm import common
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): the smallest node that it reaches.
 
+    Nodes are of any type that has an order; links from a node to itself or to null count for nothing,
+    repeated ones once, and no links give no rows.
+
     Each round moves every node to the smallest label around it, then to that
     label's own label, so that long chains halve.  Sums are partial and joins
     are plain equi-joins, so a component of any size is spread over tasks; the

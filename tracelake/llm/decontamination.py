@@ -14,11 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm import common
 from tracelake.llm.url_reputation import LOWER, UPPER
 
 WINDOW = 10
 SHINGLE = 3
-#: Windows of a benchmark up to which they are broadcast (at 10 words each, some 30 MB); beyond, they are shuffled.
+#: Windows of a benchmark up to which they are broadcast (at 10 words and an item's name each, some 30 MB); beyond, they are shuffled.
 BROADCAST_WINDOWS = 100_000
 #: Fixed value: what separates words once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,74 +62,63 @@ def _window_tokens(windows: DataFrame, k: int) -> DataFrame:
 def _occurrences(documents: DataFrame, families: list[int]) -> DataFrame:
     """Every word place of every document with one token for each family."""
     tokens = [_token("w", F.col("pos"), k).alias(f"token{k}") for k in families]
-    return documents.select("*", F.posexplode_outer("w").alias("pos", "word")).select(*documents.columns, "pos", *tokens)
+    return documents.select("*", F.posexplode("w").alias("pos", "word")).select(*documents.columns, "pos", *tokens)
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """One row for each distinct (doc_id, text): doc_id, n_words, spans (start, length), items.
+    """(doc_id, n_words, spans (start, length), items), one row for each row of ``documents``.
 
-    Null and empty texts have no words and no spans.  Rows with one id and equal
-    texts are one row; rows with one id and other texts, or a null id, have a row
-    for each text.  An empty benchmark gives no spans, an empty table no rows;
-    columns other than doc_id and text are ignored.
+    Null and empty texts have no words and no spans.  Every row is judged by its own
+    text, also one with a null id or an id that other texts have; equal rows each get
+    their row.  An empty benchmark gives no spans, an empty table no rows; columns
+    other than doc_id and text, whatever their names, are ignored.
     """
-    return _hits(documents, benchmark, size).select("doc_id", "n_words", "spans", "items")
+    found = dirty_texts(documents, benchmark, size).withColumnsRenamed({"doc_id": "found_id", "same": "found_text"})
+    rows = documents.select("doc_id", F.xxhash64("text").alias("same"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["found_id"]) & (rows["same"] == found["found_text"]), "left")
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    return joined.select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def _hits(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """``hits`` with a column ``same``, the hash of the text."""
+def dirty_texts(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id, same, spans, items) of each distinct (doc_id, hash of the text) that holds a window."""
     docs = documents.select("doc_id", F.xxhash64("text").alias("same"), words_of(F.col("text")).alias("w"))
     docs = docs.withColumn("n_words", F.size("w"))
-    windows = item_windows(benchmark, size).cache()
+    windows = common.materialize(item_windows(benchmark, size))
     n_windows = windows.count()
     families = sorted(r[0] for r in windows.select(F.least(F.col("n"), F.lit(SHINGLE))).distinct().collect())
     small = n_windows <= BROADCAST_WINDOWS
     spread = [(_window_tokens(windows, k), k) for k in families]
     if not families:
-        empty = F.array().cast("array<struct<start:int,length:int>>")
-        return docs.groupBy("doc_id", "same").agg(F.max("n_words").cast("bigint").alias("n_words")).select(
-            "doc_id", "same", "n_words", empty.alias("spans"), F.array().cast("array<string>").alias("items")
-        )
+        kind = dict(documents.dtypes)["doc_id"]
+        return documents.sparkSession.createDataFrame([], f"doc_id {kind}, same bigint, spans array<struct<start:int,length:int>>, items array<string>")
     # Rarity: how often each token occurs in all documents, counted for item tokens only.
     asked = reduce(DataFrame.union, [x.select(F.col("token").alias("asked")) for x, _ in spread]).distinct()
     places = _occurrences(docs.select("w"), families)
     said = places.select(F.explode(F.array(*[f"token{k}" for k in families])).alias("token")) if len(families) > 1 else places.select(F.col(f"token{families[0]}").alias("token"))
     counts = said.join(F.broadcast(asked) if small else asked, said["token"] == F.col("asked"), "left_semi").groupBy("token").agg(F.count("*").alias("times"))
-    counts = counts.cache() if small else counts
+    counts = common.materialize(counts)
 
-    prefixes = []
+    start = F.col("pos") - F.col("at")
+    bounds = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    exact = bounds & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("window"))
+    found = None
     for x, k in spread:
         rare = F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "at", "token")).alias("rare")
         chosen = x.join(counts, "token", "left").groupBy("window", "n").agg(rare, F.first("items").alias("items"))
-        prefixes.append((chosen.where("rare.times > 0").select("window", "n", "items", F.col("rare.at").alias("at"), F.col("rare.token").alias("prefix")), k))
-
-    start = F.col("pos") - F.col("at")
-    found = None
-    for place, (prefix, k) in enumerate(prefixes):
+        prefix = chosen.where("rare.times > 0").select("window", "n", "items", F.col("rare.at").alias("at"), F.col("rare.token").alias("prefix"))
         here = _occurrences(docs, [k])
         if small:
-            joined = here.join(F.broadcast(prefix), F.col(f"token{k}") == F.col("prefix"), "left")
+            joined = here.join(F.broadcast(prefix), F.col(f"token{k}") == F.col("prefix"))
         else:
             # Too many windows to broadcast: tokens travel without the texts, which come back for candidates only.
-            ids = here.select("doc_id", "same", "pos", f"token{k}").join(prefix, F.col(f"token{k}") == F.col("prefix"))
-            back = docs.select(F.col("doc_id").alias("d"), F.col("same").alias("s"), "w", "n_words").dropDuplicates(["d", "s"])
+            ids = here.select("doc_id", "same", "pos", "n_words", f"token{k}").join(prefix, F.col(f"token{k}") == F.col("prefix")).where(bounds)
+            back = docs.select(F.col("doc_id").alias("d"), F.col("same").alias("s"), "w").dropDuplicates(["d", "s"])
             joined = ids.join(back, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("same").eqNullSafe(F.col("s")))
-        bounds = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
-        exact = F.col("prefix").isNotNull() & bounds & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.coalesce("n", F.lit(0))) == F.col("window"))
-        exact = F.coalesce(exact, F.lit(False))
-        # The first place of every document stays, so that documents without a hit keep their row.
-        first = (F.coalesce("pos", F.lit(0)) == 0) if place == 0 and small else F.lit(False)
-        rows = joined.where(exact | first).select(
-            "doc_id", "same", "n_words", F.when(exact, F.struct(start.alias("start"), F.col("n").alias("length"))).alias("span"), F.when(exact, F.col("items")).alias("items")
-        )
+        rows = joined.where(exact).select("doc_id", "same", F.struct(start.alias("start"), F.col("n").alias("length")).alias("span"), "items")
         found = rows if found is None else found.union(rows)
-    if not small:
-        nothing = F.lit(None)
-        found = found.union(docs.select("doc_id", "same", "n_words", nothing.cast("struct<start:int,length:int>"), nothing.cast("array<string>")))
     return found.groupBy("doc_id", "same").agg(
-        F.max("n_words").cast("bigint").alias("n_words"),
-        F.sort_array(F.collect_set("span")).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
 
 
@@ -147,9 +137,9 @@ def covered(spans: Column) -> Column:
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without those that hold a benchmark window.
 
-    Every row is judged by its own text, also one with a null id or with an id that other texts have.
+    Every row is judged by its own text, also one with a null id or with an id that other texts have;
+    null and empty texts stay, equal rows each stay or go, and all columns are kept.
     """
-    found = _hits(documents, benchmark, WINDOW).where(F.size("spans") > 0)
-    dirty = found.select(F.col("doc_id").alias("dirty_id"), F.col("same").alias("dirty_text")).distinct()
+    dirty = dirty_texts(documents, benchmark).select(F.col("doc_id").alias("dirty_id"), F.col("same").alias("dirty_text"))
     same = documents["doc_id"].eqNullSafe(dirty["dirty_id"]) & (F.xxhash64(documents["text"]) == dirty["dirty_text"])
     return documents.join(dirty, same, "left_anti").select(*documents.columns)

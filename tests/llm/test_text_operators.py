@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tracelake.llm import chat_format, common, line_crf, packing, pseudonyms, quality_qda, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -369,20 +370,53 @@ def test_texts(spark):
 # Toxicity.
 
 
-@pytest.mark.parametrize("seed", range(6))
+def sparse(r, n, terms, share):
+    """Rows of random non-negative weights over some terms, the first ones in nearly every row."""
+    x = np.where(r.random((n, terms)) < np.where(np.arange(terms) < 5, 0.9, share), r.random((n, terms)) + 0.1, 0.0)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    at = [np.flatnonzero(v) for v in x]
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in at])))
+    return x, toxicity.Rows(offsets, np.concatenate([*at, np.zeros(0, int)]).astype(int), np.concatenate([v[i] for v, i in zip(x, at, strict=True)] + [np.zeros(0)]))
+
+
+@pytest.mark.parametrize("seed", range(8))
 def test_block_index_is_exact(seed):
     r = np.random.default_rng(seed)
-    n = int(r.integers(1, 400))
-    x = np.maximum(r.normal(-1, 1, (n, 30)), 0).astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    q = x[r.integers(0, n, 20)] + np.maximum(r.normal(-2, 1, (20, 30)), 0).astype(np.float32)
-    who, near = toxicity.BlockIndex.build(x).nearest(q, 9)
-    full = np.round((q @ x.T).astype(np.float64), 6)
-    for i in range(20):
-        want = np.sort(full[i])[::-1][:9]
-        assert np.allclose(near[i][: len(want)], want, atol=2e-6)
-        for j, s in zip(who[i], near[i], strict=True):
-            assert j < 0 or abs(full[i][j] - s) < 2e-6
+    n = int(r.choice([0, 1, 8, 9, 64, 65, 700]))
+    x, rows = sparse(r, n, 60, 0.05)
+    q, queries = sparse(r, 300, 60, 0.05)
+    q[0], skip = 0, r.integers(-1, max(n, 1), 300) if n else np.full(300, -1)
+    queries = toxicity.Rows(np.maximum(queries.offsets - queries.offsets[1], 0), queries.terms[queries.offsets[1] :], queries.values[queries.offsets[1] :])
+    who, near = toxicity.BlockIndex.build(rows, 60).nearest(queries, 9, skip)
+    full = np.round(q @ x.T, 6)
+    full[np.flatnonzero(skip >= 0), skip[skip >= 0]] = -1.0
+    for i in range(300):
+        want = np.sort(full[i][full[i] >= 0])[::-1][:9]
+        assert np.allclose(near[i][: len(want)], want, atol=3e-6) and (near[i][len(want) :] == -1).all()
+        assert all(j < 0 or (j != skip[i] and abs(full[i][j] - s) < 3e-6) for j, s in zip(who[i], near[i], strict=True))
+        assert len(set(who[i][: len(want)])) == len(want)
+
+
+def test_terms_are_counted():
+    import regex
+
+    texts = ["One two, TWO three-four 5x longwordhere", None, "", "é É ß ½ Straße\nlongwordhere longwordness", "1 2 3"] * 3
+    def plain(t):
+        out = Counter()
+        for w, n in Counter(regex.findall(r"\p{L}+", (t or "").lower())).items():
+            for h in toxicity.terms_of(w):
+                out[h] += n
+        return out
+    want = [plain(t) for t in texts]
+    offsets, terms, tf = toxicity.TermCounter(None).counts(pa.array(texts))
+    rows = lambda o, t, n: [dict(zip(t[a:b].tolist(), n[a:b].tolist(), strict=True)) for a, b in zip(o, o[1:], strict=False)]
+    assert rows(offsets, terms.view(np.uint64), tf) == want
+    vocabulary = np.array(sorted({h for x in want[:1] for h in x}), dtype=np.uint64)
+    counter = toxicity.TermCounter(vocabulary)
+    for _ in range(2):
+        offsets, terms, tf = counter.counts(pa.array(texts))
+        assert rows(offsets, vocabulary[terms], tf) == [{h: n for h, n in x.items() if h in want[0]} for x in want]
+    assert toxicity.TermCounter(np.zeros(0, np.uint64)).counts(pa.array(texts))[0].tolist() == [0] * (len(texts) + 1)
 
 
 def test_toxicity_held_out(spark):
@@ -392,9 +426,14 @@ def test_toxicity_held_out(spark):
     got = heldout(spark, scored, "toxic", threshold=0.7)
     assert (got[got[:, 1] == 0, 0]).mean() < 0.03 and (got[:, 0] == got[:, 1]).mean() > 0.9
     held = {r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
-    assert not held & set(model.ids.tolist())
+    assert not held & set(model.ids)
+    assert all(e["example"] != r["doc_id"] for r in scored.collect() for e in r["evidence"])
     again = {r["doc_id"]: round(r["score"], 9) for r in toxicity.score_all(d, labels).collect()}
-    assert again == {r["doc_id"]: round(r["score"], 9) for r in scored.collect()}
+    once = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert again.keys() == once.keys() and all(abs(again[i] - once[i]) < 1e-4 for i in once)
+    swapped = labels.withColumn("toxic", F.when(F.col("doc_id") == model.ids[0], 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    named = lambda t: t.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert toxicity.score_all(named(d), named(swapped)).count() == d.count()  # ids of any type
     rows = toxicity.score(docs(spark, ODD), model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] < 0.7 for r in rows) and rows[0]["evidence"] == []
     assert toxicity.score(docs(spark, []), model).count() == 0

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import ipaddress
 import random
 import zlib
 from collections import Counter
@@ -126,6 +127,51 @@ def test_viterbi(seed):
     assert total == pytest.approx(brute_path(field, x)[0])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_likelihood_against_all_paths(seed):
+    """Values, expectations and gradients by summing over every path of every sequence."""
+    r = np.random.default_rng(seed)
+    lengths = sorted(r.integers(1, 7, 5).tolist(), reverse=True)
+    cuts = np.concatenate(([0], np.cumsum(lengths)))
+    x, y, weight = r.normal(size=(cuts[-1], 10)), r.integers(0, 2, cuts[-1]), r.random(5) + 0.5
+    w, moves = r.normal(size=10), r.normal(size=(2, 2))
+
+    def plain(w, moves):
+        total = 0.0
+        for a, b, k in zip(cuts, cuts[1:], weight, strict=False):
+            gain = x[a:b] @ w
+            score = lambda path: sum(g for g, p in zip(gain, path, strict=True) if p) + sum(moves[i, j] for i, j in zip(path, path[1:], strict=False))  # noqa: B023, E731
+            every = [score([n >> i & 1 for i in range(b - a)]) for n in range(1 << (b - a))]
+            total += k * (score(y[a:b].tolist()) - np.log(np.exp(every).sum()))
+        return total
+
+    value, states, pairs = line_crf.likelihood(w, moves, x, y, cuts, weight)
+    assert value == pytest.approx(plain(w, moves))
+    for i in range(10):
+        d = np.eye(10)[i] * 1e-5
+        assert states[i] == pytest.approx((plain(w + d, moves) - plain(w - d, moves)) / 2e-5, abs=1e-4)
+    for i in range(4):
+        d = np.eye(4)[i].reshape(2, 2) * 1e-5
+        assert pairs.ravel()[i] == pytest.approx((plain(w, moves + d) - plain(w, moves - d)) / 2e-5, abs=1e-4)
+
+
+def test_field_learns_states_and_transitions():
+    """Blocks of boilerplate lines in content: noisy lines take their neighbours' label."""
+    r = np.random.default_rng(5)
+    def text(n):
+        y = np.repeat(r.integers(0, 2, n // 5 + 1), 5)[:n]
+        x = np.zeros((n, 10))
+        x[:, 0], x[:, 1] = 1, r.normal(2 * y - 1, 1.5)
+        return x, y, 1.0
+    field = line_crf.fit_sequences([text(40) for _ in range(60)])
+    tests = [text(40) for _ in range(30)]
+    path = np.mean([(field.viterbi(x) == y).mean() for x, y, _ in tests])
+    alone = np.mean([((x[:, 1] > 0) == y).mean() for x, y, _ in tests])
+    assert field.weights[1] > 0.3 and min(field.transitions[0, 0], field.transitions[1, 1]) > max(field.transitions[0, 1], field.transitions[1, 0])
+    assert path > alone + 0.05
+    assert (line_crf.fit_sequences([]).weights == np.eye(10)[0]).all() and (line_crf.fit_sequences([(np.ones((2, 10)), np.ones(2, int), 1.0)]).weights == np.eye(10)[0]).all()
+
+
 def test_lines_counts_and_odd_inputs(spark):
     d, labels = tables(spark)
     field = line_crf.fit(d, labels)
@@ -312,7 +358,7 @@ def test_formats_survive():
         assert len(new) == len(t) and [c for c in new if not c.isdigit()] == [c for c in t if not c.isdigit()]
         year = int(new[:4] if t[4] == "-" else new[-4:])
         assert 1900 <= year < 2100
-    assert pseudonyms.date("2023-02-29", KEY) is None
+    assert pseudonyms.date("2023-02-29", KEY) is None and pseudonyms.date("2024-13-01", KEY) is None
     days = {pseudonyms.date((datetime.date(1990, 1, 1) + datetime.timedelta(d)).isoformat(), KEY) for d in range(2000)}
     assert len(days) == 2000
     octets = pseudonyms.ipv4("10.0.0.1", KEY).split(".")
@@ -345,6 +391,47 @@ def test_values_beside_others(text, kinds):
     assert all(text[s["start"] : s["stop"]] not in new for s in spans) and again == spans
 
 
+def forms_of_a_date(d):
+    y, m, n = f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}"
+    out = [f"{y}{s}{m}{s}{n}" for s in "-/."] + [f"{n}{s}{m}{s}{y}" for s in "-/."] + [f"{d.day}/{d.month}/{d.year}", f"{y}-{m}-{n}T10:00"]
+    return out + ([f"{m}/{n}/{y}", f"{d.month}.{d.day}.{y}"] if d.day > 12 else [])
+
+
+def read_date(text):
+    p = [int(x) for x in text.partition("T")[0].replace("/", "-").replace(".", "-").split("-")]
+    return datetime.date(*p) if p[0] > 31 else datetime.date(p[2], p[1], p[0]) if p[1] <= 12 else datetime.date(p[2], p[0], p[1])
+
+
+def test_equal_values_stay_equal_in_all_forms():
+    """Every value in every form, through whole texts: equal values get one pseudonym, different ones different ones."""
+    r = random.Random(31)
+    hidden = lambda t: pseudonyms.pseudonymise(t, KEY)[0]
+    days = {datetime.date(1900, 1, 1) + datetime.timedelta(r.randrange(73_000)) for _ in range(700)} | {datetime.date(2024, 2, 29), datetime.date(1999, 12, 31)}
+    made = {d: {read_date(hidden(f"on {x} there")[3:].split(" ")[0]) for x in forms_of_a_date(d)} for d in days}
+    assert all(len(v) == 1 for v in made.values()) and len({next(iter(v)) for v in made.values()}) == len(days)
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    numbers = {f"{r.choice('23456789')}{r.randrange(100):02d}{r.choice('23456789')}{r.randrange(100):02d}{r.randrange(10_000):04d}" for _ in range(300)}
+    numbers = {n for n in numbers if n[1:3] != "11" and n[4:6] != "11"}
+    forms = lambda n: (f"({n[:3]}) {n[3:6]}-{n[6:]}", f"{n[:3]}-{n[3:6]}-{n[6:]}", f"{n[:3]}.{n[3:6]}.{n[6:]}", f"+1 ({n[:3]}) {n[3:6]}-{n[6:]}", f"+1{n}", f"+1 {n[:3]} {n[3:6]} {n[6:]}")
+    said = {n: {digits(hidden(f"call {x} now"))[-10:] for x in forms(n)} for n in numbers}
+    assert all(len(v) == 1 for v in said.values()) and len({next(iter(v)) for v in said.values()}) == len(numbers)
+    assert all(next(iter(v))[0] in "23456789" and next(iter(v))[1:3] != "11" for v in said.values())
+    for wrong in ("000-000-0000", "111-222-3333", "911-555-1234", "411-222-3333", "212-011-3333"):
+        assert hidden(f"id {wrong} x") == f"id {wrong} x"
+    odd = {digits(hidden(x))[-10:] for x in ("+1 (017) 555-7713", "(017) 555-7713", "+10175557713")}
+    assert len(odd) == 1 and odd != {"0175557713"} and next(iter(odd)) not in {x for v in said.values() for x in v}
+    for x in ("Jo.81@Mail.example", "JO.81@MAIL.EXAMPLE", "jo.81@mail.example"):
+        assert hidden(x).lower() == hidden("jo.81@mail.example") and [c.isupper() for c in hidden(x)] == [c.isupper() for c in x]
+    account = "DE89370400440532013000"
+    spaced = " ".join(account[i : i + 4] for i in range(0, 22, 4))
+    assert hidden(account.lower()).upper() == hidden(account) == hidden(spaced).replace(" ", "") != account
+    full = "2001:0db8:0000:0000:0000:ff00:0042:8329"
+    same = {ipaddress.ip_address(hidden(x)) for x in (full, "2001:db8::ff00:42:8329", full.upper(), "2001:DB8::FF00:42:8329")}
+    assert len(same) == 1 and ipaddress.ip_address(full) not in same and hidden("at 10:20:30 a::b std::max") == "at 10:20:30 a::b std::max"
+    card = valid_card(r)
+    assert {digits(hidden(x)) for x in (card, " ".join(card[i : i + 4] for i in range(0, 16, 4)), "-".join(card[i : i + 4] for i in range(0, 16, 4)))} == {digits(hidden(card))} != {card}
+
+
 def test_texts(spark):
     r = random.Random(5)
     c = valid_card(r)

@@ -5,16 +5,21 @@ format: a Feistel network over the value's number, walked until it lies in the
 format again.  Equal values get equal pseudonyms in every document, different
 values different ones, and a pseudonym passes the same validation.
 
+Values are equal whatever they are written like: a date in any order of its parts, a
+number with or without its country code, letters in either case.  Where a form could
+be read in two ways (day and month), the permutation keeps to dates that are read alike.
+
 Replaced: payment card numbers (Luhn), bank account numbers (mod 97), social
-security numbers, phone numbers, IPv4 addresses, calendar dates, the local part
-of e-mail addresses, hexadecimal secrets of 32 and more digits, access keys, and
-values assigned to passwords, tokens and the like.
+security numbers, phone numbers (numbering plan), IPv4 and IPv6 addresses, calendar
+dates, the local part of e-mail addresses, hexadecimal secrets of 32 and more digits,
+access keys, and values assigned to passwords, tokens and the like.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -88,15 +93,21 @@ def _mixed(text: str, key: bytes, kind: str) -> str:
     return "".join(out)
 
 
+def _cased(shape: str, text: str) -> str:
+    """``text`` with upper-case letters at the places where ``shape`` of the same length has them."""
+    return "".join(c.upper() if s.isupper() else c for s, c in zip(shape, text, strict=True))
+
+
 def iban(text: str, key: bytes) -> str | None:
-    plain = text.replace(" ", "")
+    plain = text.replace(" ", "").upper()
     number = lambda s: int("".join(str(int(c, 36)) for c in s)) % 97
     if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) != 1:
         return None
     body = _mixed(plain[4:], key, "iban" + plain[:2])
     check = 98 - number(body + plain[:2] + "00")
     it = iter(plain[:2] + f"{check:02d}" + body)
-    return "".join(c if c == " " else next(it) for c in text)
+    made = "".join(c if c == " " else next(it) for c in text)
+    return made if text.upper() == text else _cased(text, made.lower())
 
 
 def ssn(text: str, key: bytes) -> str | None:
@@ -109,10 +120,44 @@ def ssn(text: str, key: bytes) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+def _code(three: int) -> int | None:
+    """The number of an area or exchange code among the valid ones (200 to 999 but not n11)."""
+    if three < 200 or three % 100 == 11:
+        return None
+    return three - 200 - (three - 200) // 100 - (three % 100 > 11)
+
+
+def _from_code(number: int) -> int:
+    hundred, rest = divmod(number, 99)
+    return 200 + hundred * 100 + rest + (rest >= 11)
+
+
 def phone(text: str, key: bytes) -> str | None:
-    """The last ten digits are permuted (of up to ten after a plus, all but three); what is before and all signs stay."""
+    """Ten digits of the North American plan, after a 1 or without, are permuted among its valid numbers.
+
+    Ten digits that are none of the plan's count only where a plus or a bracket says that they are a number to call,
+    and are permuted among such.  Of other numbers after a plus, all but the first three digits are permuted (the
+    last ten at most).  Signs stay.
+    """
     d = _digits(text)
-    n = 10 if len(d) > 10 or text[0] != "+" else len(d) - 3
+    if len(d) == 10 and text[0] != "+" or len(d) == 11 and d[0] == "1":
+        head, body = d[:-10], d[-10:]
+        area, exchange = _code(int(body[:3])), _code(int(body[3:6]))
+        if area is None or exchange is None:
+            if text[0] not in "+(":
+                return None
+            value = int(body)
+            while True:
+                value = permute(value, 10**10, key, "odd phone")
+                made = f"{value:010d}"
+                if _code(int(made[:3])) is None or _code(int(made[3:6])) is None:  # walk on among the odd ones
+                    return _refill(text, head + made)
+        value = permute((area * 792 + exchange) * 10_000 + int(body[6:]), 792 * 792 * 10_000, key, "phone")
+        rest, line = divmod(value, 10_000)
+        return _refill(text, f"{head}{_from_code(rest // 792)}{_from_code(rest % 792)}{line:04d}")
+    if text[0] != "+" or not 8 <= len(d) <= 15 or d[0] == "1":
+        return None
+    n = min(10, len(d) - 3)
     head, body = d[:-n], d[-n:]
     return _refill(text, head + str(permute(int(body), 10**n, key, "phone" + head)).zfill(n))
 
@@ -125,41 +170,58 @@ def ipv4(text: str, key: bytes) -> str | None:
     return ".".join(str(x) for x in value.to_bytes(4, "big"))
 
 
+def ipv6(text: str, key: bytes) -> str | None:
+    """All 128 bits are permuted; a short form stays short, a form in full stays in full."""
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    made = ipaddress.IPv6Address(permute(value, 1 << 128, key, "ipv6"))
+    shown = made.exploded if len(text) == 39 else made.compressed
+    return shown.upper() if text.upper() == text else shown
+
+
 _ERAS = [datetime.date(1, 1, 1).toordinal(), datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal(), datetime.date.max.toordinal() + 1]
 
 
 def _date(year: int, month: int, day: int, key: bytes) -> datetime.date | None:
+    """The pseudonym of a date: in the same era, and with a day up to 12 exactly where the date has one.
+
+    So a form that puts the month first is read the same way before and after, and a date's
+    pseudonym doesn't depend on its form.
+    """
     try:
-        value = datetime.date(year, month, day).toordinal()
+        date = datetime.date(year, month, day)
     except ValueError:
         return None
+    value = date.toordinal()
     era = max(i for i, a in enumerate(_ERAS[:-1]) if value >= a)
     low, size = _ERAS[era], _ERAS[era + 1] - _ERAS[era]
-    return datetime.date.fromordinal(low + permute(value - low, size, key, f"date{era}"))
+    while True:
+        value = low + permute(value - low, size, key, f"date{era}")
+        made = datetime.date.fromordinal(value)
+        if (made.day <= 12) == (day <= 12):  # else walk on: the cycle through the date comes back to one like it
+            return made
 
 
 def date(text: str, key: bytes) -> str | None:
-    """Year first, or day first, or (where only that is a date) month first; two digits for day and month."""
+    """Year first, or day first, or (where only that is a date) month first; days and months padded as they were."""
     sep = re.search(r"[-/.]", text)[0]
-    p = [int(x) for x in text.split(sep)]
-    if len(text.split(sep)[0]) == 4:
-        new = _date(p[0], p[1], p[2], key)
-        return new and f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
-    if p[1] <= 12:
-        new = _date(p[2], p[1], p[0], key)
-        return new and f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
-    new = _date(p[2], p[0], p[1], key)
-    if new and new.day <= 12:  # would read as day first: walk on until it can't
-        while new.day <= 12:
-            new = _date(new.year, new.month, new.day, key)
-    return new and f"{new.month:02d}{sep}{new.day:02d}{sep}{new.year:04d}"
+    parts = text.split(sep)
+    p = [int(x) for x in parts]
+    first = len(parts[0]) == 4
+    order = (0, 1, 2) if first else (2, 1, 0) if p[1] <= 12 else (2, 0, 1)
+    new = _date(*(p[i] for i in order), key)
+    if new is None:
+        return None
+    padded = "2" if all(len(x) >= 2 for x in parts) else "1"
+    shown = dict(zip(order, (f"{new.year:04d}", f"{new.month:0{padded}d}", f"{new.day:0{padded}d}"), strict=True))
+    return sep.join(shown[i] for i in range(3))
 
 
 def email(text: str, key: bytes) -> str | None:
     local, _, domain = text.partition("@")
-    if text.upper() == text:
-        return _mixed(local.lower(), key, "email" + domain.lower()).upper() + "@" + domain
-    return _mixed(local, key, "email" + domain.lower()) + "@" + domain
+    return _cased(local, _mixed(local.lower(), key, "email" + domain.lower())) + "@" + domain
 
 
 def secret(text: str, key: bytes) -> str | None:
@@ -184,12 +246,13 @@ def access_key(text: str, key: bytes) -> str | None:
 #: Tried in this order at each place.  A group named v is the part that is replaced.
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
+    ("iban", r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}[0-9]{2}[a-z0-9]{11,30})(?![A-Za-z0-9])", iban),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])", secret),
     ("access_key", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     ("credential", r"(?i)(?<![a-z0-9])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<v>[a-z0-9][a-z0-9+/_.-]{6,}[a-z0-9+/_])", credential),
     ("ipv4", r"(?<![0-9.A-Za-z])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", ipv4),
-    ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}(?P<t>[-/.])[0-9]{2}(?P=t)[0-9]{4})(?:(?=T[0-9]{2}:)|(?![0-9A-Za-z]|[./-][0-9]))", date),
+    ("ipv6", r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)(?=[0-9A-Fa-f:]*[0-9])[0-9A-Fa-f:]{6,39}(?![0-9A-Za-z:]|\.[0-9])", ipv6),
+    ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2}|[0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4})(?:(?=T[0-9]{2}:)|(?![0-9A-Za-z]|[./-][0-9]))", date),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])", ssn),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])", phone),
     ("phone", r"(?<![0-9A-Za-z+])\+[1-9](?:(?:[ .-]|[ .-]?\(|\)[ .-]?)?[0-9]){7,14}(?![0-9A-Za-z]|[ .-]?[0-9])", phone),

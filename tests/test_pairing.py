@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 from tracelake.operators import pairing
@@ -9,13 +12,37 @@ def test_scene_outcomes(spark):
         (7, 3, 10, "enter", 50, 0x10), (7, 4, 12, "return", 60, 0x10), (7, 5, 13, "enter", 70, 0x10), (7, 5, 14, "return", 80, 0x20), (7, 6, 15, "enter", 90, 0x10), (7, 6, 16, "return", 85, 0x10),
     ]
     rows = spark.createDataFrame(data, "tid long, id long, seq long, phase string, ns long, address long")
-    got = {r["id"]: (r["state"], r["target_returned"]) for r in pairing.lifecycle(pairing.pair_boundaries(rows, ["tid", "id"])).collect()}
-    assert got == {1: ("returned", True), 2: ("capture_stopped", None), 3: ("open_at_end", None), 4: ("orphan", None), 5: ("invalid", None), 6: ("invalid", None)}
+    got = {r["id"]: (r["state"], r["target_returned"], r["entry"], r["invalid"]) for r in pairing.lifecycle(rows, ["tid", "id"]).collect()}
+    assert got == {1: ("returned", True, 1, 0), 2: ("capture_stopped", None, 6, 0), 3: ("open_at_end", None, 10, 0), 4: ("returned", True, None, 0), 5: ("open_at_end", None, 13, 1), 6: ("open_at_end", None, 15, 1)}
+    states = {r["id"]: r["state"] for r in pairing.pair_boundaries(rows, ["tid", "id"]).collect()}
+    assert states == {1: "returned", 2: "capture_stopped", 3: "open_at_end", 4: "orphan", 5: "invalid", 6: "invalid"}
     twice = rows.unionByName(rows.where("seq = 1"))
     with pytest.raises(Exception, match="duplicate enter"):
         pairing.pair_boundaries(twice, ["tid", "id"]).collect()
 
 
+def test_lifecycle_against_a_fold(spark):
+    r = random.Random(3)
+    data, time = [], 0
+    for seq in range(600):
+        time += r.randrange(3)
+        data.append((r.randrange(3), r.randrange(12), seq, r.choice(["enter", "return", "capture_stopped"]), time - r.choice([0, 0, 0, 40]), r.choice([1, 1, 1, 2])))
+    calls, invalid = {}, Counter()
+    for tid, number, seq, phase, ns, address in data:
+        key = (tid, number)
+        old = calls.get(key)
+        if old and (old["address"] != address or ns < old["ns"]):
+            invalid[key] += 1
+            continue
+        row = calls.setdefault(key, {"address": address, "entry": None})
+        row |= {"ns": ns, "state": {"enter": "open_at_end", "return": "returned"}.get(phase, phase), "proved": True if phase == "return" else None}
+        if phase == "enter":
+            row["entry"] = seq
+    rows = spark.createDataFrame(data, "tid long, id long, seq long, phase string, ns long, address long")
+    got = {(x["tid"], x["id"]): (x["state"], x["target_returned"], x["entry"], x["address"], x["invalid"]) for x in pairing.lifecycle(rows, ["tid", "id"]).collect()}
+    assert got == {k: (v["state"], v["proved"], v["entry"], v["address"], invalid[k]) for k, v in calls.items()}
+
+
 def test_inclusive_times(spark):
     rows = spark.createDataFrame([(1, 100, 300)], "id long, entry_ns long, ending_ns long")
     assert pairing.scenes_between(rows, 300, 300).count() == 1
@@ -47,18 +74,22 @@ def test_signals_balance_policy(spark):
     assert [r["begin_seq"] for r in pairing.open_signals(marks).collect()] == [8]
     threads = spark.createDataFrame([(1, "begin"), (1, "end"), (2, "begin")], "tid long, phase string")
     assert {r["tid"]: r["balance"] for r in pairing.thread_balance(threads).collect()} == {1: 0, 2: 1}
-    rows = spark.createDataFrame([(1, 1, "p"), (1, 2, None), (2, 3, None)], "tid long, sequence long, policy string")
-    seen = pairing.policy_in_effect(rows, "policy").withColumn("source", pairing.pc_source(F.col("in_effect"), F.lit(1).cast("long"), F.lit(False)))
-    assert {r["sequence"]: (r["in_effect"], r["source"]) for r in seen.collect()} == {1: ("p", "qbdi_logical"), 2: ("p", "qbdi_logical"), 3: (None, "unknown")}
+    rows = spark.createDataFrame([(1, 1, "p"), (1, 2, None), (2, 3, None), (1, 4, "other"), (1, 5, None)], "tid long, sequence long, policy string")
+    seen = pairing.policy_in_effect(rows, F.col("policy").isNotNull(), F.col("policy") == "p").withColumn("source", pairing.pc_source(F.col("in_effect"), F.lit(1).cast("long"), F.lit(False)))
+    on, off = (True, "qbdi_logical"), (False, "unknown")
+    assert {r["sequence"]: (r["in_effect"], r["source"]) for r in seen.collect()} == {1: on, 2: on, 3: off, 4: off, 5: off}
     top = pairing.newest(rows, "sequence", 2)
-    assert sorted((r["sequence"], r["omitted"]) for r in top.collect()) == [(2, 1), (3, 1)]
+    assert sorted((r["sequence"], r["omitted"]) for r in top.collect()) == [(4, 3), (5, 3)]
 
 
 def test_membership(spark):
     scenes = spark.createDataFrame([(1,), (50,), (None,)], "entry long")
     gaps = spark.createDataFrame([(10, 20, "missing_sequences"), (90, 95, "coverage_gap")], "lo long, hi long, reason string")
     got = {r["entry"]: (r["membership"], r["reasons"]) for r in pairing.membership(scenes, gaps, 60).collect()}
-    assert got == {1: ("uncertain", ["missing_sequences"]), 50: ("observed", []), None: ("uncertain", ["missing_entry", "missing_sequences"])}
+    assert got == {1: ("uncertain", ["missing_sequences"]), 50: ("observed", []), None: ("uncertain", ["missing_entry"])}
+    cover = spark.createDataFrame([(60, 60, "coverage_gap")], "lo long, hi long, reason string")
+    got = {r["entry"]: r["reasons"] for r in pairing.membership(scenes, cover, 60, ["typed_damage"]).collect()}
+    assert got == {1: ["coverage_gap", "typed_damage"], 50: ["coverage_gap", "typed_damage"], None: ["coverage_gap", "missing_entry", "typed_damage"]}
 
 
 def test_scene_details(spark):

@@ -34,20 +34,22 @@ def test_decode():
 @pytest.mark.parametrize(
     ("data", "message"),
     [
-        (b"XXXX" + stream()[4:], "invalid magic"),
-        (wire.header()[:5] + b"\x03" + stream()[6:], "unsupported minor/features"),
-        (stream(extra=wire.RECORD_HEADER.pack(7, 0, 5000)), "record payload exceeds protocol maximum"),
+        (b"XXXX" + stream()[4:], "not a trace stream"),
+        (wire.header()[:5] + b"\x03" + stream()[6:], "unknown minor version"),
+        (stream(extra=wire.RECORD_HEADER.pack(7, 0, 5000)), "larger than a record"),
         (stream() + wire.encode_event(7, ["r"], "x"), "record after the terminal"),
-        (stream(sequence=(1, 3)), "instruction sequence gap"),
-        (stream()[:-3], "truncated record payload"),
-        (stream(extra=wire.encode_instruction(3, 1, 0, 99, [], [])), "undefined instruction metadata"),
-        (stream(extra=wire.encode_access(9, 0, 1, 0, 1, 0)), "undefined module reference"),
-        (stream(end=False), "missing terminal"),
-        (stream(extra=wire.record(77, b"")), "unknown required record type"),
+        (stream(sequence=(1, 3)), "doesn't follow"),
+        (stream()[:-3], "ends inside a record"),
+        (stream(extra=wire.encode_instruction(3, 1, 0, 99, [], [])), "no definition"),
+        (stream(extra=wire.encode_access(9, 0, 1, 0, 1, 0)), "no module"),
+        (stream(end=False), "no terminal"),
+        (stream(extra=wire.record(77, b"")), "type is unknown"),
         (stream(extra=wire.encode_event(6, ["c", "n"], "abcdef", fragment=2)[: -(8 + 16 + 3 + 3 + 4)] ), "continuation"),
-        (stream(0, extra=wire.encode_event(7, ["n"], "abcdef", fragment=2)), "unsupported record flags"),
+        (stream(0, extra=wire.encode_event(7, ["n"], "abcdef", fragment=2)), "flags that its type"),
         (stream(extra=wire.encode_access(1, 0, 1, 2**64 - 1, 2, 0)), "address space"),
         (stream(extra=wire.encode_event(7, [b"\xff"], "x")), "invalid UTF-8"),
+        (stream(extra=wire.encode_module(1, 0x2000, "libé.so")), "module defined in two ways"),
+        (stream(extra=wire.encode_definition(5, "NOP", {}, {})), "instruction defined in two ways"),
     ],
 )
 def test_strictness(data, message):
@@ -55,6 +57,11 @@ def test_strictness(data, message):
         list(wire.decode(data))
 
 
+def test_equal_redefinitions_are_records_like_any_other():
+    rows = list(wire.decode(stream(extra=wire.encode_module(1, 0x1000, "libé.so") + wire.encode_definition(5, "", {}, {}))))
+    assert [r["kind"] for r in rows][-3:] == ["module_definition", "instruction_definition", "termination"]
+
+
 def test_partial_keeps_complete_records():
     whole = stream()
     full = [r["record_ordinal"] for r in wire.decode(whole)]
@@ -211,11 +218,22 @@ def test_sidecars():
     got = sidecars.parse_metrics(sidecar(), "x.trace.bin")
     assert str(got["instructions_per_second"]) == "904916.666666" and got["return_valid"] == 1
     for change, message in (
-        ({"instructions_per_second": "904916.666667"}, "inconsistent rate"), ({"instructions": "021718"}, "invalid counter"), ({"instructions": None}, "missing"), ({"other": "1", "profile": None}, "unknown"), ({"other": "1"}, "too many"),
-        ({"profile": "odd"}, "invalid profile"), ({"metrics_version": "1"}, "unsupported"), ({"return_valid": "0"}, "termination"),
+        ({"instructions_per_second": "904916.666667"}, "inconsistent rate"), ({"instructions": "21718x"}, "invalid counter"), ({"instructions": None}, "missing"), ({"other": "1", "profile": None}, "unknown"), ({"other": "1"}, "too many"),
+        ({"profile": "odd"}, "invalid profile"), ({"metrics_version": "1"}, "unsupported"), ({"return": "0x01"}, "invalid profile"), ({"compression_ratio": "2.000000"}, "inconsistent rate"), ({"return_valid": "0"}, "termination"),
     ):
         with pytest.raises(ValueError, match=message):
             sidecars.parse_metrics(sidecar(**change))
+    assert sidecars.parse_metrics(sidecar(instructions="021718"))["instructions"] == 21718
+    real = sidecar(encoded_bytes="1672811", compressed_bytes="418202", encoded_bytes_per_second="69700458.333333", disk_bytes_per_second="17425083.333333", compression_ratio="0.249999")
+    assert str(sidecars.parse_metrics(real)["compression_ratio"]) == "0.249999"
+    first = real.replace("encoded_bytes", "raw_bytes").replace("return=0x0", "return=0xFF")
+    first = "\n".join(x for x in first.splitlines() if not x.startswith(("metrics_version", "termination", "return_valid"))) + "\n"
+    old = sidecars.parse_metrics(first, "x.trace.txt.lz4")
+    assert (old["metrics_version"], old["raw_bytes"], old["return"]) == (1, 1672811, "0xff")
+    with pytest.raises(ValueError, match="does not fit"):
+        sidecars.parse_metrics(first, "x.trace.bin")
+    with pytest.raises(ValueError, match="too large"):
+        sidecars.parse_metrics(sidecar() + "x" * 65_536)
     with pytest.raises(ValueError, match="does not fit"):
         sidecars.parse_metrics(sidecar(), "x.trace.txt.lz4")
     with pytest.raises(ValueError, match="repeated"):
@@ -273,7 +291,7 @@ def test_symbols(spark, tmp_path):
 def test_summary_and_export(spark):
     rows = spark.createDataFrame([(f"c{i:02d}", 2, 1, 0) for i in range(20)], "name string, scenes long, returned long, missing long")
     lines = [r["line"] for r in text.capture_summary(rows).collect()]
-    assert len(lines) == 17 and lines[-1] == "4 more captures; see report" and lines[0] == "Capture c00: returns observed 1; unconfirmed 1; missing ranges 0"
+    assert len(lines) == 17 and lines[-1] == "and 4 further captures in the report" and lines[0] == "Capture c00: 1 returned, 1 without proof of a return, 0 missing ranges"
     events = spark.createDataFrame([(i,) for i in range(1, 9)], "sequence long")
     got = text.export_range(events, 2, 7, 3).collect()
     assert [r["sequence"] for r in got] == [3, 4, 5] and all(r["has_more"] and not r["complete"] for r in got)

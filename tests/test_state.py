@@ -148,12 +148,12 @@ def test_checkpoints_and_deltas(spark):
     assert sorted((x["slot"], x["value"]) for x in registers.expand_deltas(deltas).collect()) == [(0, 7), (2, 8), (9, 9)]
 
 
-STEPS = "artifact string, timeline long, tid long, row long, kind string, pc long, flags long, displacement long, pc_kind int, reads array<struct<slot:int,value:long>>, category string, name string"
+STEPS = "artifact string, timeline long, tid long, row long, kind string, pc long, flags long, displacement long, pc_kind int, reads array<struct<slot:int,value:long>>, category string, name string, phase string, provenance string"
 
 
-def steps(spark, *rows):
-    full = [("a", 0, r.get("tid", 1), i, r.get("kind", "instruction"), r.get("pc"), r.get("flags", 0), r.get("disp", 0), r.get("pc_kind", 0), r.get("reads"), r.get("category"), r.get("name")) for i, r in enumerate(rows)]
-    return calltree.build(spark.createDataFrame(full, STEPS)).collect()
+def steps(spark, *rows, **options):
+    full = [("a", 0, r.get("tid", 1), i, r.get("kind", "instruction"), r.get("pc"), r.get("flags", 0), r.get("disp", 0), r.get("pc_kind", 0), r.get("reads"), r.get("category"), r.get("name"), r.get("phase"), r.get("provenance", "captured")) for i, r in enumerate(rows)]
+    return calltree.build(spark.createDataFrame(full, STEPS), **options).collect()
 
 
 CALL, RET, BRANCH = calltree.CALL, calltree.RETURN, calltree.BRANCH
@@ -183,15 +183,55 @@ def test_tail_call_semantics_damage(spark):
     )
     n = nodes(found)
     assert (n[0]["closed"], n[0]["semantic"]) == ("tail_call", "libc/open")
-    assert (n[1]["parent"], n[1]["closed"], n[1]["provenance"], n[1]["target"]) == (None, "damaged", "damaged", 0x1400)
+    assert (n[1]["parent"], n[1]["closed"], n[1]["provenance"], n[1]["target"]) == (None, "discontinuity", "damaged", 0x1400)
     assert (n[2]["closed"], n[2]["target_evidence"]) == ("source_end", "unknown")
     assert [r["semantic"] for r in found if r["item"] == "semantic"] == ["libc/close"]
 
 
+def intervals_of(found, item):
+    return [(r["start_row"], r["end_row"], r["closed"]) for r in sorted(found, key=lambda r: r["id"]) if r["item"] == item]
+
+
 def test_addresses_keep_all_bits(spark):
     top = 2**64 - 0x1000
-    found = nodes(steps(spark, {"pc": top + 1 - 2**64, "flags": CALL, "disp": 0x2002, "pc_kind": 1}, {"kind": "semantic_call", "category": "c", "name": "n"}))
-    assert (found[0]["call_pc"], found[0]["target"]) == (top + 1 - 2**64, (top + 1 + 0x2002) % 2**64)
+    found = nodes(steps(spark, {"pc": top + 1 - 2**64, "flags": CALL, "disp": 0x2, "pc_kind": 1}, {"kind": "semantic_call", "category": "c", "name": "n"}, {"pc": top + 1 - 2**64, "flags": CALL, "disp": 0x2002, "pc_kind": 1}, {"pc": 8, "flags": CALL, "disp": -9, "pc_kind": 1}))
+    assert [(n["call_pc"], n["target"], n["target_evidence"]) for n in found.values()] == [(top + 1 - 2**64, top + 3 - 2**64, "immediate"), (top + 1 - 2**64, 8, "next_pc"), (8, None, "unknown")]
+
+
+def test_trace_boundary(spark):
+    plain, call, ret = {"pc": 4}, {"pc": 8, "flags": CALL}, {"pc": 12, "flags": RET}
+    boundary = lambda *rows: intervals_of(steps(spark, *rows), "trace_boundary")
+    assert boundary(plain, plain, call, plain) == [(0, 2, "source_begin")]
+    assert boundary(plain, ret, plain, {"kind": "memory"}) == [(0, 3, "source_begin")]
+    assert boundary({"kind": "memory"}, {"pc": 4, "flags": BRANCH}, plain, {"kind": "discontinuity"}, plain, call) == [(1, 1, "source_begin")]
+    assert boundary(call, plain) == boundary(ret, plain) == boundary({"kind": "signal_handler_boundary", "phase": "begin"}, plain) == []
+
+
+def test_signal_handlers(spark):
+    begin, end = ({"kind": "signal_handler_boundary", "phase": p} for p in ("begin", "return"))
+    call = {"pc": 8, "flags": CALL}
+    found = steps(spark, call, begin, begin, call, end, end, begin, {"kind": "discontinuity"}, begin, {"kind": "memory"})
+    assert intervals_of(found, "signal_handler") == [(1, 2, "signal_transition"), (2, 4, "complete"), (5, 5, "signal_transition"), (6, 7, "discontinuity"), (8, 9, "source_end")]
+    assert [(n["closed"], n["end_row"], n["provenance"]) for n in nodes(found).values()] == [("signal_transition", 1, "captured"), ("signal_transition", 6, "captured")]
+    assert nodes(steps(spark, call, {"kind": "termination", "tid": None}, {"pc": 4}))[0]["closed"] == "termination"
+
+
+def test_semantics_only_directly_after_a_call(spark):
+    call, said = {"pc": 8, "flags": CALL, "provenance": "derived"}, {"kind": "semantic_call", "category": "c", "name": "n"}
+    found = steps(spark, call, {"pc": 4}, said, call, {"kind": "memory"}, said, call, said, said, {"pc": 3})
+    assert [n["semantic"] for n in nodes(found).values()] == [None, None, "c/n"] and len(intervals_of(found, "semantic")) == 3
+    assert [(n["provenance"], n["end_row"], n["closed"]) for n in nodes(found).values()] == [("derived", 9, "source_end")] * 3
+
+
+def test_unwind_has_an_interval_for_each_frame(spark):
+    call = lambda pc: {"pc": pc, "flags": CALL}
+    found = steps(spark, call(0x100), call(0x200), call(0x300), {"pc": 0x400, "flags": RET, "provenance": "derived"}, {"pc": 0x104})
+    assert intervals_of(found, "unwind") == [(3, 3, "unwind")] * 2 and {r["provenance"] for r in found if r["item"] == "unwind"} == {"derived"}
+    assert [(n["closed"], n["provenance"]) for n in nodes(found).values()] == [("complete", "captured"), ("unwind", "heuristic"), ("unwind", "heuristic")]
+    tail = ({"pc": 0x100, "flags": CALL}, {"pc": 0x200, "flags": BRANCH, "disp": 0x100, "pc_kind": 1}, {"pc": 0x300})
+    assert len(nodes(steps(spark, *tail))) == 2 and len(nodes(steps(spark, *tail, infer_tail_calls=False))) == 1
+    one, two = (calltree.tree_identity("s", 0, 1, x) for x in (True, False))
+    assert one != two and calltree.tree_identity("s", 0, 1, names={4: "f"}) not in (one, two)
 
 
 def test_register_evidence_and_page_target(spark):

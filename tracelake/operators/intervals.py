@@ -111,6 +111,34 @@ def carry_forward(points: DataFrame, marks: DataFrame, keys: Sequence[str], valu
     return found.select("__point.*", *[F.coalesce(f"__near_{v}", f"__far_{v}").alias(v) for v in values])
 
 
+def carry_rows(rows: DataFrame, keys: Sequence[str], at: str, values: dict[str, Column], width: int = 1 << 16, back: bool = False, strict: bool = False) -> DataFrame:
+    """``rows`` with each of ``values``: the last that isn't null among the key's rows up to each row, before it with ``strict``.
+
+    With ``back`` the first one at or after it.  Places are unique within a key.  Rows are put in
+    order within buckets of ``width`` places, and one row for each bucket carries on, so that no
+    task holds a whole key.  Keys aren't null.
+    """
+    turned = (lambda c: F.col(c).desc()) if back else F.col
+    marked = rows.withColumns({f"__of_{n}": v for n, v in values.items()}).withColumn("__b", bucket(F.col(at), width))
+    near = Window.partitionBy(*keys, "__b").orderBy(turned(at)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    edge = F.min_by if back else F.max_by
+    ends = marked.groupBy(*keys, "__b").agg(*[edge(f"__of_{n}", F.when(F.col(f"__of_{n}").isNotNull(), F.col(at))).alias(f"__end_{n}") for n in values])
+    across = Window.partitionBy(*keys).orderBy(turned("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    far = ends.select(*keys, "__b", *[F.last(f"__end_{n}", ignorenulls=True).over(across).alias(f"__far_{n}") for n in values])
+    seen = marked.withColumns({f"__near_{n}": F.last(f"__of_{n}", ignorenulls=True).over(near) for n in values})
+    return seen.join(far, [*keys, "__b"], "left").select(*rows.columns, *[F.coalesce(f"__near_{n}", f"__far_{n}").alias(n) for n in values])
+
+
+def running_sum(rows: DataFrame, keys: Sequence[str], at: str, step: Column, name: str, sub: str | None = None, width: int = 1 << 16) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``step`` over the key's rows up to each, in order of ``at`` and ``sub``; in buckets like ``carry_rows``."""
+    marked = rows.withColumn("__step", step).withColumn("__b", bucket(F.col(at), width))
+    near = Window.partitionBy(*keys, "__b").orderBy(at, *([sub] if sub else [])).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marked.groupBy(*keys, "__b").agg(F.sum("__step").alias("__end")).select(*keys, "__b", F.sum("__end").over(across).alias("__far"))
+    seen = marked.withColumn("__near", F.sum("__step").over(near)).join(ends, [*keys, "__b"], "left")
+    return seen.select(*rows.columns, (F.col("__near") + F.coalesce("__far", F.lit(0))).cast("bigint").alias(name))
+
+
 def stabbing(spans: DataFrame, at: int, n: int, span: tuple[str, str], tid: int | None = None) -> DataFrame:
     """The ``n`` spans that hold ``at``, innermost (greatest entry) first, with ``has_more``."""
     entry, last = span

@@ -20,7 +20,7 @@ def rates(rows: DataFrame) -> DataFrame:
             "instructions_per_second": per_second("instructions"),
             "encoded_bytes_per_second": per_second("encoded_bytes"),
             "disk_bytes_per_second": per_second("compressed_bytes"),
-            "compression_ratio": fixed_six(F.col("encoded_bytes"), F.col("compressed_bytes")),
+            "compression_ratio": fixed_six(F.col("compressed_bytes"), F.col("encoded_bytes")),
             "cache_hit_rate": fixed_six(F.col("cache_hits"), F.col("cache_hits") + F.col("cache_misses")),
         }
     )
@@ -43,11 +43,15 @@ def constant(column: str, what: str) -> Column:
 
 
 def diagnose(rows: DataFrame) -> DataFrame:
-    """``rows`` with wait and miss shares and the cost that dominates (over one half), if any."""
+    """``rows`` with wait and miss shares and the cost that dominates: the producer's wait if it takes over half of the time.
+
+    Misses are an indicator only: they have no time to compare, so they never dominate.
+    """
     wait = F.when(F.col("elapsed_ms") > 0, F.col("producer_wait_ns") / (F.col("elapsed_ms") * 1_000_000.0)).otherwise(0.0)
     looked = F.col("cache_hits") + F.col("cache_misses")
     miss = F.when(looked > 0, F.col("cache_misses") / looked).otherwise(0.0)
-    dominant = F.when(F.col("wait_share") > 0.5, "producer_wait").when(F.col("miss_share") > 0.5, "decode_cache").otherwise("none")
+    half = F.col("producer_wait_ns").cast("decimal(38,0)") * 2 > F.col("elapsed_ms").cast("decimal(38,0)") * 1_000_000
+    dominant = F.when(half & (F.col("elapsed_ms") > 0), "producer_wait_time").otherwise("undetermined")
     return rows.withColumn("wait_share", wait).withColumn("miss_share", miss).withColumn("dominant", dominant)
 
 
@@ -65,6 +69,30 @@ def gate(results: DataFrame) -> DataFrame:
     return results.agg(F.bool_and("passed").alias("all_passed"), F.bool_or("passed").alias("any_passed"), F.max("speedup").alias("best"), F.min("speedup").alias("worst"))
 
 
+#: Runs that a profile's gate takes, and what every run must have in common with the baseline.
+GATE_RUNS = 5
+SAME = ("instructions", "return_value", "decoded_events", "first_instruction", "last_instruction")
+
+
+def profile_gate(runs: DataFrame, baseline: DataFrame, targets: DataFrame) -> DataFrame:
+    """A row for each profile: does the median rate reach its target, is no run larger than the baseline?
+
+    ``runs`` and ``baseline`` (one row for each profile) have profile, ``SAME`` and compressed_bytes, runs also
+    instructions_per_second; ``targets`` has profile and target_rate.  Another number of runs than
+    ``GATE_RUNS``, or a run that differs from the baseline in ``SAME``, is an error.
+    """
+    base = baseline.select("profile", F.col("compressed_bytes").alias("baseline_bytes"), *[F.col(c).alias(f"base_{c}") for c in SAME])
+    alike = F.lit(True)
+    for c in SAME:
+        alike = alike & F.lower(F.col(c).cast("string")).eqNullSafe(F.lower(F.col(f"base_{c}").cast("string")))
+    rows = runs.join(base, "profile").groupBy("profile", "baseline_bytes").agg(
+        F.count("*").alias("n"), F.bool_and(alike).alias("alike"), F.median("instructions_per_second").alias("rate"), F.max("compressed_bytes").alias("largest_bytes"),
+        F.bool_and(F.col("compressed_bytes") <= F.col("baseline_bytes")).alias("meets_size_target"),
+    )
+    sound = F.when(F.col("n") != GATE_RUNS, F.raise_error(F.lit(f"a profile's gate takes {GATE_RUNS} runs"))).when(~F.col("alike"), F.raise_error(F.lit("a run differs from the baseline"))).otherwise(F.lit(True))
+    return rows.join(targets, "profile").where(sound).select("profile", "target_rate", (F.col("rate") >= F.col("target_rate")).alias("meets_rate_target"), "baseline_bytes", "largest_bytes", "meets_size_target")
+
+
 def run_oracle(instructions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by.., n, first, last): the number of instructions and the texts of the first and last."""
     text = F.concat_ws(" ", F.col("sequence").cast("string"), F.concat("module", F.lit("+"), u64_hex(F.col("relative_pc"))), "mnemonic")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.intervals import carry_rows, running_sum
+
 KEPT_SCENES = 256
 
 
@@ -51,15 +53,35 @@ def next_boundary_pairs(rows: DataFrame, by: str, seq: str, is_enter: Column, is
     Ends without an open enter are orphans and left out.
     """
     marked = rows.where(is_enter | is_end).select(by, F.col(seq).alias("seq"), is_enter.alias("enter"))
-    order = Window.partitionBy(by).orderBy("seq")
-    following = marked.withColumn("next_seq", F.lead("seq").over(order)).withColumn("next_enter", F.lead("enter").over(order))
-    ending = F.when(F.col("next_enter") == F.lit(False), F.col("next_seq"))
+    following = carry_rows(marked, [by], "seq", {"next": F.struct("seq", "enter")}, back=True, strict=True)
+    ending = F.when(~F.col("next.enter"), F.col("next.seq"))
     return following.where("enter").select(by, F.col("seq").alias("entry"), ending.alias("ending"), F.when(ending.isNull(), "open_at_end").otherwise("returned").alias("state"))
 
 
-def lifecycle(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with target_returned: true for a proved return, null where nothing proves either."""
-    return pairs.withColumn("target_returned", F.when(F.col("state") == "returned", F.lit(True)))
+def lifecycle(boundaries: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key.., address, entry, entry_ns, last_seq, state, target_returned, invalid): what became of each scene.
+
+    A boundary with another address than the scene's first, or with a time before that of an
+    earlier good one, is ignored and counted as invalid.  The last good boundary decides:
+    open_at_end, returned or capture_stopped.  A return proves that the target returned, also
+    without an enter; nothing else proves anything.  ``boundaries``: key.., seq, phase, ns, address.
+    """
+    order = Window.partitionBy(*key).orderBy("seq")
+    first = boundaries.withColumn("__address", F.first("address").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.col("address").eqNullSafe(F.col("__address"))
+    # A good boundary's time is the greatest so far, and a bad one's of this address is below it.
+    upto = F.max(F.when(same, F.col("ns"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    judged = first.withColumn("__good", same & F.coalesce(F.col("ns") >= upto, F.lit(True)))
+    good = lambda c: F.when(F.col("__good"), c)
+    entered = F.when(F.col("__good") & (F.col("phase") == "enter"), F.struct("seq", "ns"))
+    rows = judged.groupBy(*key).agg(
+        F.first("__address").alias("address"), F.max(entered).alias("e"), F.max(good(F.struct("seq", "phase"))).alias("x"), F.count_if(~F.col("__good")).alias("invalid")
+    )
+    state = F.when(F.col("x.phase") == "enter", "open_at_end").when(F.col("x.phase") == "return", "returned").otherwise(F.col("x.phase"))
+    return rows.select(
+        *key, "address", F.col("e.seq").alias("entry"), F.col("e.ns").alias("entry_ns"), F.col("x.seq").alias("last_seq"), state.alias("state"),
+        F.when(F.col("x.phase") == "return", F.lit(True)).alias("target_returned"), "invalid",
+    )
 
 
 def newest(rows: DataFrame, order: str, keep: int = KEPT_SCENES, by: Sequence[str] = ()) -> DataFrame:
@@ -102,8 +124,7 @@ def count_inside(scenes: DataFrame, events: DataFrame, by: str, seq: str) -> Dat
     marks = events.select(by, F.col(seq).alias("at"), F.lit(1).alias("what"), F.lit(None).cast("bigint").alias("entry"))
     starts = scenes.select(by, F.col("entry").alias("at"), F.lit(0).alias("what"), "entry")
     stops = scenes.where("ending IS NOT NULL").select(by, F.col("ending").alias("at"), F.lit(2).alias("what"), "entry")
-    order = Window.partitionBy(by).orderBy("at", "what").rowsBetween(Window.unboundedPreceding, 0)
-    counted = marks.unionByName(starts).unionByName(stops).withColumn("n", F.sum(F.when(F.col("what") == 1, 1).otherwise(0)).over(order))
+    counted = running_sum(marks.unionByName(starts).unionByName(stops), [by], "at", F.when(F.col("what") == 1, 1).otherwise(0), "n", "what")
     inside = counted.where("what <> 1").groupBy(by, "entry").agg(
         (F.max(F.when(F.col("what") == 2, F.col("n"))) - F.max(F.when(F.col("what") == 0, F.col("n")))).alias("instructions")
     )
@@ -120,16 +141,20 @@ def scenes_between(scenes: DataFrame, since: int, until: int) -> DataFrame:
     return scenes.where((F.col("entry_ns") <= until) & (F.col("ending_ns") >= since))
 
 
-def membership(scenes: DataFrame, gaps: DataFrame, at: int) -> DataFrame:
+def membership(scenes: DataFrame, gaps: DataFrame, at: int, doubts: Sequence[str] = ()) -> DataFrame:
     """``scenes`` with membership (observed or uncertain) and its reasons at a sequence.
 
-    ``gaps`` (lo, hi, reason) that meet entry..at make membership uncertain, as does a missing entry.
+    ``gaps`` (lo, hi, reason) that meet entry..at make membership uncertain, as do a missing entry
+    and any of ``doubts`` (of the whole recording).  Without an entry there is no range to hold against gaps,
+    but a coverage gap at the very sequence counts.
     """
     bounds = gaps.where(F.col("lo") <= at).groupBy("reason").agg(F.max("hi").alias("upto"))  # a row for each reason
     reasons = bounds.agg(F.collect_list(F.struct("reason", "upto")).alias("known"))
     rows = scenes.join(F.broadcast(reasons))  # one row of as many entries as there are reasons
-    found = F.transform(F.filter("known", lambda g: g["upto"] >= F.coalesce("entry", F.lit(0))), lambda g: g["reason"])
-    why = F.array_sort(F.array_compact(F.concat(F.array(F.when(F.col("entry").isNull(), "missing_entry")), found)))
+    start = F.coalesce("entry", F.lit(at))
+    found = F.transform(F.filter("known", lambda g: (g["upto"] >= start) & (F.col("entry").isNotNull() | (g["reason"] == "coverage_gap"))), lambda g: g["reason"])
+    own = F.array(F.when(F.col("entry").isNull(), "missing_entry"), *[F.lit(x) for x in doubts])
+    why = F.array_sort(F.array_distinct(F.array_compact(F.concat(own, found))))
     return rows.withColumn("reasons", why).withColumn("membership", F.when(F.size("reasons") > 0, "uncertain").otherwise("observed")).drop("known")
 
 
@@ -185,15 +210,18 @@ def last_recorded_thread(events: DataFrame) -> DataFrame:
     return events.agg(F.max(F.struct("sequence", "tid")).alias("x")).select("x.sequence", "x.tid")
 
 
-def policy_in_effect(rows: DataFrame, policy: str, by: str = "tid", seq: str = "sequence") -> DataFrame:
-    """``rows`` with ``in_effect``: the last non-null ``policy`` of the thread up to the row."""
-    order = Window.partitionBy(by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("in_effect", F.last(policy, ignorenulls=True).over(order))
+def policy_in_effect(rows: DataFrame, is_rule: Column, matches: Column, by: str = "tid", seq: str = "sequence") -> DataFrame:
+    """``rows`` with ``in_effect``: whether the thread's last policy rule up to the row is the wanted one.
+
+    A later rule with another text switches the policy off; before any rule it is off.
+    """
+    said = carry_rows(rows, [by], seq, {"in_effect": F.when(is_rule, F.coalesce(matches, F.lit(False)))})
+    return said.withColumn("in_effect", F.coalesce("in_effect", F.lit(False)))
 
 
 def pc_source(in_effect: Column, flags: Column, is_return: Column) -> Column:
     """Where a signal's pc comes from: by the policy in effect and the nesting depth in the low 16 flag bits."""
     depth = flags.bitwiseAND(F.lit(0xFFFF))
     return (
-        F.when(in_effect.isNull() | (depth == 0), "unknown").when(is_return, "guest_handler_context").when(depth == 1, "qbdi_logical").otherwise("kernel_ucontext")
+        F.when(~F.coalesce(in_effect, F.lit(False)) | (depth == 0), "unknown").when(is_return, "guest_handler_context").when(depth == 1, "qbdi_logical").otherwise("kernel_ucontext")
     )

@@ -13,7 +13,7 @@ from tracelake.functions import scalars, u64
 from tracelake.operators import access, calltree, intervals, memory, metrics, pairing, ranges, registers, timeline
 from tracelake.operators.filters import EventFilter, apply_filter
 from tracelake.plans import views
-from tracelake.plans.session import shared_dir
+from tracelake.plans.session import delete_at_end, shared_dir
 from tracelake.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,9 +252,21 @@ def j10_pair_scenes(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.pair_boundaries(_boundaries(spark, sf), ["tid", "id"]).select("tid", "id", "entry", "ending", "state")
 
 
-@query(", " + _BOUNDS_SQL + "SELECT tid, id, entry, state, CASE WHEN state = 'returned' THEN TRUE END AS target_returned FROM pair")
+@query(""", b AS (SELECT tid, k % 8 AS id, r AS seq, CASE etype WHEN 'signup' THEN 'enter' WHEN 'purchase' THEN 'return' ELSE 'capture_stopped' END AS phase,
+  CASE WHEN r % 5 = 0 THEN 2 ELSE 1 END AS address, ns - CASE WHEN r % 11 = 0 THEN 100000000000000 ELSE 0 END AS t FROM ev WHERE etype IN ('signup', 'purchase', 'error')),
+f AS (SELECT *, first_value(address) OVER (PARTITION BY tid, id ORDER BY seq) AS own FROM b),
+g AS (SELECT *, max(CASE WHEN address = own THEN t END) OVER (PARTITION BY tid, id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM f),
+v AS (SELECT *, address = own AND (upto IS NULL OR t >= upto) AS good FROM g)
+SELECT tid, id, max(CASE WHEN good AND phase = 'enter' THEN seq END) AS entry, CASE arg_max(phase, seq) FILTER (good) WHEN 'enter' THEN 'open_at_end' WHEN 'return' THEN 'returned' ELSE 'capture_stopped' END AS state,
+  CASE WHEN arg_max(phase, seq) FILTER (good) = 'return' THEN TRUE END AS target_returned, count(*) FILTER (NOT good) AS invalid FROM v GROUP BY tid, id""")
 def j10_scene_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    return pairing.lifecycle(pairing.pair_boundaries(_boundaries(spark, sf), ["tid", "id"])).select("tid", "id", "entry", "state", "target_returned")
+    r = F.col("r")
+    phase = F.when(F.col("etype") == "signup", "enter").when(F.col("etype") == "purchase", "return").otherwise("capture_stopped")
+    time = F.col("ns") - F.when(F.pmod(r, F.lit(11)) == 0, 100_000_000_000_000).otherwise(0)
+    rows = views.log(spark, sf).where("etype IN ('signup', 'purchase', 'error')").select(
+        "tid", F.pmod("k", F.lit(8)).alias("id"), r.alias("seq"), phase.alias("phase"), F.when(F.pmod(r, F.lit(5)) == 0, 2).otherwise(1).alias("address"), time.alias("ns")
+    )
+    return pairing.lifecycle(rows, ["tid", "id"]).select("tid", "id", "entry", "state", "target_returned", "invalid")
 
 
 @query(""", b AS (SELECT tid, etype, r AS seq, row_number() OVER (PARTITION BY tid, etype ORDER BY r) AS id, k FROM ev WHERE etype IN ('view', 'click')),
@@ -394,13 +406,25 @@ def a13_coalesce_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.coalesce_ranges(_order_ranges(spark, sf), ["cause"])
 
 
-@query("""WITH x AS (SELECT o_orderpriority AS g, o_orderkey AS lo, o_orderkey + o_custkey % 5 AS hi, CASE o_orderstatus WHEN 'F' THEN 'lost' ELSE 'retained' END AS cause FROM orders)
-SELECT g, CASE WHEN bool_or(cause <> 'retained') THEN 'incomplete' ELSE 'complete' END AS status FROM x GROUP BY g""", view=False)
+@query("""WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders),
+x AS (SELECT k % 199 AS g, k, row_number() OVER (PARTITION BY k % 199 ORDER BY k) - 1 AS i FROM o),
+y AS (SELECT g, CASE g % 3 WHEN 0 THEN 'stream' WHEN 1 THEN 'ring' ELSE 'other' END AS format, i * 10 + CASE WHEN g % 3 = 0 THEN 0 ELSE 1 END AS lo, i * 10 + CASE WHEN k % 151 = 0 THEN 5 ELSE 10 END AS hi,
+  CASE WHEN k % 211 = 0 THEN 'lost' ELSE 'retained' END AS cause FROM x),
+z AS (SELECT *, max(hi) OVER (PARTITION BY g ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM y),
+s AS (SELECT g, format, bool_or(cause <> 'retained') AS bad, bool_or(lo > coalesce(upto, 0) + CASE WHEN format = 'ring' THEN 1 ELSE 0 END) AS hole FROM z GROUP BY ALL)
+SELECT g, CASE WHEN bad THEN 'incomplete' WHEN format <> 'other' AND NOT hole THEN 'complete' ELSE 'unknown' END AS status FROM s""", view=False)
 def a14_completeness_status(spark: SparkSession, sf: str) -> DataFrame:
-    cause = F.when(F.col("o_orderstatus") == "F", "lost").otherwise("retained")
-    rows = views.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("g"), F.lit("sequence").alias("domain"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.pmod("o_custkey", F.lit(5))).alias("hi"), cause.alias("cause"))
-    extent = rows.groupBy("g", "domain").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
-    return ranges.completeness_status(rows, extent, ["g"])
+    """Artifacts with holes, losses and unknown formats; the last range's end is not checked for streams."""
+    k, g = F.col("k"), F.col("g")
+    keys = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).distinct().withColumn("g", F.pmod(k, F.lit(199)))
+    at = F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("bigint") - 1
+    form = F.when(g % 3 == 0, "stream").when(g % 3 == 1, "ring").otherwise("other")
+    rows = keys.withColumn("i", at).select(
+        "g", form.alias("format"), F.when(g % 3 == 0, "source_bytes").otherwise("sequence").alias("domain"), (F.col("i") * 10 + F.when(g % 3 == 0, 0).otherwise(1)).alias("lo"),
+        (F.col("i") * 10 + F.when(F.pmod(k, F.lit(151)) == 0, 5).otherwise(10)).alias("hi"), F.when(F.pmod(k, F.lit(211)) == 0, "lost").otherwise("retained").alias("cause"),
+    )
+    artifacts = rows.groupBy("g", "format").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
+    return ranges.completeness_status(rows, artifacts, ["g"])
 
 
 @query("SELECT tid, bool_and(etype <> 'error') AS provider_complete, bool_and(etype <> 'error' AND etype <> 'signup' AND k > 0) AS complete FROM ev GROUP BY tid")
@@ -411,11 +435,12 @@ def a15_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return ranges.verdicts(facts, ["tid"])
 
 
-@query("SELECT r, CASE WHEN k % 5 = 0 THEN 'checksum' WHEN k % 3 = 0 THEN 'coverage_gap' WHEN r % 2 = 0 THEN 'overwritten' ELSE 'lost' END AS cause FROM ev")
+@query("SELECT r, CASE WHEN k % 5 = 0 THEN 'checksum' WHEN k % 3 = 0 OR r % 7 = 0 OR r % 11 = 0 OR k % 13 = 0 OR r % 17 = 0 THEN 'lost' ELSE 'overwritten' END AS cause, k % 5 <> 0 AND k % 3 <> 0 AS overwritten_sequences FROM ev")
 def a16_classify_missing(spark: SparkSession, sf: str) -> DataFrame:
-    k, r = F.col("k"), F.col("r")
-    gaps = views.log(spark, sf).select("r", (F.pmod(k, F.lit(5)) == 0).alias("damaged"), (F.pmod(k, F.lit(3)) == 0).alias("covered"), (F.pmod(r, F.lit(2)) == 0).alias("overwritten"))
-    return ranges.classify_missing(gaps).select("r", "cause")
+    said = lambda c, n: F.pmod(c, F.lit(n)) == 0
+    flags = {"damaged": said("k", 5), "covered": said("k", 3), "flagged": said("r", 7), "incomplete": said("r", 11), "stale": said("k", 13), "unterminated": said("r", 17)}
+    gaps = views.log(spark, sf).select("r", *[c.alias(n) for n, c in flags.items()])
+    return ranges.classify_missing(gaps).select("r", "cause", "overwritten_sequences")
 
 
 _COUNTERS_SQL = """WITH c AS (SELECT l_suppkey AS run, sum(l_quantity)::HUGEINT AS instructions, sum(l_linenumber)::HUGEINT % 7 AS elapsed_ms, sum(l_partkey)::HUGEINT AS encoded_bytes,
@@ -435,7 +460,7 @@ def _cut(n: str, d: str) -> str:
 
 
 @query(_COUNTERS_SQL + f"""SELECT run, {_cut('instructions * 1000', 'elapsed_ms')} AS instructions_per_second, {_cut('encoded_bytes * 1000', 'elapsed_ms')} AS encoded_bytes_per_second,
-  {_cut('encoded_bytes', 'compressed_bytes')} AS compression_ratio, {_cut('cache_hits', '(cache_hits + cache_misses)')} AS cache_hit_rate FROM c""", view=False)
+  {_cut('compressed_bytes', 'encoded_bytes')} AS compression_ratio, {_cut('cache_hits', '(cache_hits + cache_misses)')} AS cache_hit_rate FROM c""", view=False)
 def a17_truncated_rates(spark: SparkSession, sf: str) -> DataFrame:
     names = ("instructions_per_second", "encoded_bytes_per_second", "compression_ratio", "cache_hit_rate")
     return metrics.rates(_counters(spark, sf)).select("run", *[F.col(n).cast("string").alias(n) for n in names])
@@ -457,7 +482,7 @@ def a20_constant(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("r_regionkey").agg(metrics.constant("n_regionkey", "the region").alias("value"))
 
 
-@query("""SELECT r, CASE WHEN k > 50 AND k <= 100 THEN 'producer_wait' WHEN r % 100 > 50 THEN 'decode_cache' ELSE 'none' END AS dominant FROM ev""")
+@query("""SELECT r, CASE WHEN k > 50 AND k <= 100 THEN 'producer_wait_time' ELSE 'undetermined' END AS dominant FROM ev""")
 def a21_diagnose(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.log(spark, sf).select("r", F.lit(100).alias("elapsed_ms"), (F.when(F.col("k") <= 100, F.col("k")).otherwise(0) * 1_000_000).alias("producer_wait_ns"), (100 - F.pmod("r", F.lit(100))).alias("cache_hits"), F.pmod("r", F.lit(100)).alias("cache_misses"))
     return metrics.diagnose(rows).select("r", "dominant")
@@ -576,10 +601,10 @@ def c4_children_page(spark: SparkSession, sf: str) -> DataFrame:
     return calltree.children_page(calltree.build(views.steps(spark, sf).where(F.col("tid") == first)), None)
 
 
-@query("SELECT r, last_value(CASE WHEN etype = 'click' THEN k END IGNORE NULLS) OVER (PARTITION BY tid ORDER BY r) AS in_effect FROM ev")
+@query("SELECT r, coalesce(last_value(CASE WHEN etype = 'click' THEN k % 3 = 0 END IGNORE NULLS) OVER (PARTITION BY tid ORDER BY r), FALSE) AS in_effect FROM ev")
 def w1_policy_in_effect(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.log(spark, sf).withColumn("policy", F.when(F.col("etype") == "click", F.col("k")))
-    return pairing.policy_in_effect(rows, "policy", "tid", "r").select("r", "in_effect")
+    """Clicks are policy rules; one in three has the wanted text, the others switch it off."""
+    return pairing.policy_in_effect(views.log(spark, sf), F.col("etype") == "click", F.pmod("k", F.lit(3)) == 0, "tid", "r").select("r", "in_effect")
 
 
 @query("SELECT tid, entry, greatest(0, (SELECT count(*) FROM sc) - 256) AS omitted FROM sc ORDER BY entry DESC LIMIT 256")
@@ -682,6 +707,7 @@ def _streamed(rows: DataFrame) -> DataFrame:
     """What a stream gives once all files are read, through the file sink."""
     spark = rows.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    delete_at_end(spark, at)
     incremental.partial_scan(rows, f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{at}/out")
 
@@ -696,15 +722,17 @@ def t1_partial_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(rows.select("event_id", "user_id", "event_type"))
 
 
-@query("""SELECT a.tid, a.k AS id, a.r AS entry, b.r AS ending, 'returned' AS state FROM ev a JOIN ev b ON a.tid = b.tid AND a.k = b.k
-  AND b.ns BETWEEN a.ns AND a.ns + 86400000000000 WHERE a.etype = 'signup' AND b.etype = 'purchase'""")
+@query(", " + _BOUNDS_SQL + """SELECT x.tid, x.id, CASE WHEN e.seq < x.seq THEN e.seq END AS entry, x.seq AS ending,
+  CASE WHEN e.seq IS NULL OR e.seq > x.seq THEN 'orphan' WHEN e.address = x.address THEN 'returned' ELSE 'invalid' END AS state
+  FROM (SELECT * FROM b WHERE etype = 'purchase') x LEFT JOIN (SELECT * FROM b WHERE etype = 'signup') e ON e.tid = x.tid AND e.id = x.id""")
 def t5_streamed_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    rows = _event_stream(spark, sf).where("event_type IN ('signup', 'purchase')").select(
-        F.col("user_id").alias("tid"), k.alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "enter").otherwise("return").alias("phase"),
-        F.pmod(k, F.lit(16)).alias("address"), F.col("ts").cast("timestamp").alias("ts"),
-    )
-    return _streamed(incremental.pair_stream_by_join(rows))
+    """Numbered boundaries as a stream; a return that comes before its enter is an orphan when it comes."""
+    rows = _boundaries(spark, sf).select("tid", "id", "seq", "phase", F.col("address").cast("bigint").alias("address"))
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.coalesce(1).sortWithinPartitions("seq").write.parquet(at)
+    delete_at_end(spark, at)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return _streamed(incremental.pair_stream(incremental.stream_events(spark, at, rows.schema)))
 
 
 # Scalars.

@@ -22,6 +22,17 @@ from tracelake.streaming.incremental import cancel_job, run_job
 PAGE_ROWS, TREE_PAGE, KEPT_JOBS = 2000, 100, 64
 
 
+#: Artifacts of a session and failures among them; more are an error and never left out.
+MAX_ARTIFACTS, MAX_FAILURES = 10_000, 1_000
+
+
+def _bounded(rows: DataFrame, most: int, what: str) -> list[Row]:
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} {what}")
+    return found
+
+
 @dataclass
 class _Workspace:
     trace: Trace
@@ -50,12 +61,13 @@ class TraceService:
     def open_artifact(self, path: str, partial: bool = False) -> str:
         records = self._spark.read.format("trace_stream").option("partial", str(partial)).option("tolerant", "true").load(path)
         records = records.persist()
-        failures = [f"{r['artifact']}: {r['failure']}" for r in records.where("kind = 'failure'").select("artifact", "failure").limit(1000).collect()]
+        failed = _bounded(records.where("kind = 'failure'").select("artifact", "failure"), MAX_FAILURES, "failed artifacts")
+        failures = [f"{r['artifact']}: {r['failure']}" for r in failed]
         content = metrics.content_identity(1, "trace_stream", records.count(), path)
         return self.open_trace(normalize(records), metrics.store_identity(content, "v1"), failures)
 
     def open_session(self, report: str) -> str:
-        rows = open_session(self._spark, report).limit(10_000).collect()  # a report lists artifacts, not events
+        rows = _bounded(open_session(self._spark, report), MAX_ARTIFACTS, "artifacts in a report")
         good = [r["path"] for r in rows if r["usable"] and r["format"] == "stream"]
         warnings = [f"{r['name']}: {r['warning']}" for r in rows if not r["usable"]]
         if not good:

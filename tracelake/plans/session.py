@@ -45,6 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate rows when the driver's JVM ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package, wherever they run, and one numeric thread each; once for each application."""
     context = spark.sparkContext

@@ -70,10 +70,10 @@ def _line(word: str, *fields: tuple[str, Column]) -> Column:
 
 def render(records: DataFrame) -> DataFrame:
     """(artifact, record_ordinal, tid, line) of the visible events of decoded stream records."""
-    modules = records.where("kind = 'module_definition'").select("artifact", "module", F.col("module_base").alias("base"), F.col("module_name").alias("in_module"))
+    modules = records.where("kind = 'module_definition'").select("artifact", "module", F.col("module_base").alias("base"), F.col("module_name").alias("in_module")).dropDuplicates(["artifact", "module"])
     defined = records.where("kind = 'instruction_definition'").select(
         "artifact", "definition", "opcode", "displacement", "flags", "pc_kind", "condition", "slow_memory_path", "mnemonic", "operands", "disassembly", "reads", "writes", "memory_operands"
-    )
+    ).dropDuplicates(["artifact", "definition"])
     own = ["artifact", "record_ordinal", "tid", "kind", "sequence", "module", "relative_pc", "definition", "read_values", "write_values", "direction", "metadata_available", "access_flags", "address", "size", "value", "before", "after", "category", "name", "detail", "begin", "terminal"]
     rows = records.where(~F.col("kind").isin("module_definition", "instruction_definition", "opaque_optional", "failure", "truncation")).select(*own)
     rows = rows.join(modules, ["artifact", "module"], "left").join(defined, ["artifact", "definition"], "left")
@@ -132,15 +132,7 @@ def export_range(events: DataFrame, after: int, until: int, max_events: int) ->
 
 def capture_summary(captures: DataFrame, shown: int = 16) -> DataFrame:
     """(line) for people: the first ``shown`` captures by name, then how many more there are."""
-    text = F.concat(F.lit("Capture "), "name", F.lit(": returns observed "), F.col("returned").cast("string"), F.lit("; unconfirmed "), (F.col("scenes") - F.col("returned")).cast("string"), F.lit("; missing ranges "), F.col("missing").cast("string"))
+    text = F.concat(F.lit("Capture "), "name", F.lit(": "), F.col("returned").cast("string"), F.lit(" returned, "), (F.col("scenes") - F.col("returned")).cast("string"), F.lit(" without proof of a return, "), F.col("missing").cast("string"), F.lit(" missing ranges"))
     first = captures.orderBy("name").limit(shown).select(F.lit(0).alias("part"), "name", text.alias("line"))
-    rest = captures.agg((F.count("*") - shown).alias("n")).where("n > 0").select(F.lit(1).alias("part"), F.lit("").alias("name"), F.concat(F.col("n").cast("string"), F.lit(" more captures; see report")).alias("line"))
+    rest = captures.agg((F.count("*") - shown).alias("n")).where("n > 0").select(F.lit(1).alias("part"), F.lit("").alias("name"), F.concat(F.lit("and "), F.col("n").cast("string"), F.lit(" further captures in the report")).alias("line"))
     return first.unionByName(rest).orderBy("part", "name").select("line")
-
-
-def absolute(base: Column, offset: Column) -> Column:
-    return checked_add(base, offset)
-
-
-def by_sequence(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(u64_key(F.col("sequence")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
-MAX_SIDECAR, MAX_FIELDS = 16_384, 21
+MAX_SIDECAR, MAX_FIELDS = 65_536, 21
 #: The fields of a sidecar.
 INTEGERS = (
     "instructions", "elapsed_ms", "encoded_bytes", "compressed_bytes", "cache_hits", "cache_misses", "cache_collisions", "buffer_swaps",
@@ -20,8 +20,10 @@ RATES = {
     "instructions_per_second": ("instructions", 1000, "elapsed_ms"),
     "encoded_bytes_per_second": ("encoded_bytes", 1000, "elapsed_ms"),
     "disk_bytes_per_second": ("compressed_bytes", 1000, "elapsed_ms"),
-    "compression_ratio": ("encoded_bytes", 1, "compressed_bytes"),
+    "compression_ratio": ("compressed_bytes", 1, "encoded_bytes"),
 }
+#: Version 1 counts the text's bytes.
+RAW = {"encoded_bytes": "raw_bytes", "encoded_bytes_per_second": "raw_bytes_per_second"}
 SUFFIXES = {".flight.bin": "ring", ".trace.bin.lz4": "stream", ".trace.bin": "stream", ".trace.txt.lz4": "text"}
 
 
@@ -32,7 +34,7 @@ def cut_ratio(numerator: int, denominator: int) -> Decimal:
 
 
 def parse_metrics(text: str, artifact: str | None = None) -> dict[str, int | str | Decimal]:
-    """The values of a version 2 or 3 sidecar; every rate is recomputed and must agree to the digit.
+    """The values of a sidecar of version 1 (without a version's line), 2 or 3; every rate is recomputed and must agree to the digit.
 
     ValueError names the first fault: form, unknown, missing or repeated keys, ranges, rates.
     """
@@ -49,22 +51,25 @@ def parse_metrics(text: str, artifact: str | None = None) -> dict[str, int | str
         if key in found:
             raise ValueError(f"repeated sidecar key {key}")
         found[key] = value
-    version = found.get("metrics_version")
-    if version not in ("2", "3"):
+    version = found.get("metrics_version", "1")
+    if version not in ("2", "3") and "metrics_version" in found:
         raise ValueError("unsupported metrics version")
-    wanted = {"metrics_version", "profile", "return", "cache_hit_rate", *INTEGERS, *RATES} | ({"termination", "return_valid"} if version == "3" else set())
+    own = (lambda k: RAW.get(k, k)) if version == "1" else (lambda k: k)
+    counters = [own(k) for k in INTEGERS]
+    wanted = {"profile", "return", "cache_hit_rate", *counters, *map(own, RATES)}
+    wanted |= {"1": set(), "2": {"metrics_version"}, "3": {"metrics_version", "termination", "return_valid"}}[version]
     if odd := sorted(found.keys() ^ wanted):
         raise ValueError(f"{'unknown' if odd[0] in found else 'missing'} sidecar key {odd[0]}")
-    if artifact is not None and not artifact.endswith((".trace.bin", ".trace.bin.lz4")):
+    if artifact is not None and not artifact.endswith((".trace.txt.lz4",) if version == "1" else (".trace.bin", ".trace.bin.lz4")):
         raise ValueError("sidecar version does not fit the artifact")
-    if found["profile"] not in ("fast", "balanced", "full") or not re.fullmatch(r"0x[0-9a-f]{1,16}", found["return"]):
+    if found["profile"] not in ("fast", "balanced", "full") or not re.fullmatch(r"0x(?:0|[1-9a-f][0-9a-f]*)" if version == "3" else r"0x[0-9a-fA-F]+", found["return"]) or int(found["return"], 16) >= 2**64:
         raise ValueError("invalid profile or return")
-    out: dict[str, int | str | Decimal] = {k: found[k] for k in ("metrics_version", "profile", "return")}
-    for k in INTEGERS:
-        if not re.fullmatch(r"0|[1-9][0-9]{0,19}", found[k]) or int(found[k]) >= 2**64:
+    out: dict[str, int | str | Decimal] = {"metrics_version": int(version), "profile": found["profile"], "return": found["return"].lower()}
+    for k in counters:
+        if not re.fullmatch(r"[0-9]+", found[k]) or int(found[k]) >= 2**64:
             raise ValueError(f"invalid counter {k}")
         out[k] = int(found[k])
-    rates = {k: cut_ratio(int(found[n]) * by, int(found[d])) for k, (n, by, d) in RATES.items()}
+    rates = {own(k): cut_ratio(int(found[own(n)]) * by, int(found[own(d)])) for k, (n, by, d) in RATES.items()}
     rates["cache_hit_rate"] = cut_ratio(int(found["cache_hits"]), int(found["cache_hits"]) + int(found["cache_misses"]))
     for k, v in rates.items():
         if not re.fullmatch(r"[0-9]+\.[0-9]{6}", found[k]) or Decimal(found[k]) != v:

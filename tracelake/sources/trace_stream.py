@@ -131,10 +131,10 @@ def normalize(records: DataFrame) -> Trace:
     damaged = F.when(F.col("kind") == "truncation", "damaged").otherwise("captured")
     tid = F.coalesce("tid", "run_tid")
     events = rows.select("artifact", zero.alias("timeline"), "record_ordinal", "source_offset", "sequence", tid.alias("tid"), "source_row", kind.alias("kind"), damaged.alias("provenance"))
-    modules = rows.where("kind = 'module_definition'").select("artifact", "module", F.col("module_base").alias("base"), F.col("module_name").alias("name"))
+    modules = rows.where("kind = 'module_definition'").select("artifact", "module", F.col("module_base").alias("base"), F.col("module_name").alias("name")).dropDuplicates(["artifact", "module"])  # a definition may be repeated
     definitions = rows.where("kind = 'instruction_definition'").select(
         "artifact", "definition", "opcode", "read_mask", "write_mask", "displacement", "flags", "pc_kind", "condition", "slow_memory_path", "mnemonic", "operands", "disassembly", "reads", "writes", "memory_operands"
-    )
+    ).dropDuplicates(["artifact", "definition"])
     instructions = rows.where("kind = 'instruction'").select("artifact", "owner_row", "module", "relative_pc", "definition", "read_values", "write_values")
     end = _end(F.col("address"), F.col("size"))
     memory = rows.where("kind = 'memory'").select(

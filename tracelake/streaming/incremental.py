@@ -97,11 +97,15 @@ def pair_stream(boundaries: DataFrame) -> DataFrame:
     return boundaries.groupBy("tid").transformWithStateInPandas(ScenePairs(), SCENES, "append", "none")
 
 
-def pair_stream_by_join(boundaries: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The same pairs as a stream-stream join on (tid, id) with watermarks on ``ts``."""
+def pair_stream_by_join(boundaries: DataFrame, late: str = "10 minutes", within: str = "1 day") -> DataFrame:
+    """Pairs as a stream-stream join on (tid, id) with watermarks on ``ts``, for ids that are used once.
+
+    The join forgets enters after ``within``: later ends find none.  It neither reports orphans nor
+    refuses second boundaries of an id; ``pair_stream`` does all of that.
+    """
     enters = boundaries.where("phase = 'enter'").select("tid", "id", F.col("seq").alias("entry"), "address", F.col("ts").alias("entry_ts")).withWatermark("entry_ts", late)
     ends = boundaries.where("phase <> 'enter'").select(F.col("tid").alias("x_tid"), F.col("id").alias("x_id"), F.col("seq").alias("ending"), "phase", F.col("address").alias("x_address"), F.col("ts").alias("end_ts")).withWatermark("end_ts", late)
-    meet = (F.col("tid") == F.col("x_tid")) & (F.col("id") == F.col("x_id")) & (F.col("end_ts") >= F.col("entry_ts")) & (F.col("end_ts") <= F.col("entry_ts") + F.expr("INTERVAL 1 DAY"))
+    meet = (F.col("tid") == F.col("x_tid")) & (F.col("id") == F.col("x_id")) & (F.col("end_ts") >= F.col("entry_ts")) & (F.col("end_ts") <= F.col("entry_ts") + F.expr(f"INTERVAL {within}"))
     fits = (F.col("address") == F.col("x_address")) & (F.col("entry") < F.col("ending"))
     state = F.when(~fits, "invalid").when(F.col("phase") == "return", "returned").otherwise(F.col("phase"))
     return enters.join(ends, meet).select("tid", "id", "entry", "ending", state.alias("state"))

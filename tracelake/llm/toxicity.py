@@ -32,9 +32,9 @@ from tracelake.llm import common
 from tracelake.plans.session import ship
 
 #: Labelled texts that become examples at most (about), by label 0 and 1; the choice is by hash.
-MAX_EXAMPLES = (2_000, 2_000)
+MAX_EXAMPLES = (1_000, 1_000)
 #: Examples that the calibration asks at most.
-MAX_CALIBRATION = 2_500
+MAX_CALIBRATION = 2_000
 NEIGHBOURS = 25
 BLOCK = 64
 #: A term that this share of the examples holds is common.
@@ -45,7 +45,7 @@ RELEVANT = 3.0
 POWER = 3.0  # votes weigh as this power of the cosine
 THRESHOLD = 0.7
 #: Queries that are scored at once, and text that is split at once.
-QUERIES, SLICE_BYTES = 128, 2 << 20
+QUERIES, SLICE_BYTES = 64, 2 << 20
 #: Words whose terms a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
@@ -358,16 +358,17 @@ class Examples:
     @staticmethod
     def gather(documents: DataFrame, labels: DataFrame, max_examples: tuple[int, int]) -> Examples:
         chosen, shares = choose_examples(labels, max_examples)
-        rows = count_terms(common.labelled_texts(documents, chosen), None).toPandas()
-        rows = rows.sort_values("doc_id", kind="stable")
-        sizes = [len(t) for t in rows["terms"]]
-        hashes = np.concatenate([np.asarray(t, dtype=np.int64) for t in rows["terms"]] or [np.zeros(0, np.int64)]).view(np.uint64)
-        tf = np.concatenate([np.asarray(t, dtype=np.int64) for t in rows["tf"]] or [np.zeros(0, np.int64)])
-        vocabulary, terms = np.unique(hashes, return_inverse=True)
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        rows = count_terms(common.labelled_texts(documents, chosen), None).toArrow()
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending")])).combine_chunks()
+        held = rows.column("terms").combine_chunks() if len(rows) else pa.array([], pa.list_(pa.int64()))
+        offsets = held.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        vocabulary, terms = np.unique(held.flatten().to_numpy().view(np.uint64), return_inverse=True)
+        tf = rows.column("tf").combine_chunks().flatten().to_numpy() if len(rows) else np.zeros(0, np.int32)
         # Hashes stand in another order in each text; numbers of the vocabulary rise within a text.
-        order = np.lexsort((terms, np.repeat(np.arange(len(sizes)), sizes)))
-        return Examples(vocabulary, rows["doc_id"].tolist(), rows["label"].to_numpy(np.int64), (offsets, terms[order], tf[order]), shares)
+        order = np.lexsort((terms, np.repeat(np.arange(len(rows)), np.diff(offsets))))
+        labels_ = rows.column("label").to_numpy().astype(np.int64)
+        return Examples(vocabulary, rows.column("doc_id").to_pylist(), labels_, (offsets, terms[order], tf[order]), shares)
 
 
 def fit_counts(counts: DataFrame, examples: Examples) -> ToxicityModel:

@@ -45,9 +45,9 @@ RELEVANT = 3.0
 POWER = 3.0  # votes weigh as this power of the cosine
 THRESHOLD = 0.7
 #: Queries that are scored at once, and text that is split at once.
-QUERIES, SLICE_BYTES = 64, 2 << 20
+QUERIES, SLICE_BYTES = 64, 1 << 20
 #: Words whose terms a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def terms_of(word: str) -> list[int]:

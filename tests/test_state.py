@@ -4,7 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tracelake.operators import calltree, memory, registers
+from tracelake.operators import calltree, intervals, memory, registers
 
 CAPTURE = "struct<state:string,bytes:binary>"
 MEMORY = f"artifact string, timeline long, row long, tid long, address long, end_exclusive long, size long, direction string, metadata_available boolean, value long, before {CAPTURE}, after {CAPTURE}"
@@ -264,6 +264,42 @@ def test_history(spark):
         memory.history(target, spark.createDataFrame(rows, MEMORY), cap=1).collect()
 
 
+def shuffled(df):
+    """Rows that the exchanges of a collected frame wrote."""
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            return walk(plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_history_shuffles_no_pairs(spark):
+    rows = [access(i, i % 3, 8 * (i % 5), 8, "read") for i in range(500)]
+    targets = spark.createDataFrame([("a", 0, t, 499, t % 3, 4, 20) for t in range(200)], TARGETS)
+    found = memory.history(targets, spark.createDataFrame(rows, MEMORY))
+    assert len(found.collect()) == 200 * 300
+    assert 0 < shuffled(found) < 200 * 300 / 4
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_history_against_loop(spark, seed, monkeypatch):
+    monkeypatch.setattr(intervals, "PART_ROWS", 8)
+    monkeypatch.setattr(intervals, "GROUP_ROWS", 3)
+    r = random.Random(seed)
+    rows = [access(i, r.choice([1, 2, None]), r.choice([r.randrange(40), r.randrange(5000)]), r.choice([0, 1, 8, 16, 300]), "read") for i in range(300)]
+    targets = [("a", 0, t, r.randrange(320), 1, lo := r.choice([4, 4, r.randrange(40), r.randrange(5000)]), lo + r.choice([0, 16, 16, 2000])) for t in range(60)]
+    want = sorted((t[2], x[2]) for t in targets for x in rows if x[2] <= t[3] and max(t[5], x[4]) < min(t[6], x[5]))
+    most = max(sum(t == w[0] for w in want) for t in range(60))
+    run = lambda cap: memory.history(spark.createDataFrame(targets, TARGETS), spark.createDataFrame(rows, MEMORY), cap)
+    assert sorted((x["target"], x["row"]) for x in run(most).collect()) == want
+    with pytest.raises(Exception, match="too many"):
+        run(most - 1).collect()
+
+
 def test_capture_text(spark):
     rows = spark.createDataFrame([("available", b"\x01\xff"), ("unavailable", None), ("not_captured", None)], "s string, b binary")
     assert [r["v"] for r in rows.select(memory.capture_state(F.col("b"), F.col("s")).alias("v")).collect()] == ["01ff", "<unavailable>", "<not-captured>"]

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_LEVEL = 31
+#: Of ``overlap_join_until``: right rows of a part, left rows of a group.
+PART_ROWS, GROUP_ROWS = 1024, 1 << 14
 
 
 def bucket(c: Column, width: int) -> Column:
@@ -35,6 +37,12 @@ def _present(rows: DataFrame, name: str) -> list[int]:
     return sorted(r[0] for r in rows.select(name).distinct().collect())
 
 
+def levels_of(left: DataFrame, right: DataFrame, width: int, lspan: tuple[str, str], rspan: tuple[str, str]) -> list[int]:
+    """The levels at which intervals of two sides are joined."""
+    sides = [rows.where(F.col(x) < F.col(y)).select(_level(F.col(x), F.col(y) - 1, width).alias("__l")) for rows, (x, y) in ((left, lspan), (right, rspan))]
+    return _present(sides[0].unionByName(sides[1]), "__l")
+
+
 def _spread(rows: DataFrame, first: Column, last: Column, own: Column, levels: list[int], width: int) -> DataFrame:
     """A row for each given level from its own upwards and each bucket there."""
     wanted = F.filter(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>"), lambda x: x >= own)
@@ -43,6 +51,14 @@ def _spread(rows: DataFrame, first: Column, last: Column, own: Column, levels: l
     return rows.withColumn("__bucket", F.explode(F.sequence(_at_level(first, level, width), _at_level(last, level, width))))
 
 
+def _meeting(pairs: DataFrame, lspan: tuple[str, str], rspan: tuple[str, str], width: int) -> DataFrame:
+    """Of pairs that share a bucket those that overlap, in the bucket of the overlap's start at the longer one's level."""
+    (ls, le), (rs, re) = lspan, rspan
+    meet = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("__level") == F.greatest("__la", "__lb"))
+    start = _at_level(F.greatest(F.col(ls), F.col(rs)), F.col("__level"), width)
+    return pairs.where(meet & (start == F.col("__bucket"))).drop("__bucket", "__level", "__la", "__lb")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], width: int, lspan: tuple[str, str], rspan: tuple[str, str]) -> DataFrame:
     """Pairs of half-open intervals that overlap, once each; empty intervals overlap nothing.
 
@@ -56,10 +72,35 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], width: in
     levels = sorted({*_present(a, "__la"), *_present(b, "__lb")})
     a = _spread(a, F.col(ls), F.col(le) - 1, F.col("__la"), levels, width)
     b = _spread(b, F.col(rs), F.col(re) - 1, F.col("__lb"), levels, width)
-    pairs = a.join(b, [*on, "__level", "__bucket"])
-    meet = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("__level") == F.greatest("__la", "__lb"))
-    start = _at_level(F.greatest(F.col(ls), F.col(rs)), F.col("__level"), width)
-    return pairs.where(meet & (start == F.col("__bucket"))).drop("__bucket", "__level", "__la", "__lb")
+    return _meeting(a.join(b, [*on, "__level", "__bucket"]), lspan, rspan, width)
+
+
+def overlap_join_until(left: DataFrame, right: DataFrame, on: Sequence[str], width: int, lspan: tuple[str, str], rspan: tuple[str, str], until: str, at: str, levels: list[int] | None = None) -> DataFrame:
+    """Pairs of ``overlap_join`` whose ``at`` (right) is not after ``until`` (left), with no shuffle of pairs.
+
+    A bucket's right rows are cut in the order of ``at`` into parts of about ``PART_ROWS``, and its left rows are dealt
+    out in groups of about ``GROUP_ROWS``; a left row goes to the parts that begin by its ``until``.  So the pairs of a
+    full bucket are made by many tasks, and what is shuffled grows with the pairs by a ``PART_ROWS``th only.
+    ``levels``: what ``levels_of`` gives for these sides, if known.
+    """
+    (ls, le), (rs, re) = lspan, rspan
+    a = left.where(F.col(ls) < F.col(le)).withColumn("__la", _level(F.col(ls), F.col(le) - 1, width))
+    b = right.where(F.col(rs) < F.col(re)).withColumn("__lb", _level(F.col(rs), F.col(re) - 1, width))
+    levels = levels_of(left, right, width, lspan, rspan) if levels is None else levels
+    a = _spread(a, F.col(ls), F.col(le) - 1, F.col("__la"), levels, width)
+    b = _spread(b, F.col(rs), F.col(re) - 1, F.col("__lb"), levels, width).withColumn("__run", bucket(F.col(at), PART_ROWS))
+    place = [*on, "__level", "__bucket"]
+    asked = a.groupBy(*place).agg(F.ceil(F.count("*") / GROUP_ROWS).alias("__groups"))
+    runs = b.groupBy(*place, "__run").agg(F.count("*").alias("__n"), F.min(at).alias("__from")).join(asked, place)
+    before = Window.partitionBy(*place).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__part", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / PART_ROWS))
+    parts = runs.groupBy(*place, "__part").agg(F.min("__from").alias("__from"), F.first("__groups").alias("__groups"))
+    a = a.join(parts, place).where(F.col("__from") <= F.col(until))
+    a = a.withColumn("__group", F.pmod(F.xxhash64(*left.columns), F.col("__groups"))).drop("__from", "__groups")
+    b = b.join(runs.select(*place, "__run", "__part", "__groups"), [*place, "__run"])
+    b = b.withColumn("__group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__groups") - 1))).drop("__run", "__groups")
+    pairs = a.join(b, [*place, "__part", "__group"]).where(F.col(at) <= F.col(until))
+    return _meeting(pairs, lspan, rspan, width).drop("__part", "__group")
 
 
 def points_in_intervals(points: DataFrame, spans: DataFrame, on: Sequence[str], width: int, point: str, span: tuple[str, str]) -> DataFrame:

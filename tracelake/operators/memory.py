@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.intervals import carry_forward, overlap_join
+from tracelake.operators.intervals import carry_forward, levels_of, overlap_join, overlap_join_until
 from tracelake.operators.ranges import coalesce_ranges
 
 MAX_RANGE, MAX_ROWS = 1 << 20, 10_000
-WIDTH = 4096
+WIDTH, ACCESS_WIDTH = 4096, 16
+SPANS = ("lo", "hi"), ("address", "end_exclusive")
 
 
 def _byte(data: Column, i: Column) -> Column:
@@ -27,9 +28,10 @@ def check_targets(targets: DataFrame) -> DataFrame:
     return targets.withColumn("lo", F.coalesce(bad.cast("bigint"), F.col("lo")))
 
 
-def _touching(targets: DataFrame, accesses: DataFrame) -> DataFrame:
-    a = targets.select("artifact", "timeline", "target", F.col("row").alias("t_row"), F.col("tid").alias("t_tid"), "lo", "hi")
-    return overlap_join(a, accesses, ["artifact", "timeline"], WIDTH, ("lo", "hi"), ("address", "end_exclusive"))
+def _until(targets: DataFrame, accesses: DataFrame, levels: list[int]) -> DataFrame:
+    """Accesses that overlap each target's range (lo, hi), up to its ``t_row``."""
+    a = accesses.select("artifact", "timeline", "row", "tid", "address", "end_exclusive", "size", "direction")
+    return overlap_join_until(targets, a, ["artifact", "timeline"], ACCESS_WIDTH, *SPANS, "t_row", "row", levels)
 
 
 def _bytes_of(rows: DataFrame, length: Column) -> DataFrame:
@@ -130,11 +132,19 @@ def state_at(targets: DataFrame, memory: DataFrame, discontinuities: DataFrame,
 
 
 def history(targets: DataFrame, memory: DataFrame, cap: int = MAX_ROWS) -> DataFrame:
-    """Accesses of all threads that overlap a target's range, up to its row; over ``cap`` of them is an error."""
-    rows = _touching(check_targets(targets), memory).where("row <= t_row")
-    sizes = rows.groupBy("target").agg(F.count("*").alias("n"))
-    guard = sizes.select("target", F.when(F.col("n") > cap, F.raise_error(F.lit("too many overlapping rows"))).otherwise(F.lit(True)).cast("boolean").alias("ok"))
-    return rows.join(guard, "target").where("ok").select("target", "row", "tid", "address", "size", "direction")
+    """Accesses of all threads that overlap a target's range, up to its row; over ``cap`` of them is an error.
+
+    Targets with the same range have at most as many as the latest of them, so one count for each range decides,
+    before any pair is made.
+    """
+    span = ["artifact", "timeline", "lo", "hi"]
+    targets = check_targets(targets)
+    n = F.count("*")
+    over = F.when(n > cap, F.raise_error(F.lit("too many overlapping rows"))).otherwise(F.lit(True)).cast("boolean")
+    levels = levels_of(targets, memory, ACCESS_WIDTH, *SPANS)
+    held = _until(targets.groupBy(*span).agg(F.max("row").alias("t_row")), memory, levels).groupBy(*span).agg(over.alias("ok"))
+    allowed = targets.join(held, span).where("ok").select(*span, "target", F.col("row").alias("t_row"))
+    return _until(allowed, memory, levels).select("target", "row", "tid", "address", "size", "direction")
 
 
 def capture_state(length: Column, state: Column) -> Column:

@@ -37,10 +37,11 @@ def _present(rows: DataFrame, name: str) -> list[int]:
     return sorted(r[0] for r in rows.select(name).distinct().collect())
 
 
-def levels_of(left: DataFrame, right: DataFrame, width: int, lspan: tuple[str, str], rspan: tuple[str, str]) -> list[int]:
-    """The levels at which intervals of two sides are joined."""
-    sides = [rows.where(F.col(x) < F.col(y)).select(_level(F.col(x), F.col(y) - 1, width).alias("__l")) for rows, (x, y) in ((left, lspan), (right, rspan))]
-    return _present(sides[0].unionByName(sides[1]), "__l")
+def levels_of(left: DataFrame, right: DataFrame, width: int, lspan: tuple[str, str], rspan: tuple[str, str]) -> tuple[list[int], int]:
+    """The levels at which intervals of two sides are joined, and the number of left ones."""
+    sides = [rows.where(F.col(x) < F.col(y)).select(_level(F.col(x), F.col(y) - 1, width).alias("__l"), F.lit(own).alias("__own")) for rows, (x, y), own in ((left, lspan, True), (right, rspan, False))]
+    found = sides[0].unionByName(sides[1]).groupBy("__l").agg(F.count_if("__own")).collect()
+    return sorted(r[0] for r in found), sum(r[1] for r in found)
 
 
 def _spread(rows: DataFrame, first: Column, last: Column, own: Column, levels: list[int], width: int) -> DataFrame:
@@ -75,18 +76,18 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], width: in
     return _meeting(a.join(b, [*on, "__level", "__bucket"]), lspan, rspan, width)
 
 
-def overlap_join_until(left: DataFrame, right: DataFrame, on: Sequence[str], width: int, lspan: tuple[str, str], rspan: tuple[str, str], until: str, at: str, levels: list[int] | None = None) -> DataFrame:
+def overlap_join_until(left: DataFrame, right: DataFrame, on: Sequence[str], width: int, lspan: tuple[str, str], rspan: tuple[str, str], until: str, at: str, levels: list[int], tasks: int | None = None) -> DataFrame:
     """Pairs of ``overlap_join`` whose ``at`` (right) is not after ``until`` (left), with no shuffle of pairs.
 
     A bucket's right rows are cut in the order of ``at`` into parts of about ``PART_ROWS``, and its left rows are dealt
     out in groups of about ``GROUP_ROWS``; a left row goes to the parts that begin by its ``until``.  So the pairs of a
     full bucket are made by many tasks, and what is shuffled grows with the pairs by a ``PART_ROWS``th only.
-    ``levels``: what ``levels_of`` gives for these sides, if known.
+    ``levels``: what ``levels_of`` gives for these sides.  ``tasks``: of the last join; else Spark chooses by the bytes
+    shuffled, which say little of the pairs.
     """
     (ls, le), (rs, re) = lspan, rspan
     a = left.where(F.col(ls) < F.col(le)).withColumn("__la", _level(F.col(ls), F.col(le) - 1, width))
     b = right.where(F.col(rs) < F.col(re)).withColumn("__lb", _level(F.col(rs), F.col(re) - 1, width))
-    levels = levels_of(left, right, width, lspan, rspan) if levels is None else levels
     a = _spread(a, F.col(ls), F.col(le) - 1, F.col("__la"), levels, width)
     b = _spread(b, F.col(rs), F.col(re) - 1, F.col("__lb"), levels, width).withColumn("__run", bucket(F.col(at), PART_ROWS))
     place = [*on, "__level", "__bucket"]
@@ -99,8 +100,13 @@ def overlap_join_until(left: DataFrame, right: DataFrame, on: Sequence[str], wid
     a = a.withColumn("__group", F.pmod(F.xxhash64(*left.columns), F.col("__groups"))).drop("__from", "__groups")
     b = b.join(runs.select(*place, "__run", "__part", "__groups"), [*place, "__run"])
     b = b.withColumn("__group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__groups") - 1))).drop("__run", "__groups")
-    pairs = a.join(b, [*place, "__part", "__group"]).where(F.col(at) <= F.col(until))
-    return _meeting(pairs, lspan, rspan, width).drop("__part", "__group")
+    # One column, so that a constant among the keys (a view's artifact) doesn't make Spark deal the rows out once more.
+    cell = F.struct(*place, "__part", "__group").alias("__cell")
+    a, b = a.select("*", cell).drop("__part", "__group"), b.select("*", cell).drop(*place, "__part", "__group")
+    if tasks:
+        a, b = a.repartition(tasks, "__cell"), b.repartition(tasks, "__cell")
+    pairs = a.join(b, "__cell").where(F.col(at) <= F.col(until))
+    return _meeting(pairs, lspan, rspan, width).drop("__cell")
 
 
 def points_in_intervals(points: DataFrame, spans: DataFrame, on: Sequence[str], width: int, point: str, span: tuple[str, str]) -> DataFrame:

@@ -10,6 +10,8 @@ from tracelake.operators.ranges import coalesce_ranges
 
 MAX_RANGE, MAX_ROWS = 1 << 20, 10_000
 WIDTH, ACCESS_WIDTH = 4096, 16
+#: Of ``history``: from how many targets on the tasks of the last join are fixed, and targets for each beyond the usual number.
+MANY, TASK_TARGETS = 64, 2048
 SPANS = ("lo", "hi"), ("address", "end_exclusive")
 
 
@@ -28,10 +30,10 @@ def check_targets(targets: DataFrame) -> DataFrame:
     return targets.withColumn("lo", F.coalesce(bad.cast("bigint"), F.col("lo")))
 
 
-def _until(targets: DataFrame, accesses: DataFrame, levels: list[int]) -> DataFrame:
+def _until(targets: DataFrame, accesses: DataFrame, levels: list[int], tasks: int | None = None) -> DataFrame:
     """Accesses that overlap each target's range (lo, hi), up to its ``t_row``."""
     a = accesses.select("artifact", "timeline", "row", "tid", "address", "end_exclusive", "size", "direction")
-    return overlap_join_until(targets, a, ["artifact", "timeline"], ACCESS_WIDTH, *SPANS, "t_row", "row", levels)
+    return overlap_join_until(targets, a, ["artifact", "timeline"], ACCESS_WIDTH, *SPANS, "t_row", "row", levels, tasks)
 
 
 def _bytes_of(rows: DataFrame, length: Column) -> DataFrame:
@@ -141,10 +143,11 @@ def history(targets: DataFrame, memory: DataFrame, cap: int = MAX_ROWS) -> DataF
     targets = check_targets(targets)
     n = F.count("*")
     over = F.when(n > cap, F.raise_error(F.lit("too many overlapping rows"))).otherwise(F.lit(True)).cast("boolean")
-    levels = levels_of(targets, memory, ACCESS_WIDTH, *SPANS)
+    levels, asked = levels_of(targets, memory, ACCESS_WIDTH, *SPANS)
+    tasks = max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked // TASK_TARGETS) if asked >= MANY else None
     held = _until(targets.groupBy(*span).agg(F.max("row").alias("t_row")), memory, levels).groupBy(*span).agg(over.alias("ok"))
     allowed = targets.join(held, span).where("ok").select(*span, "target", F.col("row").alias("t_row"))
-    return _until(allowed, memory, levels).select("target", "row", "tid", "address", "size", "direction")
+    return _until(allowed, memory, levels, tasks).select("target", "row", "tid", "address", "size", "direction")
 
 
 def capture_state(length: Column, state: Column) -> Column:
